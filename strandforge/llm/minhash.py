@@ -52,12 +52,13 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def shingles(texts: pa.Array, words: int = WORDS) -> list[np.ndarray]:
     """Sorted distinct 64-bit hashes of each text's shingles; null counts as empty."""
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
     flat = pc.list_flatten(lists)
     filled = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
     ends = np.concatenate([[0], np.cumsum(filled)])[lists.offsets.to_numpy() - lists.offsets.to_numpy()[0]]
     coded = flat.dictionary_encode()
-    own = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
+    distinct = coded.dictionary.cast(pa.large_binary()).to_pylist()
+    own = np.fromiter((xxhash.xxh3_64_intdigest(w.lower()) for w in distinct), np.uint64, len(distinct))  # bytes: A-Z only
     h = own[coded.indices.to_numpy(zero_copy_only=False)][filled] if len(own) else np.zeros(0, np.uint64)
     wide = np.zeros(max(0, len(h) - words + 1), np.uint64)
     for n in range(words):
