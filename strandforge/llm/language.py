@@ -174,6 +174,18 @@ def decider(model: Languages, penalty: float = 3.0) -> Callable[[Iterator[pa.Rec
     return run
 
 
+def keep_identified(docs: DataFrame, least: float = 0.5, max_docs: int = MAX_DOCS, penalty: float = 3.0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs``, all columns unchanged, of which one language holds ``least`` of the words or more."""
+    model = train(docs, max_docs, id_col, text_col, lang_col)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text_col, limit=2 << 20):
+            names, scores, _ = decide(model, batch.column(batch.schema.get_field_index(text_col)).to_pylist(), penalty)
+            yield batch.filter(pa.array([n != UNDETERMINED and x >= least for n, x in zip(names, scores, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def identify(docs: DataFrame, max_docs: int = MAX_DOCS, penalty: float = 3.0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """doc_id, held_out, lang_pred, score for each row of ``docs``."""
     model = train(docs, max_docs, id_col, text_col, lang_col)

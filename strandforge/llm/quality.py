@@ -147,6 +147,19 @@ def scorer(model: NbSvm) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
     return run
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+    """The rows of ``docs``, all columns unchanged, that score ``threshold`` or more."""
+    model = train(docs, labels, max_rows, id_col, text_col, label_col)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(SIZE, np.int64)
+        for batch in slices(batches, text_col):
+            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+            yield batch.filter(pa.array([model.score(features(t, seen)) >= threshold for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """doc_id, held_out, score, predicted for each row of ``docs``."""
     model = train(docs, labels, max_rows, id_col, text_col, label_col)
