@@ -34,8 +34,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = exact.exact_groups(docs).select(F.col("keep_id").alias("doc_id"))
-    return docs.join(kept, "doc_id", "left_semi")
+    gone = exact.exact_duplicates(docs).where(~F.col("kept")).select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti")
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
