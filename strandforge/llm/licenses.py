@@ -46,6 +46,8 @@ def templates(spark: SparkSession, base: dict[str, str], own: dict[str, str]) ->
     rows = [("", None, None, None, None, None)]
     for n, (phrase, label, is_base) in enumerate([(p, x, True) for p, x in base.items()] + [(p, x, False) for p, x in own.items()]):
         words = phrase.split(" ")
+        if not 2 <= len(words) <= 64:
+            raise ValueError("a phrase has 2 to 64 words")
         rows += [(f"{a} {b}", n, label, is_base, len(words) - 1, i) for i, (a, b) in enumerate(zip(words, words[1:], strict=False))]
     found = spark.createDataFrame(rows, "gram string, phrase int, label string, base boolean, pairs int, at int")
     return found.withColumn("hash", F.xxhash64("gram"))
@@ -60,7 +62,8 @@ def scan(docs: DataFrame, base: dict[str, str] | None = None, own: dict[str, str
     grams = keyed.select("row", "doc_id", "n_words", F.posexplode("grams").alias("place", "gram"))
     hits = grams.withColumn("hash", F.xxhash64("gram")).join(F.broadcast(templates(docs.sparkSession, BASE if base is None else base, OWN if own is None else own)), ["hash", "gram"])
     key = ["row", "doc_id", "n_words"]
-    votes = hits.groupBy(*key, "phrase", "label", "base", "pairs", (F.col("place") - 1 - F.col("at")).cast("long").alias("diagonal")).agg(F.count("*").alias("votes"))
+    bit = F.expr("shiftleft(1L, at)")  # template positions that are met, as bits of a number
+    votes = hits.groupBy(*key, "phrase", "label", "base", "pairs", (F.col("place") - 1 - F.col("at")).cast("long").alias("diagonal")).agg(F.count("*").alias("votes"), F.bit_or(bit).alias("met"))
     along = Window.partitionBy("row", "phrase").orderBy("diagonal")
     opens = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(along) > slack).cast("int"), F.lit(1))
     exact = F.col("base") & (F.col("votes") == F.col("pairs"))
@@ -72,7 +75,7 @@ def scan(docs: DataFrame, base: dict[str, str] | None = None, own: dict[str, str
             F.sum(exact.cast("long")).alias("places"),
             F.min(F.when(exact, F.col("diagonal"))).alias("first"),
             F.max(F.when(exact, F.col("diagonal"))).alias("last"),
-            F.least(F.sum("votes") / F.first("pairs"), F.lit(1.0)).alias("share"),
+            (F.bit_count(F.bit_or("met")) / F.col("pairs")).alias("share"),
         )
     )
     stands = F.when(F.col("base"), F.col("places") > 0).otherwise(F.col("share") >= coverage)
