@@ -24,7 +24,7 @@ def page_rows():
     rows += [
         (10, "http://a.example/x", f"<body>{boiler(1)}<article><h1>A &amp; B</h1><p><b>One<br>two<p>three  \n four</article><footer>&copy; x</footer>"),
         (11, "http://a.example/y", f"<body>{boiler(2)}<article><h1>A &amp; B</h1><p>same same</p><script>var t='</p>';</script><aside>no</aside><p title='a > b'>end</article><div id=comments>first!</div>"),
-        (12, None, None), (13, "", ""), (None, "::bad::[", "plain text &lt;b&gt; only"), (14, "http://open.example/1", rows[1][2]), (15, "http://z.example", "x" * 50_000), (16, "http://z.example/q", "<p>unclosed <a href='"),
+        (12, None, None), (13, "", ""), (None, "::bad::[", "plain text &lt;b&gt; only"), (14, "http://mirror.example/1", rows[1][2]), (15, "http://z.example", "x" * 50_000), (16, "http://z.example/q", "<p>unclosed <a href='"),
     ]
     return rows + [rows[0]]
 
