@@ -88,7 +88,7 @@ def oracle_sql() -> dict[str, str]:
             w3 AS (SELECT a.conv_id, a.row, b.col, sum(a.p * b.p) AS p FROM w2 a JOIN w b ON a.conv_id = b.conv_id AND a.col = b.row GROUP BY ALL),
             w4 AS (SELECT a.conv_id, a.row, b.col, sum(a.p * b.p) AS p FROM w3 a JOIN w b ON a.conv_id = b.conv_id AND a.col = b.row GROUP BY ALL)
             SELECT conv_id, row AS node, step, round(p, 6) + 0.0 AS p FROM (SELECT *, 0 AS step FROM w2 UNION ALL SELECT *, 1 FROM w3 UNION ALL SELECT *, 2 FROM w4) WHERE row = col""",
-        "linear_kernel": "SELECT e.vec_id AS a, f.vec_id AS b, round(list_dot_product(e.embedding::DOUBLE[], f.embedding::DOUBLE[]), 4) AS value FROM embeddings e, (SELECT min(vec_id) AS vec_id, arg_min(embedding, vec_id) AS embedding FROM embeddings GROUP BY label) f",
+        "linear_kernel": "SELECT e.vec_id AS a, f.vec_id AS b, round(list_dot_product(e.embedding::DOUBLE[], f.embedding::DOUBLE[]), 4) + 0.0 AS value FROM embeddings e, (SELECT min(vec_id) AS vec_id, arg_min(embedding, vec_id) AS embedding FROM embeddings GROUP BY label) f",
         "kmer_distinct": f"SELECT substr(aa_seq, CAST(i AS INT), 3) AS kmer, count(*) AS n FROM (SELECT *, unnest(range(1, length(aa_seq) - 1)) AS i FROM {_AA}) GROUP BY 1",
         "mean_embedding": "SELECT vec_id, CAST(i AS INT) AS i, round(avg(embedding[CAST(j * 8 + i + 1 AS INT)]::DOUBLE), 6) + 0.0 AS x FROM embeddings, range(0, 8) AS a(i), range(0, 8) AS b(j) GROUP BY ALL",
         "kmer_mean": "SELECT vec_id, CAST(i AS INT) AS i, round(avg(embedding[CAST(i + w * 8 + 1 AS INT)]::DOUBLE), 6) + 0.0 AS x FROM embeddings, range(0, 24) AS a(i), range(0, 6) AS b(w) GROUP BY ALL",

@@ -270,7 +270,7 @@ def linear_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector against the ten label prototypes (the smallest vec_id of each label)."""
     e = table(spark, sf_dir, "embeddings")
     first = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("embedding"), F.min("vec_id").alias("vec_id"))
-    return kernels.linear_kernel(e, first, "vec_id", "embedding").select("a", "b", F.round("value", 4).alias("value"))
+    return kernels.linear_kernel(e, first, "vec_id", "embedding").select("a", "b", (F.round("value", 4) + F.lit(0.0)).alias("value"))
 
 
 def kmer_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
