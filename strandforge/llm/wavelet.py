@@ -34,6 +34,17 @@ SHARD_IDS = 1 << 21
 NO_ID = -(1 << 63)  # stands for a null doc_id inside a shard
 
 
+def _narrow(planes: int) -> type:
+    """The smallest type that holds ids of so many bits."""
+    return np.uint16 if planes <= 16 else np.uint32
+
+
+def _split(bit: np.ndarray) -> tuple[np.ndarray, int]:
+    """(positions of the zeros, then of the ones; how many zeros)"""
+    low = np.flatnonzero(~bit)
+    return np.concatenate([low, np.flatnonzero(bit)]), len(low)
+
+
 @dataclass
 class WaveletMatrix:
     """Bit-planes over ``size`` ids. ``words[k]``: plane k in 64-bit words, bit i of the plane at word i // 64."""
@@ -46,13 +57,13 @@ class WaveletMatrix:
     def build(cls, ids: np.ndarray) -> WaveletMatrix:
         planes = max(1, int(ids.max()).bit_length()) if len(ids) else 1
         width = -(-len(ids) // 64)
-        words, zeros, now = np.zeros((planes, width), "<u8"), np.zeros(planes, "<i8"), ids
+        words, zeros, now = np.zeros((planes, width), "<u8"), np.zeros(planes, "<i8"), ids.astype(_narrow(planes))
         for k in range(planes):
-            bit = (now >> np.uint32(planes - 1 - k)) & np.uint32(1) == 1
+            bit = now & now.dtype.type(1 << (planes - 1 - k)) != 0
             packed = np.packbits(bit, bitorder="little")
             words[k] = np.frombuffer(packed.tobytes().ljust(8 * width, b"\0"), "<u8")
-            now = np.concatenate([low := now[~bit], now[bit]])
-            zeros[k] = len(low)
+            order, zeros[k] = _split(bit)
+            now = now[order]
         return cls(len(ids), zeros, words)
 
     def _bits(self, k: int) -> np.ndarray:
@@ -116,13 +127,13 @@ class WaveletMatrix:
 
     def decode(self) -> np.ndarray:
         """All ids: the splits undone from the lowest plane up."""
-        now = np.zeros(self.size, np.uint32)
+        now = np.zeros(self.size, _narrow(len(self.words)))
         for k in reversed(range(len(self.words))):
-            bit, up = self._bits(k), np.empty(self.size, np.uint32)
-            up[~bit] = now[: self.zeros[k]]
-            up[bit] = now[self.zeros[k] :] | np.uint32(1 << (len(self.words) - 1 - k))
+            now[self.zeros[k] :] |= now.dtype.type(1 << (len(self.words) - 1 - k))
+            up = np.empty_like(now)
+            up[_split(self._bits(k))[0]] = now
             now = up
-        return now
+        return now.astype(np.uint32)
 
 
 def dump(docs: np.ndarray, lengths: np.ndarray, matrix: WaveletMatrix) -> bytes:
@@ -222,5 +233,6 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64(), mask=docs == NO_ID), pa.array(begin + starts, pa.int64()), pa.array(lengths.astype(np.int64)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    files = manifest.select("path", "start").repartition(F.col("path"))
+    # a stated number of partitions: the manifest is small, but its files are not, and they must not fall to one task
+    files = manifest.select("path", "start").repartition(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path")
     return files.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")

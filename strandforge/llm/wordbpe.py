@@ -72,7 +72,10 @@ class WordBpe:
                 self.words[word] = np.array(self.bare.encode(shown).ids, "<u4").tobytes()
 
     def _learn(self, chunks: list[str]) -> None:
-        simple = [c for c in chunks if _simple(c) and not any(s in c for s in self.special)]
+        simple = list(filter(_simple, chunks))
+        whole = "\n".join(simple)
+        if special := [s for s in self.special if s in whole]:
+            simple = [c for c in simple if not any(s in c for s in special)]
         flat = _pieces("\n".join([*simple, ""]).lower())
         known = self.words
         if new := list({w for w in flat if w not in known} - {"\n"}):
@@ -103,11 +106,11 @@ class WordBpe:
         coded = pc.list_flatten(lists).dictionary_encode()
         if isinstance(coded, pa.ChunkedArray):
             coded = coded.combine_chunks()
-        distinct = coded.dictionary.to_pylist()
-        known = self.chunks
-        if new := [c for c in distinct if c not in known]:
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.chunks.get, distinct))
+        if new := [c for c, ids in zip(distinct, found, strict=True) if ids is None]:
             self._learn(new)
-        found = [known[c] for c in distinct]
+            found = list(map(self.chunks.__getitem__, distinct))
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
         flat = np.frombuffer(b"".join(found), "<u4")
         at = coded.indices.to_numpy(zero_copy_only=False)
