@@ -64,12 +64,13 @@ class PieceTable:
         coded = parts.dictionary_encode()
         if isinstance(coded, pa.ChunkedArray):
             coded = coded.combine_chunks()
-        distinct = coded.dictionary.to_pylist()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         known = self.words
-        if new := [w for w in distinct if w not in known]:
+        found = list(map(known.get, distinct))
+        if new := [w for w, ids in zip(distinct, found, strict=True) if ids is None]:
             for word, ids in zip(new, self.library.encode(new, num_threads=1), strict=True):
                 known[word] = np.array(ids, "<u4").tobytes()
-        found = [known[w] for w in distinct]
+            found = list(map(known.__getitem__, distinct))
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
         flat = np.frombuffer(b"".join(found), "<u4")
         at = coded.indices.to_numpy(zero_copy_only=False)
