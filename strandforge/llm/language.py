@@ -137,8 +137,12 @@ def train(docs: DataFrame, max_docs: int = MAX_DOCS, id_col: str = "doc_id", tex
     if not names:
         return Languages([], np.zeros((1 << BITS, 0)))
     each = max(1, max_docs // len(names))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = ids.withColumn("place", place).where(F.col("place") <= each).select("doc_id", "lang").distinct()
+    # first within salted parts of a language, then among their winners: no task ranks all rows of one language
+    chosen = ids.withColumn("salt", F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(64)))
+    for parts in (["lang", "salt"], ["lang"]):
+        place = F.row_number().over(Window.partitionBy(*parts).orderBy(F.xxhash64("doc_id"), "doc_id"))
+        chosen = chosen.withColumn("place", place).where(F.col("place") <= each)
+    chosen = chosen.select("doc_id", "lang").distinct()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
