@@ -23,9 +23,14 @@ def symbol_counts(seq: Column, alphabet: str) -> Column:
 
 
 def kmers(seq: Column, k: int) -> Column:
-    """Array of the overlapping k-mers of a sequence; empty if it is shorter."""
+    """Array of the overlapping k-mers of a sequence; empty if it is shorter.
+
+    The one-element array binds the characters: ``substr`` would walk the whole string anew for each window.
+    """
     n = F.length(seq) - (k - 1)
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substr(seq, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    places = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
+    windows = F.transform(F.array(F.split(seq, "")), lambda c: F.transform(places, lambda i: F.array_join(F.slice(c, i, k), "")))[0]
+    return F.when(n > 0, windows).otherwise(F.array().cast("array<string>"))
 
 
 def ngram_counts(seq: Column, vocabulary: list[str]) -> Column:
@@ -44,6 +49,20 @@ def characters(seq: Column, length: Column | int | None = None, pad: str = "?")
     return F.split(seq if length is None else F.rpad(seq, F.lit(length) if isinstance(length, int) else length, pad), "")
 
 
+def _known(seq: Column, alphabet: str) -> Column:
+    strange = F.translate(seq, alphabet, "")
+    return F.when(strange != "", F.raise_error(F.concat(F.lit("unknown symbols in sequence: "), strange)).cast("string")).otherwise(seq)
+
+
+def symbol_places(seq: Column, alphabet: str) -> Column:
+    """Array of each character's place in the alphabet, from 1: the ones of a one-hot matrix, of any length and without padding.
+
+    A symbol outside of the alphabet is an error.
+    """
+    places = F.transform(F.split(_known(seq, alphabet), ""), lambda c: F.instr(F.lit(alphabet), c))
+    return F.when(seq != "", places).otherwise(F.array().cast("array<int>"))
+
+
 def one_hot(seq: Column, alphabet: str, length: int) -> Column:
     """``length`` rows of one byte per symbol: one look-up per position, zero rows for padding.
 
@@ -78,7 +97,8 @@ def translated(dna: Column, *, all_stops: bool = False) -> Column:
     vague = F.create_map(*(F.lit(x) for pair in sure.items() for x in pair))
     upper = F.upper(dna)
     n = F.floor(F.length(upper) / 3).cast("int")
-    codon = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.substr(upper, i * 3 + 1, F.lit(3)))
+    starts = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))
+    codon = F.transform(F.array(F.split(upper, "")), lambda c: F.transform(starts, lambda i: F.array_join(F.slice(c, i * 3 + 1, 3), "")))[0]
     acid = lambda c: F.coalesce(F.try_element_at(table, c), F.try_element_at(vague, c), F.when(c.rlike(f"^[{letters}]{{3}}$"), F.lit("X")).otherwise(F.raise_error(F.concat(F.lit("unknown codon "), c)).cast("string")))
     protein = F.when(n > 0, F.array_join(F.transform(codon, acid), "")).otherwise(F.lit(""))
     return F.replace(protein, F.lit("*"), F.lit("")) if all_stops else F.regexp_replace(protein, r"^\*+|\*+$", "")

@@ -1,12 +1,15 @@
 """Purification tags: approximate search as a seed join, redundancy, termini, stripping and reports.
 
 A tag of length n may differ in ``floor(n * (100 - cutoff) / 100)`` places, so one of that many plus one disjoint seeds
-must occur exactly. The tag library is small and fixed, so its seeds are broadcast; sequences give their k-mers of the
-seed lengths, and only seed hits are verified.
+must occur exactly. The tag library is small and fixed, so its seeds are broadcast; sequences are cut into short pieces that
+overlap by a tag's length, pieces give their k-mers of the seed lengths, and only seed hits are verified. A k-mer thus carries
+its piece and never the whole sequence, which may be of any length.
 """
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +21,10 @@ MOST_TAGS = 10_000
 # Name endings of tag types; residues that a fusion tag leaves outside; the gap within a terminus.
 TYPES = {"-Fusion": "fusion", "-Leader": "leader", "-Cleavage": "cleavage"}
 FUSION_REST, MARGIN, FIRST_M = 25, 4, 4
+#: Symbols of a piece, besides what it shares with the next one.
+PIECE = 64
+#: So many seeds at most are looked for in a piece before its k-mers are taken.
+FEW_SEEDS = 100
 
 
 def tag_type(name: Column) -> Column:
@@ -41,25 +48,35 @@ def _seeds(tags: DataFrame, cutoff: float) -> DataFrame:
 
 
 def _windows(text: Column, k: int) -> Column:
-    """struct<i (from 1), seed> of each window of ``k`` symbols."""
+    """struct<i (from 1), seed> of each window of ``k`` symbols of a short text."""
     starts = F.when(F.length(text) >= k, F.sequence(F.lit(1), F.greatest(F.length(text) - (k - 1), F.lit(1)))).otherwise(F.array().cast("array<int>"))
     return F.transform(starts, lambda i: F.struct(i.alias("i"), F.substr(text, i, F.lit(k)).alias("seed")))
 
 
+def _pieces(text: Column, overlap: int) -> Column:
+    """struct<begin (from 0), piece> of each piece of a text, in time linear in it; hits that start in its own symbols lie in the piece whole."""
+    size = max(PIECE, overlap)
+    own = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    # the one-element array binds the pieces for the look at the next one
+    return F.transform(F.array(own), lambda all_: F.transform(all_, lambda p, j: F.struct((j * size).alias("begin"), F.length(p).alias("own"), F.concat(p, F.left(F.coalesce(F.get(all_, j + 1), F.lit("")), F.lit(overlap))).alias("piece"))))[0]
+
+
 def tag_hits(df: DataFrame, tags: DataFrame, key: str, seq: str, cutoff: float = 90.0) -> DataFrame:
     """key, place, name, tag, type, start, end, identity of every window that is a tag to ``cutoff`` percent."""
     seeds = _seeds(tags, cutoff)
-    lengths = sorted(r[0] for r in seeds.select(F.length("seed")).distinct().collect())  # of a bounded library
-    text = F.col(seq)
-    # the one-element array binds the text, however it is computed, for all its windows
-    grams = F.transform(F.array(text), lambda t: F.flatten(F.array(*(_windows(t, k) for k in lengths))))[0]
-    spread = df.select(key, text.alias("__seq"), F.explode(grams).alias("g")).select(key, "__seq", F.col("g.i").alias("i"), F.col("g.seed").alias("seed"))
-    start = F.col("i") - 1 - F.col("seed_at")
+    known = seeds.select("seed", F.length("tag")).distinct().collect()  # of a bounded library
+    lengths = sorted({len(r[0]) for r in known})
+    cut = df.select(key, F.length(seq).alias("__n"), F.explode(_pieces(F.col(seq), max((r[1] for r in known), default=1) - 1)).alias("p"))
+    if len(found := sorted({r[0] for r in known})) <= FEW_SEEDS:  # pieces without any seed have no hits
+        cut = cut.where(F.col("p.piece").rlike("|".join(map(re.escape, found))))
+    cut = cut.select(key, "__n", F.col("p.begin").alias("__begin"), F.col("p.own").alias("__own"), F.col("p.piece").alias("__piece"))
+    grams = F.flatten(F.array(*(_windows(F.col("__piece"), k) for k in lengths)))
+    spread = cut.select("*", F.explode(grams).alias("g")).select(key, "__n", "__begin", "__own", "__piece", F.col("g.i").alias("i"), F.col("g.seed").alias("seed"))
     n = F.length("tag")
-    rest = F.length("__seq") - n
-    met = spread.join(F.broadcast(seeds), "seed").withColumn("start", start)
-    met = met.where((F.col("start") >= 0) & (F.col("start") <= rest) & (rest > 0) & ((F.col("type") != "fusion") | (rest >= FUSION_REST)))
-    window = F.substr(F.col("__seq"), F.col("start") + 1, n)
+    rest = F.col("__n") - n
+    met = spread.join(F.broadcast(seeds), "seed").withColumn("__at", F.col("i") - 1 - F.col("seed_at")).withColumn("start", F.col("__begin") + F.col("__at"))
+    met = met.where((F.col("__at") >= 0) & (F.col("__at") < F.col("__own")) & (F.col("start") <= rest) & (rest > 0) & ((F.col("type") != "fusion") | (rest >= FUSION_REST)))
+    window = F.substr(F.col("__piece"), F.col("__at") + 1, n)
     same = F.aggregate(F.zip_with(F.split(window, ""), F.split(F.col("tag"), ""), lambda a, b: (a == b).cast("int")), F.lit(0), lambda s, x: s + x)
     scored = met.withColumn("identity", F.round(100 * same / n, 2)).where(F.col("identity") >= cutoff)
     return scored.select(key, "place", "name", "tag", "type", "start", (F.col("start") + n).alias("end"), "identity").distinct()

@@ -5,8 +5,8 @@ from __future__ import annotations
 from .functions.alphabets import AA, AMINO, BACKGROUND, codons
 from .queries import PARENT, SHIFT, TAGS
 
-_AA = f"""(SELECT doc_id, substr(regexp_replace(upper(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')), '[^{AMINO}]', '', 'g'), 1, 300) AS aa_seq FROM documents)"""
-_DNA = """(SELECT doc_id, substr(translate(upper(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'ACGTACGTACGTACGTACGTACGTAC'), 1, 300) AS dna_seq FROM documents)"""
+_AA = f"""(SELECT doc_id, regexp_replace(upper(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')), '[^{AMINO}]', '', 'g') AS aa_seq FROM documents)"""
+_DNA = """(SELECT doc_id, translate(upper(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'ACGTACGTACGTACGTACGTACGTAC') AS dna_seq FROM documents)"""
 
 
 def _coded(shift: int = 0) -> str:

@@ -28,15 +28,15 @@ def _letters(df: DataFrame) -> F.Column:
 
 
 def proteins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, aa_seq: the amino-acid letters of each document, the first 300 (a protein's length)."""
+    """doc_id, aa_seq: all amino-acid letters of each document."""
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", F.substr(F.regexp_replace(_letters(d), f"[^{AMINO}]", ""), F.lit(1), F.lit(300)).alias("aa_seq"))
+    return d.select("doc_id", F.regexp_replace(_letters(d), f"[^{AMINO}]", "").alias("aa_seq"))
 
 
 def genes(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     mapped = F.translate(_letters(d), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ACGTACGTACGTACGTACGTACGTAC")
-    return d.select("doc_id", F.substr(mapped, F.lit(1), F.lit(300)).alias("dna_seq"))
+    return d.select("doc_id", mapped.alias("dna_seq"))
 
 
 def coded(spark: SparkSession, sf_dir: str, shift: int = 0) -> DataFrame:
@@ -183,10 +183,8 @@ def char_ngram_2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = proteins(spark, sf_dir)
-    hot = S.one_hot(F.col("aa_seq"), AA, 300)
-    rows = p.repartition("doc_id").select("doc_id", F.posexplode(hot).alias("pos", "row"))
-    return rows.select("doc_id", "pos", F.array_position("row", F.lit(1).cast("tinyint")).alias("symbol")).where("symbol > 0")
+    """The ones of each sequence's one-hot matrix: a row for each of its characters."""
+    return proteins(spark, sf_dir).select("doc_id", F.posexplode(S.symbol_places(F.col("aa_seq"), AA)).alias("pos", "symbol")).select("doc_id", "pos", F.col("symbol").cast("long").alias("symbol"))
 
 
 def translate_dna(spark: SparkSession, sf_dir: str) -> DataFrame:

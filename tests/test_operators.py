@@ -1,6 +1,7 @@
 """Known answers of single operators, and plain versions of those without SQL."""
 
 import itertools
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -217,3 +218,49 @@ def test_tables(spark, tmp_path):
 def test_pairs_within_counts(spark):
     df = spark.createDataFrame([(i, f"A{i + 1}C") for i in range(5)], "id int, c string").select("id", M.parsed_code(F.col("c")).alias("mutations"))
     assert {(r["a"], r["b"]) for r in variants.pairs_within(df, "id").collect()} == set(itertools.combinations(range(5), 2))
+
+
+def test_long_sequences(spark, tmp_path):
+    """Sequence and tag queries against plain versions over whole texts, far beyond 300 letters."""
+    from strandforge import queries
+
+    rng = np.random.default_rng(5)
+    texts = ["".join(rng.choice(list("ACDEFGHIKLMNPQRSTVWY hbzé\n"), n)) for n in (0, 5, 299, 301, 700, 4000)] + [None, "K" * 320 + "HHHHHH" + "A" * 700 + "WWW"]
+    spark.createDataFrame([(i + 5 * 7, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    letters = {i + 35: "".join(c for c in t or "" if c.isascii() and c.isalpha()).upper() for i, t in enumerate(texts)}
+    proteins = {i: "".join(c for c in t if c in AA) for i, t in letters.items()}
+    got = lambda name: [tuple(r) for r in queries.queries()[name](spark, str(tmp_path)).collect()]
+    assert dict(got("seq_length")) == {i: len(s) for i, s in proteins.items()} and max(map(len, proteins.values())) > 3000
+    assert sorted(got("one_hot")) == [(i, n, AA.index(c) + 1) for i, s in sorted(proteins.items()) for n, c in enumerate(s)]
+    assert sorted(got("char_counts_1gram")) == [(i, n, s.count(c)) for i, s in sorted(proteins.items()) for n, c in enumerate(AA)]
+    grams = lambda k: [(i, s[n : n + k]) for i, s in proteins.items() for n in range(len(s) - k + 1)]
+    assert {(i, g): n for i, g, n in got("char_ngram_2")} == {x: n for x, n in Counter(grams(2)).items()}
+    assert dict(got("kmer_distinct")) == dict(Counter(g for _, g in grams(3)))
+    genes = {i: "".join("ACGT"[(ord(c) - 65) % 4] for c in s) for i, s in letters.items()}
+    assert dict(got("translate_dna")) == {i: "".join(codons()[s[n : n + 3]] for n in range(0, len(s) - 2, 3)).strip("*") for i, s in genes.items()}
+    tagged = {i: ("MGSSHHHHHHSSG" if i % 5 == 0 else "") + s + ("DYKDDDDK" if i % 7 == 0 else "") for i, s in proteins.items()}
+    hits = {(i, *h) for i, s in tagged.items() for h in plain_hits(s, queries.TAGS, 80.0)}
+    assert set(got("tag_hits")) == hits and (42, "His-Tag", 320, 100.0) in hits and (42, "FLAG-Tag", 1029, 100.0) in hits
+    stripped = {r["doc_id"]: r["stripped_seq"] for r in queries.tag_strip(spark, str(tmp_path)).collect()}
+    assert stripped[42] == proteins[42]
+
+
+def test_tags_across_pieces(spark):
+    """A tag is found at each place of a long sequence, and a tag longer than a piece too."""
+    long = "".join(np.random.default_rng(1).choice(list("ACDEFG"), 100))
+    library = [("His-Tag", "HHHHHH"), ("Big-Tag", long)]
+    seqs = ["K" * n + t + "K" * 200 for n in range(140) for _, t in library]
+    df = spark.createDataFrame(list(enumerate(seqs)), "id int, s string")
+    hits = tags.tag_hits(df, tags.tag_library(spark, library), "id", "s", 80.0).collect()
+    assert sorted((r["id"], r["name"], r["start"], r["identity"]) for r in hits) == sorted((i, *h) for i, s in enumerate(seqs) for h in plain_hits(s, library, 80.0))
+
+
+def test_tags_many_seeds(spark, monkeypatch):
+    """The search for seeds before the join changes nothing."""
+    df = spark.createDataFrame([(1, "K" * 90 + "HHHAHH" + "K" * 90 + "DYKDDDDK")], "id int, s string")
+    library = tags.tag_library(spark, [("His-Tag", "HHHHHH"), ("FLAG-Tag", "DYKDDDDK")])
+    found = []
+    for few in (100, 0):
+        monkeypatch.setattr(tags, "FEW_SEEDS", few)
+        found.append(sorted((r["name"], r["start"], r["identity"]) for r in tags.tag_hits(df, library, "id", "s", 80.0).collect()))
+    assert found[0] == found[1] == [("FLAG-Tag", 186, 100.0), ("His-Tag", 90, 83.33)]
