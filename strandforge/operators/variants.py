@@ -85,8 +85,20 @@ def pairs_between(a: DataFrame, b: DataFrame, key: str, mutations: str = "mutati
     return left.crossJoin(right).select("a", "b", combined(F.col("__a"), F.col("__b"), check=check).alias(mutations))
 
 
-def pairs_within(df: DataFrame, key: str, mutations: str = "mutations", *, check: bool = True) -> DataFrame:
-    """Each pair of variants combined, the smaller key first."""
+def pairs_within(df: DataFrame, key: str, mutations: str = "mutations", *, check: bool = True, few: DataFrame | None = None) -> DataFrame:
+    """Each pair of variants combined, the smaller key first; with ``few``, some rows of ``df``, the pairs that have one of them at least.
+
+    All pairs are quadratic in the rows; ``few`` is broadcast.
+    """
+    if few is not None:
+        named = few.select(F.col(key).alias("__k"), F.lit(True).alias("__named"))
+        side = few.select(F.col(key).alias("__o"), F.col(mutations).alias("__y"))
+        rows = df.select(F.col(key).alias("__i"), F.col(mutations).alias("__x"))
+        met = rows.join(F.broadcast(named), F.col("__i") == F.col("__k"), "left").crossJoin(F.broadcast(side))
+        first = F.col("__i") < F.col("__o")
+        met = met.where(first | ((F.col("__i") > F.col("__o")) & F.col("__named").isNull()))  # a pair of two named rows once
+        ends = [F.when(first, F.col(x)).otherwise(F.col(y)).alias(n) for n, x, y in (("a", "__i", "__o"), ("b", "__o", "__i"), ("__a", "__x", "__y"), ("__b", "__y", "__x"))]
+        return met.select(*ends).select("a", "b", combined(F.col("__a"), F.col("__b"), check=check).alias(mutations))
     left = df.select(F.col(key).alias("a"), F.col(mutations).alias("__a"))
     right = df.select(F.col(key).alias("b"), F.col(mutations).alias("__b"))
     return left.join(right, F.col("a") < F.col("b")).select("a", "b", combined(F.col("__a"), F.col("__b"), check=check).alias(mutations))

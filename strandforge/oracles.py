@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .functions.alphabets import AA, AMINO, BACKGROUND, codons
-from .queries import PARENT, SHIFT, TAGS
+from .queries import CROSSED, PAIRED, PARENT, SHIFT, TAGS
 
 _AA = f"""(SELECT doc_id, regexp_replace(upper(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')), '[^{AMINO}]', '', 'g') AS aa_seq FROM documents)"""
 _DNA = """(SELECT doc_id, translate(upper(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'ACGTACGTACGTACGTACGTACGTAC') AS dna_seq FROM documents)"""
@@ -36,6 +36,14 @@ _CODONS = "MAP {" + ", ".join(f"'{c}': '{a}'" for c, a in codons().items()) + "}
 _ADJUSTED = f"(SELECT p_partkey, -abs(price - 1200) AS p, -size AS s, price, size FROM {_coded()})"
 
 
+def _pairs(pairs: str) -> str:
+    """SQL for a, b, code of pairs of keys: mutations of both by position, the targets of a shared one in the order of the pair."""
+    return f"""WITH p AS ({pairs}), m AS (SELECT * FROM {_MUTS}),
+            u AS (SELECT a, b, pos, src, targ, 0 AS side FROM p JOIN m ON p_partkey = a UNION ALL SELECT a, b, pos, src, targ, 1 FROM p JOIN m ON p_partkey = b),
+            g AS (SELECT a, b, pos, min(src) AS src, string_agg(targ, '' ORDER BY side) AS targ FROM u GROUP BY a, b, pos)
+            SELECT a, b, coalesce(string_agg(src || (pos + 1) || targ, '_' ORDER BY pos), '') AS code FROM p LEFT JOIN g USING (a, b) GROUP BY a, b"""
+
+
 def oracle_sql() -> dict[str, str]:
     z = lambda x: f"({x} - avg({x}) OVER ()) / stddev_pop({x}) OVER ()"
     return {
@@ -62,6 +70,8 @@ def oracle_sql() -> dict[str, str]:
         "fill_missing": f"SELECT p_partkey, CASE WHEN p_partkey <> 1 AND p_partkey % 3 = 0 THEN 'GIVEN' ELSE aa_seq END AS aa_seq FROM {_APPLIED}",
         "extract_mutations": f"SELECT p_partkey, CAST(pos AS INT) AS pos, src, targ FROM {_MUTS} WHERE src <> targ",
         "mutation_codes": f"SELECT p_partkey, sa || (a + 1) || ta || '-' || sb || (b + 1) || tb AS code FROM {_coded()} WHERE p_partkey <> 1",
+        "variant_pairs_cross": _pairs(f"SELECT x.p_partkey AS a, y.p_partkey AS b FROM part x, part y WHERE y.p_partkey IN {tuple(CROSSED)}"),
+        "variant_pairs_within": _pairs(f"SELECT x.p_partkey AS a, y.p_partkey AS b FROM part x, part y WHERE x.p_partkey < y.p_partkey AND (x.p_partkey IN {tuple(PAIRED)} OR y.p_partkey IN {tuple(PAIRED)})"),
         "seq_length": f"SELECT doc_id, length(aa_seq) AS aa_len FROM {_AA}",
         "char_counts_1gram": f"SELECT doc_id, CAST(i AS INT) AS i, length(aa_seq) - length(replace(aa_seq, substr('{AA}', CAST(i AS INT) + 1, 1), '')) AS n FROM (SELECT *, unnest(range(0, 21)) AS i FROM {_AA})",
         "char_ngram_2": f"SELECT doc_id, substr(aa_seq, CAST(i AS INT), 2) AS gram, count(*) AS n FROM (SELECT *, unnest(range(1, length(aa_seq))) AS i FROM {_AA}) GROUP BY ALL",

@@ -16,6 +16,8 @@ from .sources import tables
 
 PARENT = "MKTAYIAKQRQISFVKSHFSRQLEERLGLIEVQAPILSRVGDGTQDNLSGAEKAVQVKVK"
 SHIFT = 7
+#: Keys of the variants that all others are combined with: the full product is quadratic.
+CROSSED, PAIRED = [52, 53, 9], [2, 3, 52, 9]
 TAGS = [("His-Tag", "HHHHHH"), ("FLAG-Tag", "DYKDDDDK"), ("Long-Tag", "MGSSHHHHHHSSG"), ("His-Fusion", "SSHHHHHHSS"), ("Short-Leader", "MKK")]
 
 
@@ -156,18 +158,27 @@ def mutation_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("m is not null").select("p_partkey", M.code_of(back, "-", 0).alias("code"))
 
 
+def _variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All coded variants; the wild type has no mutations."""
+    found = F.coalesce(M.parsed_or_null(F.col("aa_mut")), F.array().cast(M.MUTATIONS))
+    return coded(spark, sf_dir).select("p_partkey", found.alias("mutations"))
+
+
 def _few(spark: SparkSession, sf_dir: str, at: list[int]) -> DataFrame:
-    """Named variants, the operands of a product."""
-    return coded(spark, sf_dir).where(F.col("p_partkey").isin(at)).select("p_partkey", M.parsed_or_null(F.col("aa_mut")).alias("mutations"))
+    """Named variants, the small side of a product with all variants."""
+    return _variants(spark, sf_dir).where(F.col("p_partkey").isin(at))
 
 
 def variant_pairs_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = variants.pairs_between(_few(spark, sf_dir, [2, 3, 4]), _few(spark, sf_dir, [52, 53, 9]), "p_partkey")
+    """Every variant combined with each of CROSSED."""
+    out = variants.pairs_between(_variants(spark, sf_dir), F.broadcast(_few(spark, sf_dir, CROSSED)), "p_partkey")
     return out.select("a", "b", M.code_of(F.col("mutations")).alias("code"))
 
 
 def variant_pairs_within(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return variants.pairs_within(_few(spark, sf_dir, [2, 3, 52, 9]), "p_partkey").select("a", "b", M.code_of(F.col("mutations")).alias("code"))
+    """Every pair of variants of which one at least is among PAIRED."""
+    out = variants.pairs_within(_variants(spark, sf_dir), "p_partkey", few=_few(spark, sf_dir, PAIRED))
+    return out.select("a", "b", M.code_of(F.col("mutations")).alias("code"))
 
 
 def seq_length(spark: SparkSession, sf_dir: str) -> DataFrame:

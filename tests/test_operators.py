@@ -264,3 +264,20 @@ def test_tags_many_seeds(spark, monkeypatch):
         monkeypatch.setattr(tags, "FEW_SEEDS", few)
         found.append(sorted((r["name"], r["start"], r["identity"]) for r in tags.tag_hits(df, library, "id", "s", 80.0).collect()))
     assert found[0] == found[1] == [("FLAG-Tag", 186, 100.0), ("His-Tag", 90, 83.33)]
+
+
+def test_pairs_within_few(spark):
+    df = spark.createDataFrame([(i, f"A{i % 4 + 1}{'CDEFGH'[i]}") for i in range(6)], "id int, c string").select("id", M.parsed_code(F.col("c")).alias("mutations"))
+    plain_rows = lambda d: sorted((r["a"], r["b"], plain(r["mutations"])) for r in d.collect())
+    every = plain_rows(variants.pairs_within(df, "id"))
+    assert plain_rows(variants.pairs_within(df, "id", few=df.where("id in (1, 4)"))) == [r for r in every if {1, 4} & {r[0], r[1]}]
+
+
+def test_pairs_cover_the_table(spark):
+    from strandforge import queries
+
+    data = "/root/testdata/sf0.001"
+    n = queries.table(spark, data, "part").count()
+    assert queries.variant_pairs_cross(spark, data).select("a").distinct().count() == n
+    within = queries.variant_pairs_within(spark, data)
+    assert within.count() == 4 * (n - 4) + 6
