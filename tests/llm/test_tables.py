@@ -45,6 +45,19 @@ def test_pages(spark):
     assert pages.main_text(df.limit(0)).count() == 0
 
 
+def test_pages_keep_text_outside_the_main_container(spark):
+    letter = "<div>Sign up for our weekly letter and never miss a story again today</div>"
+    rows = [(i, f"http://m.example/{i}", f"<main><h1>Title {i}</h1><p>lead {only(i)}</p><article><p>body {i}</p>{letter}</article>{letter}<p>after{i} all{i}</p></main><footer>own {i}</footer>") for i in range(4)]
+    rows += [(i, f"http://p.example/{i}", f"<body><p>{only(i)}</p><div class='panel-body'>panel {i}</div><p>end {only(i + 50)}</p><main>{letter}</main><div class='story'>Read on with ten more pieces from all of our other desks</div></body>") for i in range(10, 14)]
+    out = {r["page_id"]: r for r in pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(4):
+        assert out[i]["text"] == f"Title {i}\n\nlead {only(i)}\n\nbody {i}\n\n{letter[5:-6]}\n\nafter{i} all{i}"
+        assert (out[i]["repeated_blocks"], out[i]["marked_blocks"]) == (1, 1)
+    for i in range(10, 14):
+        assert out[i]["text"] == f"{only(i)}\n\npanel {i}\n\nend {only(i + 50)}"
+        assert (out[i]["repeated_blocks"], out[i]["marked_blocks"]) == (2, 0)
+
+
 def test_suffix_ranks():
     rng = np.random.default_rng(1)
     tokens = rng.integers(0, 3, 300)
