@@ -93,11 +93,10 @@ def oracle_sql() -> dict[str, str]:
         "adjacency_dense": f"SELECT conv_id, row, col FROM {_CELLS}",
         "incidence": f"SELECT conv_id, src AS node, edge, -1.0::DOUBLE AS v FROM {_EDGES} UNION ALL SELECT conv_id, dst, edge, 1.0 FROM {_EDGES} WHERE src <> dst",
         "adjacency_by_type": f"SELECT conv_id, t::INT AS type, count(*) FILTER (src % 2 = t) AS n FROM {_EDGES}, (VALUES (0), (1), (2)) AS v(t) GROUP BY ALL",
-        "return_probabilities": f"""WITH w AS (SELECT conv_id, row, col, sum(p) AS p FROM (SELECT conv_id, row, col, 0.5 / count(*) OVER (PARTITION BY conv_id, row) AS p FROM {_CELLS} UNION ALL SELECT conv_id, unnest(range(0, last + 1))::INT, unnest(range(0, last + 1))::INT, 0.5 FROM {_TURNS}) GROUP BY ALL),
-            w2 AS (SELECT a.conv_id, a.row, b.col, sum(a.p * b.p) AS p FROM w a JOIN w b ON a.conv_id = b.conv_id AND a.col = b.row GROUP BY ALL),
-            w3 AS (SELECT a.conv_id, a.row, b.col, sum(a.p * b.p) AS p FROM w2 a JOIN w b ON a.conv_id = b.conv_id AND a.col = b.row GROUP BY ALL),
-            w4 AS (SELECT a.conv_id, a.row, b.col, sum(a.p * b.p) AS p FROM w3 a JOIN w b ON a.conv_id = b.conv_id AND a.col = b.row GROUP BY ALL)
-            SELECT conv_id, row AS node, step, round(p, 6) + 0.0 AS p FROM (SELECT *, 0 AS step FROM w2 UNION ALL SELECT *, 1 FROM w3 UNION ALL SELECT *, 2 FROM w4) WHERE row = col""",
+        "return_probabilities": f"""WITH RECURSIVE w AS MATERIALIZED (SELECT conv_id, row, col, sum(p) AS p FROM (SELECT conv_id, row, col, 0.5 / count(*) OVER (PARTITION BY conv_id, row) AS p FROM {_CELLS} UNION ALL SELECT conv_id, unnest(range(0, last + 1))::INT, unnest(range(0, last + 1))::INT, 0.5 FROM {_TURNS}) GROUP BY ALL),
+            r AS (SELECT conv_id, row, col, p::DOUBLE AS p, -1 AS step FROM w
+            UNION ALL SELECT r.conv_id, r.row, w.col, sum(r.p * w.p) AS p, r.step + 1 AS step FROM r JOIN w ON r.conv_id = w.conv_id AND r.col = w.row WHERE r.step < 99 GROUP BY r.conv_id, r.row, w.col, r.step)
+            SELECT conv_id, row AS node, step, round(p, 6) + 0.0 AS p FROM r WHERE row = col AND step >= 0""",
         "linear_kernel": "SELECT e.vec_id AS a, f.vec_id AS b, round(list_dot_product(e.embedding::DOUBLE[], f.embedding::DOUBLE[]), 4) + 0.0 AS value FROM embeddings e, (SELECT min(vec_id) AS vec_id, arg_min(embedding, vec_id) AS embedding FROM embeddings GROUP BY label) f",
         "kmer_distinct": f"SELECT substr(aa_seq, CAST(i AS INT), 3) AS kmer, count(*) AS n FROM (SELECT *, unnest(range(1, length(aa_seq) - 1)) AS i FROM {_AA}) GROUP BY 1",
         "mean_embedding": "SELECT vec_id, CAST(i AS INT) AS i, round(avg(embedding[CAST(j * 8 + i + 1 AS INT)]::DOUBLE), 6) + 0.0 AS x FROM embeddings, range(0, 8) AS a(i), range(0, 8) AS b(j) GROUP BY ALL",

@@ -270,7 +270,7 @@ def adjacency_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def return_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = graphs.with_return_probabilities(graphs.with_adjacency(turns(spark, sf_dir)), 3, out="p")
+    g = graphs.with_return_probabilities(graphs.with_adjacency(turns(spark, sf_dir)), out="p")
     rows = g.select("conv_id", F.posexplode("p").alias("node", "r"))
     return rows.select("conv_id", "node", F.posexplode("r").alias("step", "p")).select("conv_id", "node", "step", _r("p").alias("p"))
 

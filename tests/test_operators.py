@@ -281,3 +281,11 @@ def test_pairs_cover_the_table(spark):
     assert queries.variant_pairs_cross(spark, data).select("a").distinct().count() == n
     within = queries.variant_pairs_within(spark, data)
     assert within.count() == 4 * (n - 4) + 6
+
+
+def test_return_probabilities_have_100_steps(spark):
+    from strandforge import queries
+
+    data = "/root/testdata/sf0.001"
+    steps = queries.return_probabilities(spark, data).groupBy("conv_id", "node").agg(F.collect_set("step").alias("s")).collect()
+    assert steps and all(sorted(r["s"]) == list(range(100)) for r in steps)
