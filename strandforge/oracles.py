@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .functions.alphabets import AA, AMINO, BACKGROUND, codons
-from .queries import CROSSED, PAIRED, PARENT, SHIFT, TAGS
+from .queries import CROSSED, PAIRED, PARENT, SHIFT, TABLES, TAGS
 
 _AA = f"""(SELECT doc_id, regexp_replace(upper(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')), '[^{AMINO}]', '', 'g') AS aa_seq FROM documents)"""
 _DNA = """(SELECT doc_id, translate(upper(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'ACGTACGTACGTACGTACGTACGTAC') AS dna_seq FROM documents)"""
@@ -104,6 +104,6 @@ def oracle_sql() -> dict[str, str]:
         "tag_hits": f"SELECT doc_id, name, start, identity FROM {_HITS} WHERE identity >= 80",
         "tag_summary": f"SELECT name, count(*) AS n_hits, count(DISTINCT doc_id) AS n_sequences, CAST(round_even(100.0 * count(DISTINCT doc_id) / (SELECT count(*) FROM documents), 0) AS INT) AS percent FROM {_HITS} WHERE identity >= 80 GROUP BY 1",
         "catalog_report": " UNION ALL ".join(
-            f"SELECT '{t}' AS name, (SELECT count(*) FROM {t}) AS n_rows, (SELECT count(*) FROM (DESCRIBE {t})) AS n_columns, (SELECT string_agg(column_name, ',') FROM (DESCRIBE {t})) AS features" for t in ("part", "documents", "labels", "embeddings")
+            f"SELECT '{t}' AS name, (SELECT count(*) FROM {t}) AS n_rows, (SELECT count(*) FROM (DESCRIBE {t})) AS n_columns, (SELECT string_agg(column_name, ',') FROM (DESCRIBE {t})) AS features" for t in TABLES
         ),
     }

@@ -16,6 +16,7 @@ from .sources import tables
 
 PARENT = "MKTAYIAKQRQISFVKSHFSRQLEERLGLIEVQAPILSRVGDGTQDNLSGAEKAVQVKVK"
 SHIFT = 7
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: Keys of the variants that all others are combined with: the full product is quadratic.
 CROSSED, PAIRED = [52, 53, 9], [2, 3, 52, 9]
 TAGS = [("His-Tag", "HHHHHH"), ("FLAG-Tag", "DYKDDDDK"), ("Long-Tag", "MGSSHHHHHHSSG"), ("His-Fusion", "SSHHHHHHSS"), ("Short-Leader", "MKK")]
@@ -338,8 +339,7 @@ def artificial_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def catalog_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = ["part", "documents", "labels", "embeddings"]
-    return tables.catalog(spark, {n: table(spark, sf_dir, n) for n in names}).select("name", "n_rows", F.col("n_columns").cast("long").alias("n_columns"), "features")
+    return tables.catalog(spark, {n: table(spark, sf_dir, n) for n in TABLES}).select("name", "n_rows", F.col("n_columns").cast("long").alias("n_columns"), "features")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -289,3 +289,12 @@ def test_return_probabilities_have_100_steps(spark):
     data = "/root/testdata/sf0.001"
     steps = queries.return_probabilities(spark, data).groupBy("conv_id", "node").agg(F.collect_set("step").alias("s")).collect()
     assert steps and all(sorted(r["s"]) == list(range(100)) for r in steps)
+
+
+def test_catalog_has_every_table(spark):
+    from pathlib import Path
+
+    from strandforge import queries
+
+    data = "/root/testdata/sf0.001"
+    assert {r["name"] for r in queries.catalog_report(spark, data).collect()} == {p.stem for p in Path(data).glob("*.parquet")}
