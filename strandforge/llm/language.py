@@ -10,24 +10,32 @@ ids hash lowest; their counts, at most languages x buckets rows, are summed in S
 from its whole text in one pass without a shuffle.
 
 Nulls and edge cases: a null text, a text without a letter, or an empty training set give ``und`` with score 0; rows
-with a null ``lang`` do not train; a null ``doc_id`` is not held out; repeated rows are decided each.
+with a null ``lang`` do not train; a null ``doc_id`` is not held out; repeated rows are decided each, and train once; of
+equal proportions the language that is first by name wins; a very long text is a batch of its own and is read whole; an
+empty table gives no rows; other columns are ignored, whatever their names, and pass through ``keep_identified``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import slices
 from .quality import held_out
 
+if TYPE_CHECKING:
+    from pyspark import Broadcast
+
 BITS = 16
 MAX_DOCS = 6000
+#: Languages at most: a table of 2**BITS doubles for each is broadcast once, half a megabyte a language.
+MAX_LANGUAGES = 256
 UNDETERMINED = "und"
 # ASCII characters that are no letters stand as spaces between words
 _spaces = bytes(b if b > 127 or chr(b).isalpha() else 32 for b in range(256))
@@ -36,16 +44,18 @@ _spaces = bytes(b if b > 127 or chr(b).isalpha() else 32 for b in range(256))
 def units(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hashed 3-grams, first 3-gram of each word, first word of each text and the end) of all texts.
 
-    A word's 3-grams are those that begin at the space before it or at a byte of it.
+    A word's 3-grams are those that begin at the space before it or at a byte of it, and a text's do not depend on the next one.
     """
     raw = [b" " + (t or "").lower().encode().translate(_spaces) + b" \0" for t in texts]
-    buf = np.frombuffer(b"".join(raw), np.uint8)
+    ends = np.cumsum([len(r) for r in raw])
+    buf = np.frombuffer(b"".join([*raw, b"  "]), np.uint8)
     wide = buf.astype(np.uint32)
     grams = ((wide[:-2] | wide[1:-1] << np.uint32(8) | wide[2:] << np.uint32(16)) * np.uint32(2654435761)) >> np.uint32(32 - BITS)
     blank = (buf == 32) | (buf == 0)
-    begins = np.flatnonzero(blank[:-2] & ~blank[1:-1])  # the space before each word
-    ends = np.cumsum([len(r) for r in raw])
-    return grams, begins, np.concatenate([[0], np.searchsorted(begins, ends)])
+    own = ~(blank[:-2] & blank[1:-1])
+    at = np.cumsum(own) - own
+    begins = np.flatnonzero(blank[:-2] & own)  # the space before each word
+    return grams[own], at[begins], np.concatenate([[0], np.searchsorted(begins, ends)])
 
 
 @dataclass
@@ -57,7 +67,6 @@ class Languages:
         """Log-likelihood of each word in each language."""
         if not len(begins):
             return np.zeros((0, len(self.names)))
-        # 3-grams from the end of a word to the next word's space belong to the word before; they hold spaces only
         return np.add.reduceat(self.table[grams], begins, 0)
 
 
@@ -132,17 +141,23 @@ def decide(model: Languages, texts: list[str | None], penalty: float = 3.0) -> t
 def train(docs: DataFrame, max_docs: int = MAX_DOCS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", smooth: float = 0.5) -> Languages:
     """3-gram tables of every language, from documents that are not held out (remainder 2 of 4)."""
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col, 4, 2))
-    ids = rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"))
-    names = sorted(r.lang for r in ids.select("lang").distinct().collect())
+    rows = rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
+    if len(sizes) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages: their tables go to every executor")
+    names = sorted(sizes)
     if not names:
         return Languages([], np.zeros((1 << BITS, 0)))
     each = max(1, max_docs // len(names))
-    # first within salted parts of a language, then among their winners: no task ranks all rows of one language
-    chosen = ids.withColumn("salt", F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(64)))
-    for parts in (["lang", "salt"], ["lang"]):
-        place = F.row_number().over(Window.partitionBy(*parts).orderBy(F.xxhash64("doc_id"), "doc_id"))
-        chosen = chosen.withColumn("place", place).where(F.col("place") <= each)
-    chosen = chosen.select("doc_id", "lang").distinct()
+    # only ids that hash below a bound that about twice ``each`` of a language meet go on, so that no task ranks all of one
+    hashed = F.xxhash64("doc_id")
+    bound = F.lit(None).cast("long")
+    for lang, n in sizes.items():
+        share = (2 * each + 64) / max(n, 1)
+        bound = F.when(F.col("lang") == lang, F.lit((1 << 63) - 1 if share >= 1 else int(share * 2.0**64) - (1 << 63))).otherwise(bound)
+    few = rows.select("doc_id", "lang").where(hashed <= bound).distinct()
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    chosen = few.withColumn("place", place).where(F.col("place") <= each).select("doc_id", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -157,7 +172,8 @@ def train(docs: DataFrame, max_docs: int = MAX_DOCS, id_col: str = "doc_id", tex
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at])], names=["lang", "bucket", "n"])
 
-    texts = rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")  # max_docs rows
+    # max_docs rows at most, one text for each: an id that stands on many rows trains by its last text in order
+    texts = rows.join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.max("text").alias("text"))
     sums = texts.select("lang", "text").mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     table = np.full((1 << BITS, len(names)), smooth)
     where = {x: i for i, x in enumerate(names)}
@@ -165,13 +181,19 @@ def train(docs: DataFrame, max_docs: int = MAX_DOCS, id_col: str = "doc_id", tex
     return Languages(names, np.log(table / table.sum(0)))
 
 
+def _broadcast(model: Languages) -> Broadcast[Languages]:
+    """The model once for each executor instead of once for each task; its size is bounded by MAX_LANGUAGES."""
+    return SparkSession.getActiveSession().sparkContext.broadcast(model)
+
+
 def decider(model: Languages, penalty: float = 3.0) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """For mapInArrow: puts ``lang_pred`` and ``lang_score`` in place of the ``text`` column."""
+    shared = _broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, limit=2 << 20):
             at = batch.schema.get_field_index("text")
-            names, scores, _ = decide(model, batch.column(at).to_pylist(), penalty)
+            names, scores, _ = decide(shared.value, batch.column(at).to_pylist(), penalty)
             rest = [i for i in range(batch.num_columns) if i != at]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in rest), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*(batch.schema.names[i] for i in rest), "lang_pred", "lang_score"])
 
@@ -180,11 +202,11 @@ def decider(model: Languages, penalty: float = 3.0) -> Callable[[Iterator[pa.Rec
 
 def keep_identified(docs: DataFrame, least: float = 0.5, max_docs: int = MAX_DOCS, penalty: float = 3.0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``docs``, all columns unchanged, of which one language holds ``least`` of the words or more."""
-    model = train(docs, max_docs, id_col, text_col, lang_col)
+    shared = _broadcast(train(docs, max_docs, id_col, text_col, lang_col))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text_col, limit=2 << 20):
-            names, scores, _ = decide(model, batch.column(batch.schema.get_field_index(text_col)).to_pylist(), penalty)
+            names, scores, _ = decide(shared.value, batch.column(batch.schema.get_field_index(text_col)).to_pylist(), penalty)
             yield batch.filter(pa.array([n != UNDETERMINED and x >= least for n, x in zip(names, scores, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
