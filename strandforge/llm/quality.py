@@ -4,13 +4,16 @@ Features are indicators of hashed byte 3-grams of the text, plus indicators of h
 it. Each indicator is scaled by its class log-count ratio (naive Bayes), a linear hinge-loss model is fitted on the
 scaled indicators by dual coordinate descent, and a logistic curve maps margins to scores.
 
-The model is fitted on at most ``max_rows`` labelled rows, those whose ids hash lowest, so its cost and the size of what
-reaches the driver (a bounded set of feature numbers per row) do not grow with the corpus; every row is scored, from its
-whole text, in one pass without a shuffle.
+The model is fitted on at most ``max_rows`` labelled rows, those whose ids hash lowest, and at most ``MOST_FEATURES``
+feature numbers of each, so its cost and the size of what reaches the driver do not grow with the corpus; every row is
+scored, from its whole text, in one pass without a shuffle. The repeat shares are a small addition to the method's n-grams,
+which see a repeated word only as more of the same.
 
 Nulls and edge cases: a null text counts as empty and is scored from the model's offset; rows without a label (or a null
 one) do not train; with several labels for an id the highest counts; without any training row, or with one class only,
-every score is the share of label 1 (1 where there is no row); a null ``doc_id`` never trains and is not held out.
+every score is the share of label 1 (1 where there is no row); a null ``doc_id`` never trains and is not held out; repeated
+rows are scored each and train once; a score of exactly the threshold passes; a very long text is a batch of its own and is
+scored whole; an empty table gives no rows; other columns are ignored, whatever their names, and pass through ``keep_good``.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ from .common import slices
 
 BITS = 18
 MAX_ROWS = 6000
+#: Features of a text that trains, at most: what reaches the driver is bounded by MAX_ROWS * MOST_FEATURES * 4 bytes, 393 MB.
+MOST_FEATURES = 1 << 14
 #: Shares of repeated words above which an indicator is set; their features follow the hashed ones.
 REPEATS = (0.01, 0.03, 0.1, 0.25, 0.5)
 SIZE = (1 << BITS) + len(REPEATS)
@@ -48,6 +53,14 @@ def features(text: str | None, seen: np.ndarray) -> np.ndarray:
     return grams
 
 
+def training_features(text: str | None, seen: np.ndarray) -> np.ndarray:
+    """features(), but of a text with more than MOST_FEATURES those that hash lowest."""
+    found = features(text, seen)
+    if len(found) <= MOST_FEATURES:
+        return found
+    return found[np.argsort((found * np.uint32(2246822519)) & np.uint32(0xFFFFFFFF), kind="stable")[:MOST_FEATURES]]
+
+
 @dataclass
 class NbSvm:
     weights: np.ndarray
@@ -117,19 +130,32 @@ def held_out(id_col: str = "doc_id", parts: int = 5, part: int = 0) -> F.Column:
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> NbSvm:
     """Fit on the ``max_rows`` labelled rows, held-out ones excluded, whose ids hash lowest."""
     marked = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isNotNull())
-    # only ids that docs still has: a stage before may have removed some
-    there = docs.select(F.col(id_col).cast("long").alias("doc_id")).distinct()
-    chosen = marked.where(~held_out()).groupBy("doc_id").agg(F.max("label").alias("label")).join(there, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    marked = marked.where(~held_out()).groupBy("doc_id").agg(F.max("label").alias("label"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    # only ids that docs still has, since a stage before may have removed some: those of lowest hash are looked up first
+    hashed, n, factor = F.xxhash64("doc_id"), marked.count(), 4
+    while True:
+        share = factor * max_rows / max(n, 1)
+        near = marked if share >= 1 else marked.where(hashed <= int(share * 2.0**64) - (1 << 63))
+        near = F.broadcast(near) if factor == 4 else near  # 4 * max_rows rows, or about as many
+        there = rows.select("doc_id").join(near, "doc_id").select("doc_id", "label").distinct()
+        chosen = there.orderBy(hashed, "doc_id").limit(max_rows)
+        if share >= 1 or chosen.count() == max_rows:
+            break
+        factor *= 16
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(SIZE, np.int64)
         for batch in slices(batches):
-            rows = [features(t, seen).astype(np.int32) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.list_(pa.int32()))], names=["doc_id", "label", "found"])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")  # max_rows rows
-    got = rows.select("doc_id", "label", "text").mapInArrow(gather, "doc_id long, label int, found array<int>").toArrow().sort_by("doc_id")
-    return fit([np.array(x, np.uint32) for x in got["found"].to_pylist()], got["label"].to_numpy())
+            found = [training_features(t, seen) for t in batch.column(2).to_pylist()]
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), pa.array(np.concatenate(found).astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["doc_id", "label", "found"])
+
+    # max_rows rows, one text for each: an id that stands on many rows trains by its last text in order
+    texts = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.max("text").alias("text"))
+    got = texts.mapInArrow(gather, "doc_id long, label int, found array<int>").toArrow().sort_by("doc_id")
+    parts = [np.asarray(x.values, np.uint32) for chunk in got["found"].chunks for x in chunk]  # views of Arrow's buffers
+    return fit(parts, got["label"].to_numpy())
 
 
 def scorer(model: NbSvm) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
