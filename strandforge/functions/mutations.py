@@ -52,12 +52,22 @@ def applied(mutations: Column, parent: Column, offset: Column | int = 0, *, chec
 
 
 def extracted(variant: Column, parent: Column, offset: int = 0) -> Column:
-    """Mutations that lead from ``parent`` to ``variant``; null where their lengths differ."""
-    every = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length(parent), F.lit(1))),
-        lambda i: F.struct((i - 1 - offset).cast("int").alias("pos"), F.substr(parent, i, F.lit(1)).alias("src"), F.substr(variant, i, F.lit(1)).alias("targ")),
-    )
-    return F.when(F.length(variant) == F.length(parent), F.filter(every, lambda m: m["src"] != m["targ"]).cast(MUTATIONS))
+    """Mutations that lead from ``parent`` to ``variant``; null where their lengths differ.
+
+    One-element arrays bind both sequences and their characters, so that each is computed once per row.
+    """
+
+    def between(v: Column, p: Column) -> Column:
+        pairs = F.arrays_zip(F.split(p, "").alias("src"), F.split(v, "").alias("targ"))
+        every = F.transform(pairs, lambda x, i: F.struct((i - offset).cast("int").alias("pos"), x["src"].alias("src"), x["targ"].alias("targ")))
+        return F.when(F.length(v) == F.length(p), F.filter(every, lambda m: m["src"] != m["targ"]).cast(MUTATIONS))
+
+    return F.transform(F.array(F.struct(variant.alias("v"), parent.alias("p"))), lambda x: between(x["v"], x["p"]))[0]
+
+
+def extracted_code(variant: Column, parent: Column, delimiter: str = "_", offset: int = 0) -> Column:
+    """Code of the mutations that lead from ``parent`` to ``variant``."""
+    return code_of(extracted(variant, parent, offset), delimiter)
 
 
 def code_of(mutations: Column, delimiter: str = "_", offset: int = 0) -> Column:
@@ -88,3 +98,23 @@ def combined(first: Column, second: Column, *, check: bool = True) -> Column:
     new = F.filter(second, lambda m: F.size(at(first, m)) == 0)
     both = F.flatten(F.flatten(F.transform(first, lambda a: F.transform(at(second, a), lambda b: meet(a, b)))))
     return by_position(F.concat(own.cast(MUTATIONS), both.cast(MUTATIONS), new.cast(MUTATIONS))).cast(MUTATIONS)
+
+
+def concatenated(lists: Column) -> Column:
+    """One list of the mutations of several, in the order given."""
+    return F.flatten(lists)
+
+
+def mutation_column(columns: list[str]) -> str | None:
+    """Column with a table's codes: that of the DNA sequence before that of the protein."""
+    for family in ("dna", "aa"):
+        if {f"{family}_seq", f"{family}_mut"} <= set(columns):
+            return f"{family}_mut"
+    return None
+
+
+def checked_mutation(found: tuple[int, str, str]) -> tuple[int, str, str]:
+    """A mutation given as a tuple, or a TypeError."""
+    if not (isinstance(found, tuple) and len(found) == 3 and isinstance(found[0], int) and isinstance(found[1], str) and isinstance(found[2], str)):
+        raise TypeError("a mutation is (position, source, target)")
+    return found

@@ -39,6 +39,18 @@ def ngram_counts(seq: Column, vocabulary: list[str]) -> Column:
     return F.array(*(F.size(F.array_compact(F.transform(found[len(v)], _is(v)))) for v in vocabulary))
 
 
+def ngrams(seq: Column, low: int, high: int) -> Column:
+    """Array of the overlapping n-grams of every length from ``low`` to ``high``."""
+    if not 1 <= low <= high:
+        raise ValueError("lengths of n-grams are from 1 up")
+    return F.concat(*(kmers(seq, n) for n in range(low, high + 1)))
+
+
+def rows_to_flat(rows: Column) -> Column:
+    """The concatenation of the rows of a matrix."""
+    return F.flatten(rows)
+
+
 def _is(value: str) -> Callable[[Column], Column]:
     """For transform: the value where it is this one, else null."""
     return lambda x: F.when(x == value, x)

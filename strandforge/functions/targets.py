@@ -86,3 +86,13 @@ def target_matrix(df: DataFrame, max_targets: int | None = None, normalization:
     """The first ``max_targets`` target columns, normalised."""
     targets = target_columns(df)[:max_targets]
     return normalization(df.select(*(F.col(f"`{c}`") for c in targets)), targets)
+
+
+def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
+    """bin, n: even bins from the smallest to the largest value; the last includes its end. Nulls and NaN are left out."""
+    value = F.col(f"`{column}`").cast("double")
+    rows = df.select(value.alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x"))
+    ends = rows.agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    width = F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) / bins
+    place = F.least(F.coalesce(F.floor((F.col("x") - F.col("lo")) / width), F.lit(0)), F.lit(bins - 1))
+    return rows.crossJoin(F.broadcast(ends)).groupBy(place.cast("int").alias("bin")).agg(F.count("*").alias("n"))  # one row

@@ -47,26 +47,39 @@ def adjacency_cells(df: DataFrame, key: str, edges: str = "bnd_idcs", *, directe
     return cells.where((F.col("row") < F.col("n")) & (F.col("col") < F.col("n"))).select(key, "row", "col").distinct()
 
 
-def _filled(graph: list[np.ndarray], n: int, size: int, fill: float, pad: float, directed: bool) -> np.ndarray:
+def _filled(graph: list[np.ndarray], n: int, size: int, fill: float | np.ndarray, pad: float, directed: bool) -> np.ndarray:
     out = np.full((size, size), pad, np.float32)
     out[:n, :n] = 0
     if len(graph) == 2:
         src, dst = np.asarray(graph[0], np.int64), np.asarray(graph[1], np.int64)
+        values = np.asarray(fill, np.float32)
+        if values.ndim and len(values) != len(src):
+            raise ValueError("as many values as edges are needed")
         ok = (src < size) & (dst < size)
-        out[src[ok], dst[ok]] = fill
+        values = values[ok] if values.ndim else values
+        out[src[ok], dst[ok]] = values
         if not directed:
-            out[dst[ok], src[ok]] = fill
+            out[dst[ok], src[ok]] = values
     return out
 
 
-def with_adjacency(df: DataFrame, edges: str = "bnd_idcs", out: str = "atm_adj", size: int | None = None, fill: float = 1.0, pad: float = 0.0, *, directed: bool = False) -> DataFrame:
-    """``df`` with a dense matrix per graph, as array<array<float>>; ``size`` pads it."""
+def with_adjacency(df: DataFrame, edges: str = "bnd_idcs", out: str = "atm_adj", size: int | None = None, fill: float | str = 1.0, pad: float = 0.0, *, directed: bool = False) -> DataFrame:
+    """``df`` with a dense matrix per graph, as array<array<float>>; ``size`` pads it, ``fill`` is a number or names a column with one for each edge."""
+    values = F.col(fill).cast("array<double>") if isinstance(fill, str) else F.array(F.lit(float(fill)))
 
     @F.pandas_udf("array<array<float>>")
-    def matrix(e: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series([[list(r) for r in _filled(list(g), k, size or k, fill, pad, directed)] for g, k in zip(e, n, strict=True)])
+    def matrix(e: pd.Series, n: pd.Series, f: pd.Series) -> pd.Series:
+        return pd.Series([[list(r) for r in _filled(list(g), k, size or k, v if isinstance(fill, str) else v[0], pad, directed)] for g, k, v in zip(e, n, f, strict=True)])
+
+    return df.withColumn(out, matrix(F.col(edges), node_count(F.col(edges)), values))
 
-    return df.withColumn(out, matrix(F.col(edges), node_count(F.col(edges))))
+
+def _incident(graph: list[np.ndarray], nodes: int, fill: float, directed: bool) -> np.ndarray:
+    src, dst = np.asarray(graph[0], np.int64), np.asarray(graph[1], np.int64)
+    m, at = np.zeros((nodes, len(src)), np.float32), np.arange(len(src))
+    m[dst[dst < nodes], at[dst < nodes]] = fill
+    m[src[src < nodes], at[src < nodes]] = -fill if directed else fill
+    return m
 
 
 def with_incidence(df: DataFrame, edges: str = "bnd_idcs", out: str = "atm_bnd_incid", fill: float = 1.0, *, directed: bool = False) -> DataFrame:
@@ -74,19 +87,21 @@ def with_incidence(df: DataFrame, edges: str = "bnd_idcs", out: str = "atm_bnd_i
 
     @F.pandas_udf("array<array<float>>")
     def matrix(e: pd.Series, n: pd.Series) -> pd.Series:
-        rows = []
-        for g, k in zip(e, n, strict=True):
-            src, dst = np.asarray(g[0], np.int64), np.asarray(g[1], np.int64)
-            m = np.zeros((k, len(src)), np.float32)
-            at = np.arange(len(src))
-            m[dst[dst < k], at[dst < k]] = fill
-            m[src[src < k], at[src < k]] = -fill if directed else fill
-            rows.append([list(r) for r in m])
-        return pd.Series(rows)
+        return pd.Series([[list(r) for r in _incident(list(g), k, fill, directed)] for g, k in zip(e, n, strict=True)])
 
     return df.withColumn(out, matrix(F.col(edges), node_count(F.col(edges))))
 
 
+def with_typed_incidence(df: DataFrame, types: str, wanted: list[int] | list[str], edges: str = "bnd_idcs", out: str = "atm_bnd_incid_by_type", fill: float = 1.0, *, directed: bool = False) -> DataFrame:
+    """``df`` with an incidence matrix per wanted edge type: all nodes of the graph, the edges of the type."""
+
+    @F.pandas_udf("array<array<array<float>>>")
+    def matrices(e: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([[[list(r) for r in _incident(list(g), k, fill, directed)] for g in lists] for lists, k in zip(e, n, strict=True)])
+
+    return df.withColumn(out, matrices(edges_by_type(F.col(edges), F.col(types), wanted), node_count(F.col(edges))))
+
+
 def with_typed_adjacency(df: DataFrame, types: str, wanted: list[int] | list[str], edges: str = "bnd_idcs", out: str = "atm_adj_by_type") -> DataFrame:
     """``df`` with an adjacency matrix per wanted edge type, all of the whole graph's size."""
 

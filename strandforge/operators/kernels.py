@@ -2,25 +2,39 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandforge.functions.sequences import kmers
+from strandforge.functions.sequences import kmers, ngram_counts, ngrams
 
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def linear_kernel(a: DataFrame, b: DataFrame, key: str, vector: str) -> DataFrame:
-    """a, b, value: inner products of all rows of both sides (the matrix is what is asked for)."""
-    left = a.select(F.col(key).alias("a"), F.col(vector).alias("__x"))
-    right = b.select(F.col(key).alias("b"), F.col(vector).alias("__y"))
-    return left.crossJoin(right).select("a", "b", dot(F.col("__x"), F.col("__y")).alias("value"))
+def linear_kernel(a: DataFrame, b: DataFrame, key: str, vector: str, most: int = 100_000) -> DataFrame:
+    """a, b, value: inner products of all rows of both sides (the matrix is what is asked for).
+
+    ``b`` is the small side: its vectors, ``most`` at most, are gathered into one matrix that every batch of ``a`` is multiplied with.
+    """
+    kind, side = dict(a.dtypes)[key], b.select(key, F.col(vector).cast("array<double>").alias("y")).limit(most + 1).toArrow()
+    if len(side) > most:
+        raise ValueError(f"the second side has more than {most} rows")
+    if not len(side):
+        return a.select(F.col(key).alias("a"), F.col(key).alias("b"), F.lit(0.0).alias("value")).where("false")
+    names, matrix = side[key].to_numpy(), np.stack(side["y"].to_numpy())
+
+    def multiply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if len(frame):
+                values = np.stack(frame["x"].to_numpy()) @ matrix.T
+                yield pd.DataFrame({"a": np.repeat(frame["a"].to_numpy(), len(names)), "b": np.tile(names, len(frame)), "value": values.ravel()})
+
+    return a.select(F.col(key).alias("a"), F.col(vector).cast("array<double>").alias("x")).mapInPandas(multiply, f"a {kind}, b {dict(b.dtypes)[key]}, value double")
 
 
 def mean_over_positions(matrix: Column) -> Column:
@@ -34,6 +48,28 @@ def distinct_kmers(df: DataFrame, seq: str, k: int) -> DataFrame:
     return df.select(F.explode(kmers(F.col(seq), k)).alias("kmer")).groupBy("kmer").agg(F.count("*").alias("n"))
 
 
+#: N-grams of a learned vocabulary at most: it becomes one expression for each.
+MOST_NGRAMS = 10_000
+
+
+def ngram_table(df: DataFrame, key: str, seq: str, low: int, high: int) -> DataFrame:
+    """key, gram, n: how often each n-gram of ``low`` to ``high`` symbols occurs in each sequence; the sparse form."""
+    return df.select(key, F.explode(ngrams(F.col(seq), low, high)).alias("gram")).groupBy(key, "gram").agg(F.count("*").alias("n"))
+
+
+def learned_vocabulary(df: DataFrame, seq: str, low: int, high: int) -> list[str]:
+    """The n-grams that occur, in order."""
+    found = df.select(F.explode(ngrams(F.col(seq), low, high)).alias("gram")).distinct().limit(MOST_NGRAMS + 1).collect()
+    if len(found) > MOST_NGRAMS:
+        raise ValueError(f"more than {MOST_NGRAMS} n-grams: use ngram_table")
+    return sorted(r["gram"] for r in found)
+
+
+def with_ngrams(df: DataFrame, seq: str, low: int, high: int, vocabulary: list[str] | None = None, out: str = "ngrams") -> DataFrame:
+    """``df`` with an array of counts in the order of the vocabulary, learned from the table unless it is given."""
+    return df.withColumn(out, ngram_counts(F.col(seq), learned_vocabulary(df, seq, low, high) if vocabulary is None else vocabulary))
+
+
 def mean_kmers(embedding: Column, k: int) -> Column:
     """Mean of all k-row windows of a matrix, flattened: entry (j, c) averages rows j to j + n - k."""
     windows = F.size(embedding) - (k - 1)
@@ -41,6 +77,11 @@ def mean_kmers(embedding: Column, k: int) -> Column:
     return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(k - 1)), row))
 
 
+def normalised_mean_kmers(embedding: Column, k: int) -> Column:
+    """mean_kmers, scaled to length 1."""
+    return F.transform(F.array(mean_kmers(embedding, k)), unit)[0]  # the array binds the mean
+
+
 def unit(vector: Column) -> Column:
     norm = F.sqrt(dot(vector, vector))
     return F.transform(vector, lambda x: x / F.when(norm == 0, F.lit(1.0)).otherwise(norm))

@@ -6,6 +6,7 @@ numpy's permutation of the row numbers, built on the driver, for tables of a siz
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -17,16 +18,32 @@ TRAIN_TEST = "random_split_train_0_8_test_0_2"
 MOST_NUMPY = 10_000_000
 
 
+def _fixed(df: DataFrame) -> DataFrame:
+    """``df`` written once to the checkpoint folder: rows keep their partitions, whatever is computed from them again."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not found and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(found or tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint()
+
+
 def with_index(df: DataFrame, order: list[str] | None = None, name: str = "index") -> DataFrame:
     """Rows numbered from 0, in the given order or the table's own; an existing column is kept.
 
-    A sort over range partitions, then the number of rows before each partition: no single-task window.
+    Rows are numbered within their partition, and the rows of the partitions before, one number for each, are added:
+    no single-task window.
     """
     if name in df.columns:
         return df
-    rows = df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df
-    spark, schema = df.sparkSession, df.schema.add(name, "long")
-    return spark.createDataFrame(rows.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])), schema)
+    rows = _fixed(df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df)
+    placed = rows.withColumn("__place", F.monotonically_increasing_id())
+    part = F.shiftright("__place", 33)
+    sizes = placed.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
+    before = sizes.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    joined = placed.withColumn("__part", part).join(F.broadcast(before), "__part")  # a row for each partition
+    return joined.withColumn(name, F.col("__before") + F.col("__place") - F.shiftleft(F.col("__part"), 33)).drop("__place", "__part", "__before")
 
 
 def shuffled_rank(index: Column, seed: int) -> Column:
@@ -80,9 +97,17 @@ def with_folds(df: DataFrame, k: int = 10, seed: int = 42, index: str = "index",
     return position(df, seed, index, backend, "__position").withColumn(column, F.concat(F.lit("split_"), fold.cast("string"))).drop("__position")
 
 
-def with_split_columns(df: DataFrame, seed: int = 42, index: str = "index", backend: str = "md5") -> DataFrame:
-    """Both split columns; at most ten folds."""
-    return with_folds(with_train_test(df, seed, index=index, backend=backend), min(10, max(1, df.count())), seed, index, backend)
+def with_split_columns(df: DataFrame, seed: int = 42, index: str = "index", test: float = 0.2, k: int = 10) -> DataFrame:
+    """Both split columns, from one shuffled order; at most ``k`` folds, fewer for fewer rows."""
+    n = df.count()
+    folds = min(k, max(1, n))
+    name = f"random_split_{folds}_fold"
+    new = {}
+    if TRAIN_TEST not in df.columns:
+        new[TRAIN_TEST] = F.when(F.col("__position") < F.ceil(F.lit(n) * F.lit(test)), "test").otherwise("train")
+    if name not in df.columns:
+        new[name] = F.concat(F.lit("split_"), F.least(F.floor(F.col("__position") / max(n // folds, 1)), F.lit(folds - 1)).cast("string"))
+    return position(df, seed, index, name="__position").withColumns(new).drop("__position") if new else df
 
 
 def by_column(df: DataFrame, column: str) -> dict[str, DataFrame]:
@@ -91,6 +116,17 @@ def by_column(df: DataFrame, column: str) -> dict[str, DataFrame]:
     return {v: df.where(F.col(column) == v) for v in values}
 
 
+def split(df: DataFrame, column: str | None = None, k: int | None = None, seed: int = 42, index: str = "index") -> dict[str, DataFrame]:
+    """Splits of a table: by an existing column, into ``k`` folds, or into train and test."""
+    if column is not None:
+        if column not in df.columns:
+            raise ValueError(f"no column {column!r}")
+        return by_column(df, column)
+    if k is not None:
+        return by_column(with_folds(df, k, seed, index, column="__fold"), "__fold")
+    return by_column(with_train_test(df, seed, index=index), TRAIN_TEST)
+
+
 def union(splits: dict[str, DataFrame], names: list[str] | None = None) -> DataFrame:
     chosen = [d for n, d in splits.items() if not names or n in names]
     if not chosen:
@@ -115,10 +151,18 @@ def train_test_sets(df: DataFrame, column: str, n_test: int = 1) -> Iterator[tup
         yield df.where(~F.col(column).isin(*chosen)), df.where(F.col(column).isin(*chosen))
 
 
+def fold_counts(df: DataFrame, column: str, n_test: int = 1) -> DataFrame:
+    """choice, test, n_train, n_test for every choice of ``n_test`` splits as test, from one count of the splits."""
+    counts = {r[0]: r["n"] for r in df.groupBy(column).agg(F.count("*").alias("n")).collect()}  # split names
+    total = sum(counts.values())
+    chosen = [("test",)] if set(counts) == {"train", "test"} else list(combinations(sorted(counts), n_test))
+    rows = [(i, list(c), total - sum(counts[x] for x in c), sum(counts[x] for x in c)) for i, c in enumerate(chosen)]
+    return df.sparkSession.createDataFrame(rows, "choice int, test array<string>, n_train long, n_test long")
+
+
 def with_batches(df: DataFrame, size: int = 32, seed: int | None = 42, index: str = "index", *, drop_single: bool = False) -> DataFrame:
     """``df`` and batch_id; shuffled unless ``seed`` is None. ``drop_single``: no last batch of one row."""
     placed = df.withColumn("position", F.col(index)) if seed is None else position(df, seed, index)
     out = placed.withColumn("batch_id", F.floor(F.col("position") / size))
-    if drop_single and df.count() % size == 1:
-        out = out.where(F.col("position") % size != 0) if size == 1 else out.where(F.col("position") < df.count() - 1)
-    return out
+    n = df.count() if drop_single else 0
+    return out.where(F.col("position") < n - 1) if n % size == 1 else out

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandforge.functions.sequences import js_distance, sequence_type, translated
+from strandforge.operators.splits import with_index
+from strandforge.sources.tables import read_table, write_csv
 
 HIT = "struct<name: string, tag: string, type: string, start: int, end: int, identity: double>"
 MOST_TAGS = 10_000
@@ -39,6 +41,12 @@ def tag_library(spark: SparkSession, rows: list[tuple[str, str]]) -> DataFrame:
     return found.withColumn("type", tag_type(F.col("name")))
 
 
+def read_library(spark: SparkSession, path: str) -> DataFrame:
+    """A tag library from a CSV file with the columns name and sequence, in file order."""
+    rows = read_table(spark, path).select("name", F.upper(F.trim("sequence")).alias("tag")).limit(MOST_TAGS + 1).collect()  # a bounded library
+    return tag_library(spark, [(r["name"], r["tag"]) for r in rows])
+
+
 def _seeds(tags: DataFrame, cutoff: float) -> DataFrame:
     n = F.length("tag")
     parts = F.least(F.floor(n * (100 - cutoff) / 100 + 1e-9).cast("int") + 1, n)
@@ -78,7 +86,7 @@ def tag_hits(df: DataFrame, tags: DataFrame, key: str, seq: str, cutoff: float =
     met = met.where((F.col("__at") >= 0) & (F.col("__at") < F.col("__own")) & (F.col("start") <= rest) & (rest > 0) & ((F.col("type") != "fusion") | (rest >= FUSION_REST)))
     window = F.substr(F.col("__piece"), F.col("__at") + 1, n)
     same = F.aggregate(F.zip_with(F.split(window, ""), F.split(F.col("tag"), ""), lambda a, b: (a == b).cast("int")), F.lit(0), lambda s, x: s + x)
-    scored = met.withColumn("identity", F.round(100 * same / n, 2)).where(F.col("identity") >= cutoff)
+    scored = met.withColumn("identity", F.bround(100 * same / n, 2)).where(F.col("identity") >= cutoff)
     return scored.select(key, "place", "name", "tag", "type", "start", (F.col("start") + n).alias("end"), "identity").distinct()
 
 
@@ -100,42 +108,137 @@ def nonredundant(hits: DataFrame, key: str) -> DataFrame:
     return listed.select(key, F.explode(kept).alias("x")).select(key, *(F.col(f"x.{c}").alias(c) for c in ("place", "name", "tag", "type", "start", "end", "identity")))
 
 
+def with_conservation(hits: DataFrame, df: DataFrame, key: str, seq: str, query_aln: str, reference_aln: str) -> DataFrame:
+    """``hits`` and conservation: percent of a hit's residues that the aligned reference shares; 0 where there is no alignment.
+
+    Alignments must be of one length, not empty, and the query's must be the sequence but for gaps.
+    """
+    q, r = F.col(query_aln), F.col(reference_aln)
+    wrong = F.when(F.length(q) == 0, "an empty query alignment").when(F.length(r) == 0, "an empty reference alignment").when(F.length(q) != F.length(r), "alignments differ in length")
+    wrong = wrong.when(F.replace(q, F.lit("-"), F.lit("")) != F.col(seq), "the query alignment is not the sequence")
+    pairs = F.filter(F.arrays_zip(F.split(q, "").alias("q"), F.split(r, "").alias("r")), lambda x: x["q"] != "-")
+    shared = F.array_join(F.transform(pairs, lambda x: F.when(x["q"] == x["r"], "1").otherwise("0")), "")
+    mask = F.when(q.isNotNull() & r.isNotNull(), F.when(wrong.isNotNull(), F.raise_error(wrong).cast("string")).otherwise(shared))
+    met = hits.join(df.select(key, mask.alias("__mask")), key)
+    n = F.col("end") - F.col("start")
+    part = F.substr(F.col("__mask"), F.col("start") + 1, n)
+    same = F.length(part) - F.length(F.replace(part, F.lit("1"), F.lit("")))
+    return met.withColumn("conservation", F.coalesce(F.bround(100 * same / n, 2), F.lit(0.0))).drop("__mask")
+
+
 def termini(hits: list[tuple[int, int]], seq: str, margin: int = MARGIN) -> tuple[int, int]:
-    """(end of the N-terminal tags, start of the C-terminal tags) of a sequence; hits are (start, end)."""
-    near = lambda gap, n: gap <= (n - 1 if n <= margin else margin)
+    """(end of the N-terminal tags, start of the C-terminal tags) of a sequence; hits are (start, end).
+
+    Hits are walked inwards from each end, as long as the next one lies near enough.
+    """
+    near = lambda gap, n: abs(gap) <= (n - 1 if n <= margin else margin)
     first = 0
     for start, end in sorted(hits):
-        if near(start - first, end - start):
-            first = end
+        if not near(start - first, end - start):
+            break
+        first = end
     last = len(seq)
     for start, end in sorted(hits, key=lambda h: -h[1]):
-        if near(last - end, end - start):
-            last = start
+        if not near(end - last, end - start):
+            break
+        last = start
     at = seq.find("M", first, first + FIRST_M)
     return (at if at >= 0 else first), last
 
 
-def stripped(df: DataFrame, hits: DataFrame, key: str, seq: str) -> DataFrame:
-    """``df`` with n_end, c_start, stripped_seq and removed_tags (names in order)."""
-    per = hits.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "end", "name"))).alias("__hits"))
+FOUND = "array<struct<start: int, end: int, name: string, tag: string, type: string, conservation: double>>"
+
+
+def with_tags(df: DataFrame, hits: DataFrame, key: str, seq: str, cutoff: float = 90.0, *, quirk: bool = False) -> DataFrame:
+    """``df`` with n_end, c_start and tags: the hits of each sequence that are not conserved beyond ``cutoff``, by start, with their location.
+
+    Location: N-terminus, C-terminus or Internal. Leaders are never at the C-terminus; leaders, fusions and cleavage sites are
+    never internal; a tag of at most MARGIN residues must stand that close to the end. Hits without a location are left out.
+    ``quirk``: a hit is internal only where no hit is terminal.
+    """
+    known = hits if "conservation" in hits.columns else hits.withColumn("conservation", F.lit(0.0))
+    order = F.struct(*(F.col(c).alias(c) for c in ("start", "end", "name", "tag", "type", "conservation")))
+    per = known.where(F.col("conservation") <= cutoff).groupBy(key).agg(F.array_sort(F.collect_list(order)).alias("__hits"))  # few for a sequence
 
     @F.pandas_udf("struct<n_end: int, c_start: int>")
     def ends(text: pd.Series, found: pd.Series) -> pd.DataFrame:
-        rows = [termini([(int(h["start"]), int(h["end"])) for h in (f if f is not None else [])], t) for t, f in zip(text, found, strict=True)]
-        return pd.DataFrame([(a, max(a, b)) for a, b in rows], columns=["n_end", "c_start"])
+        rows = [(0, 0) if t is None else termini([(int(h["start"]), int(h["end"])) for h in (f if f is not None else [])], t) for t, f in zip(text, found, strict=True)]
+        return pd.DataFrame(rows, columns=["n_end", "c_start"])
 
-    joined = df.join(per, key, "left").withColumn("__ends", ends(F.col(seq), F.col("__hits")))
-    n_end, c_start = F.col("__ends.n_end"), F.col("__ends.c_start")
-    outer = F.filter(F.coalesce("__hits", F.array().cast("array<struct<start: int, end: int, name: string>>")), lambda h: (h["end"] <= n_end) | (h["start"] >= c_start))
-    return joined.withColumns(
-        {"n_end": n_end, "c_start": c_start, "stripped_seq": F.substr(F.col(seq), n_end + 1, c_start - n_end), "removed_tags": F.array_join(F.transform(outer, lambda h: h["name"]), ",")}
-    ).drop("__hits", "__ends")
+    joined = df.join(per, key, "left").withColumn("__hits", F.coalesce("__hits", F.array().cast(FOUND))).withColumn("__ends", ends(F.col(seq), F.col("__hits")))
+    joined = joined.withColumns({"n_end": F.col("__ends.n_end"), "c_start": F.col("__ends.c_start"), "__len": F.length(seq)})
+    size = lambda h: h["end"] - h["start"]
+    beside = lambda h, gap: (size(h) > MARGIN) | (gap <= size(h) - 1)
+    front = lambda h: (h["end"] <= F.col("n_end")) & beside(h, h["start"])
+    back = lambda h: (h["type"] != "leader") & (h["start"] >= F.col("c_start")) & beside(h, F.abs(h["end"] - F.col("__len")))
+    inner = lambda h: (h["type"] == "purification") & (~F.exists("__hits", lambda x: front(x) | back(x)) if quirk else F.lit(True))
+    where = lambda h: F.when(back(h), "C-terminus").when(front(h), "N-terminus").when(inner(h), "Internal")
+    placed = F.transform("__hits", lambda h: h.withField("location", where(h)))
+    return joined.withColumn("tags", F.filter(placed, lambda h: h["location"].isNotNull())).drop("__hits", "__ends", "__len")
 
 
-def located(hits: DataFrame, key: str) -> DataFrame:
-    """Hits (with n_end and c_start) and their location; leader, fusion and cleavage tags are never internal."""
-    where = F.when((F.col("end") <= F.col("n_end")), "N-terminal").when((F.col("start") >= F.col("c_start")) & (F.col("type") != "leader"), "C-terminal")
-    return hits.withColumn("location", where.when(F.col("type") == "purification", "Internal"))
+def _removed() -> Column:
+    return F.filter("tags", lambda h: h["location"] != "Internal")
+
+
+def stripped(df: DataFrame, hits: DataFrame, key: str, seq: str) -> DataFrame:
+    """``df`` with n_end, c_start, stripped_seq and removed_tags (names of the terminal tags, by start)."""
+    found = with_tags(df, hits, key, seq)
+    bare = F.substr(F.col(seq), F.col("n_end") + 1, F.greatest(F.col("c_start") - F.col("n_end"), F.lit(0)))
+    return found.withColumns({"stripped_seq": bare, "removed_tags": F.array_join(F.transform(_removed(), lambda h: h["name"]), ",")}).drop("tags")
+
+
+def with_strip_report(df: DataFrame, hits: DataFrame, key: str, seq: str) -> DataFrame:
+    """``df`` with tags_found, names, locations, summary and sequence (without its terminal tags)."""
+    found = with_tags(df, hits, key, seq).withColumn("__out", _removed())
+    one = lambda h: F.concat(F.lit("["), h["name"], F.lit(":"), h["start"].cast("string"), F.lit("-"), h["tag"], F.lit("-"), h["end"].cast("string"), F.lit("]"))
+    of = lambda place: F.coalesce(F.nullif(F.array_join(F.transform(F.filter("__out", lambda h: h["location"] == place), one), " "), F.lit("")), F.lit("None"))
+    out = {
+        "tags_found": F.size("__out") > 0,
+        "names": F.transform("__out", lambda h: h["name"]),
+        "locations": F.transform("__out", lambda h: h["location"]),
+        "summary": F.concat(F.lit("N-term: "), of("N-terminus"), F.lit(" C-term: "), of("C-terminus")),
+        "sequence": F.substr(F.col(seq), F.col("n_end") + 1, F.greatest(F.col("c_start") - F.col("n_end"), F.lit(0))),
+    }
+    return found.withColumns(out).drop("__out", "tags", "n_end", "c_start")
+
+
+def find_tags(df: DataFrame, tags: DataFrame, key: str, seq: str, cutoff: float = 90.0, query_aln: str | None = None, reference_aln: str | None = None, *, quirk: bool = False) -> DataFrame:
+    """Search, redundancy, conservation (where alignments are named), termini and locations: see with_tags."""
+    hits = nonredundant(tag_hits(df, tags, key, seq, cutoff), key)
+    if query_aln and reference_aln:
+        hits = with_conservation(hits, df, key, seq, query_aln, reference_aln)
+    return with_tags(df, hits, key, seq, cutoff, quirk=quirk)
+
+
+def cleaned(df: DataFrame, tags: DataFrame, key: str, seq: str, *, convert: bool = False, drop_artificial: bool = False) -> DataFrame:
+    """``df`` with its sequences converted to proteins (``convert``), stripped of terminal tags, and a summary in ``removed_tags``;
+    ``drop_artificial``: rows of unnatural composition that do not begin with M go."""
+    rows = df.withColumn(seq, converted(F.col(seq))) if convert else df
+    if drop_artificial:
+        rows = without_artificial(rows, seq)
+    report = with_strip_report(rows, nonredundant(tag_hits(rows, tags, key, seq), key), key, seq)
+    return report.withColumns({seq: F.col("sequence"), "removed_tags": F.col("summary")}).select(*df.columns, "removed_tags")
+
+
+def cleaning_summary(report: DataFrame) -> DataFrame:
+    """One row of a table with a strip report: sequences, with_tags and their percent, tags, n_terminal, c_terminal and their percents."""
+    at = lambda place: F.coalesce(F.sum(F.size(F.filter("locations", lambda x: x == place))), F.lit(0))
+    counts = report.agg(F.count("*").alias("sequences"), F.count_if(F.col("tags_found")).alias("with_tags"), F.coalesce(F.sum(F.size("locations")), F.lit(0)).alias("tags"), at("N-terminus").alias("n_terminal"), at("C-terminus").alias("c_terminal"))
+    percent = lambda a, b: F.bround(100 * F.col(a) / F.nullif(F.col(b), F.lit(0))).cast("int")
+    return counts.withColumns({"tag_percent": percent("with_tags", "sequences"), "n_percent": percent("n_terminal", "tags"), "c_percent": percent("c_terminal", "tags")})
+
+
+def strip_csv(spark: SparkSession, source: str, target: str, seq: str, tags: DataFrame) -> DataFrame:
+    """Strip the sequences of a CSV file into another (column ``removed_tags`` says of what); returns the summary."""
+    if not source.lower().endswith(".csv"):
+        raise TypeError("a CSV file is needed")
+    rows = with_index(read_table(spark, source), name="__row")
+    hits = nonredundant(tag_hits(rows, tags, "__row", seq), "__row")
+    report = with_strip_report(rows, hits, "__row", seq)
+    out = report.withColumns({seq: F.col("sequence"), "removed_tags": F.col("summary")})
+    write_csv(out.select(*(c for c in rows.columns if c != "__row"), "removed_tags"), target)
+    return cleaning_summary(report)
 
 
 def tag_summary(hits: DataFrame, rows: DataFrame, key: str) -> DataFrame:
@@ -145,9 +248,17 @@ def tag_summary(hits: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     return per.crossJoin(F.broadcast(n)).select("name", "n_hits", "n_sequences", F.bround(100 * F.col("n_sequences") / F.nullif("__n", F.lit(0))).cast("int").alias("percent"))  # one row
 
 
-def converted(seq: Column) -> Column:
-    """Protein of nucleotide sequences, stops dropped; other sequences as they are."""
-    return F.when(sequence_type(seq).isin("DNA", "RNA"), translated(seq, all_stops=True)).otherwise(seq)
+def converted(seq: Column, *, strict: bool = True) -> Column:
+    """Protein of nucleotide sequences, stops dropped; other sequences as they are. ``strict``: what is no protein then is an error."""
+
+    def of(x: Column) -> Column:
+        protein = translated(x, all_stops=True)
+        if strict:
+            known = sequence_type(protein).isin("Protein", "Ambiguous_Protein")
+            protein = F.when(known, protein).otherwise(F.raise_error(F.concat(F.lit("unknown sequence: "), x)).cast("string"))
+        return F.when(sequence_type(x).isin("DNA", "RNA"), protein).otherwise(x)
+
+    return F.transform(F.array(seq), of)[0]  # the array binds the sequence
 
 
 def without_artificial(df: DataFrame, seq: str, most: float = 0.6) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandforge.functions.mutations import applied, combined, is_unmutated, parsed_or_null
+from strandforge.functions.mutations import applied, combined, is_unmutated, mutation_column, parsed_or_null
 
 
 def parent_rows(df: DataFrame, mut_col: str) -> DataFrame:
@@ -54,11 +54,30 @@ def offsets(df: DataFrame, parent: str, mutations: str = "mutations") -> DataFra
     return scored.select((F.col("window") - F.col("lo")).alias("offset"), "matches", (F.col("matches") / F.col("n")).alias("matching_ratio"), rank.alias("rank"))
 
 
+def offset_report(df: DataFrame, parent: str, mutations: str = "mutations") -> DataFrame:
+    """One row of the best placement: offset, matching_ratio, and the positions (from 1) that do not match with their letters in codes and parent.
+
+    At most as many positions as the parent is long. A sketch longer than the parent is an error.
+    """
+    span = positions(df, mutations).agg((F.max("pos") - F.min("pos") + 1).alias("n")).first()
+    if span["n"] is not None and span["n"] > len(parent):
+        raise ValueError(f"the mutations span {span['n']} positions, the parent has {len(parent)}")
+    best = offsets(df, parent, mutations).where("rank = 1").select("offset", "matching_ratio")
+    there = F.substr(F.lit(parent), F.col("pos") + F.col("offset") + 1, F.lit(1))
+    bad = positions(df, mutations).crossJoin(F.broadcast(best)).where(there != F.col("src")).select((F.col("pos") + 1).alias("pos"), "src", there.alias("par"))  # one row
+    listed = bad.agg(F.array_sort(F.collect_list(F.struct("pos", "src", "par"))).alias("b"))
+    each = lambda c: F.transform("b", lambda x: x[c])
+    return best.crossJoin(listed).select("offset", "matching_ratio", each("pos").alias("non_match_pos"), each("src").alias("non_match_source"), each("par").alias("non_match_parent"))
+
+
 def likely_offset(df: DataFrame, parent: str, mutations: str = "mutations") -> int:
     """The one offset at which all sources match the parent."""
     found = offsets(df, parent, mutations).where("matching_ratio = 1").take(2)
     if len(found) != 1:
-        raise ValueError("no offset matches all positions" if not found else "several offsets match all positions")
+        if found:
+            raise ValueError("several offsets match all positions")
+        r = offset_report(df, parent, mutations).first()
+        raise ValueError("no offset matches all positions" + (f"; the best, {r['offset']}, differs at {r['non_match_pos']}" if r else ""))
     return found[0]["offset"]
 
 
@@ -71,6 +90,23 @@ def with_applied(df: DataFrame, mut_col: str, parent: str, offset: int | None =
     return rows.withColumn(out, F.when(F.col("__mutations").isNull(), F.when(is_unmutated(F.col(mut_col)), F.lit(parent))).otherwise(seq)).drop("__mutations")
 
 
+def apply_all(df: DataFrame, parent: str | None = None, offset: int | None = None, out: str = "applied") -> DataFrame:
+    """``df`` and the sequence of each code; the parent is that of the wild type row, the offset estimated, unless they are given.
+
+    More than one row without mutations is an error, as is an empty table.
+    """
+    mut_col = mutation_column(df.columns)
+    if mut_col is None:
+        raise ValueError("no sequence column with codes")
+    bare = df.where(is_unmutated(F.col(mut_col)) | F.contains(F.col(mut_col), F.lit("wildtype"))).limit(2).count()
+    if bare > 1:
+        raise ValueError("more than one row without mutations")
+    if df.isEmpty():
+        raise ValueError("an empty table")
+    parent = parent_sequence(df, mut_col.replace("_mut", "_seq"), mut_col) if parent is None else parent
+    return with_applied(df, mut_col, parent, offset, out)
+
+
 def filled(df: DataFrame, seq_col: str = "aa_seq", mut_col: str = "aa_mut", parent: str | None = None, offset: int | None = None) -> DataFrame:
     """Missing sequences from the parent and the codes of the same family."""
     parent = parent_sequence(df, seq_col, mut_col) if parent is None else parent

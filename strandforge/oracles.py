@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .functions.alphabets import AA, AMINO, BACKGROUND, codons
-from .queries import CROSSED, PAIRED, PARENT, SHIFT, TABLES, TAGS
+from .queries import ALTERED, COLUMN_TAGS, CROSSED, PAIRED, PARENT, SHIFT, TABLES, TAGS
 
 _AA = f"""(SELECT doc_id, regexp_replace(upper(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')), '[^{AMINO}]', '', 'g') AS aa_seq FROM documents)"""
 _DNA = """(SELECT doc_id, translate(upper(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'ACGTACGTACGTACGTACGTACGTAC') AS dna_seq FROM documents)"""
@@ -25,7 +25,7 @@ _EDGES = f"(SELECT conv_id, last, i::INT AS edge, i::INT AS src, CASE WHEN i = l
 _CELLS = f"(SELECT DISTINCT conv_id, row, col FROM (SELECT conv_id, src AS row, dst AS col FROM {_EDGES} UNION ALL SELECT conv_id, dst, src FROM {_EDGES}))"
 _LIBRARY = "(VALUES " + ", ".join(f"({i}, '{n}', '{s}', '{'fusion' if n.endswith('Fusion') else 'leader' if n.endswith('Leader') else 'purification'}')" for i, (n, s) in enumerate(TAGS)) + ") AS lib(place, name, tag, type)"
 _TAGGED = f"(SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'MGSSHHHHHHSSG' ELSE '' END || aa_seq || CASE WHEN doc_id % 7 = 0 THEN 'DYKDDDDK' ELSE '' END AS s FROM {_AA})"
-_HITS = f"""(SELECT doc_id, name, CAST(start AS INT) AS start, round(100.0 * (length(tag) - hamming(substr(s, CAST(start AS INT) + 1, length(tag)), tag)) / length(tag), 2) AS identity
+_HITS = f"""(SELECT doc_id, name, length(tag) AS n, length(s) AS len, CAST(start AS INT) AS start, round_even(100.0 * (length(tag) - hamming(substr(s, CAST(start AS INT) + 1, length(tag)), tag)) / length(tag), 2) AS identity
    FROM (SELECT *, unnest(range(0, length(s) - length(tag) + 1)) AS start FROM {_TAGGED}, {_LIBRARY}
          WHERE length(tag) < length(s) AND (type <> 'fusion' OR length(s) - length(tag) >= 25)))"""
 _JS = f"""(WITH c AS (SELECT doc_id, aa_seq, unnest([{", ".join(f"'{a}'" for a in AMINO)}]) AS a, unnest([{", ".join(str(BACKGROUND[a] / sum(BACKGROUND.values())) for a in AMINO)}]) AS q FROM {_AA} WHERE aa_seq <> ''),
@@ -33,6 +33,10 @@ _JS = f"""(WITH c AS (SELECT doc_id, aa_seq, unnest([{", ".join(f"'{a}'" for a i
    n AS (SELECT doc_id, aa_seq, q, p / sum(p) OVER (PARTITION BY doc_id) AS p FROM s)
    SELECT doc_id, any_value(aa_seq) AS aa_seq, sqrt(greatest(sum(p * ln(p / ((p + q) / 2)) / 2 + q * ln(q / ((p + q) / 2)) / 2), 0)) AS distance FROM n GROUP BY 1)"""
 _CODONS = "MAP {" + ", ".join(f"'{c}': '{a}'" for c, a in codons().items()) + "}"
+_CODON_ROWS = "(VALUES " + ", ".join(f"('{c}', '{a}')" for c, a in codons().items()) + ") AS c(codon, acid)"
+_SIMILAR = f"(SELECT x.acid AS row_sym, y.acid AS col_sym, 3.0::DOUBLE - min(hamming(x.codon, y.codon)) AS score FROM {_CODON_ROWS.replace('AS c', 'AS x')}, {_CODON_ROWS.replace('AS c', 'AS y')} GROUP BY ALL)"
+_BESIDE = f"(SELECT x.p_partkey AS a, y.p_partkey AS b FROM part x JOIN part y ON y.p_partkey = x.p_partkey + 1)"
+_KMER_MEAN = "(SELECT vec_id, CAST(i AS INT) AS i, avg(embedding[CAST(i + w * 8 + 1 AS INT)]::DOUBLE) AS x FROM embeddings, range(0, 24) AS a(i), range(0, 6) AS b(w) GROUP BY ALL)"
 _ADJUSTED = f"(SELECT p_partkey, -abs(price - 1200) AS p, -size AS s, price, size FROM {_coded()})"
 
 
@@ -103,6 +107,32 @@ def oracle_sql() -> dict[str, str]:
         "kmer_mean": "SELECT vec_id, CAST(i AS INT) AS i, round(avg(embedding[CAST(i + w * 8 + 1 AS INT)]::DOUBLE), 6) + 0.0 AS x FROM embeddings, range(0, 24) AS a(i), range(0, 6) AS b(w) GROUP BY ALL",
         "tag_hits": f"SELECT doc_id, name, start, identity FROM {_HITS} WHERE identity >= 80",
         "tag_summary": f"SELECT name, count(*) AS n_hits, count(DISTINCT doc_id) AS n_sequences, CAST(round_even(100.0 * count(DISTINCT doc_id) / (SELECT count(*) FROM documents), 0) AS INT) AS percent FROM {_HITS} WHERE identity >= 80 GROUP BY 1",
+        "feature_slices": "SELECT vec_id, CAST(i - 1 AS INT) AS i, round(x, 6) + 0.0 AS x FROM (SELECT vec_id, unnest(list_concat(embedding::DOUBLE[], [label::DOUBLE])) AS x, unnest(range(1, len(embedding) + 2)) AS i FROM embeddings)",
+        "missing_mask": "SELECT doc_id, lang = 'en' AS missing FROM documents",
+        "extract_codes": f"SELECT p_partkey, CASE WHEN p_partkey = 1 THEN '' ELSE concat_ws('_', CASE WHEN sa <> ta THEN sa || (a + 1) || ta END, CASE WHEN sb <> tb THEN sb || (b + 1) || tb END) END AS code FROM {_coded()}",
+        "offset_report": f"""WITH p AS (SELECT DISTINCT pos + {SHIFT} AS pos, src FROM {_MUTS}), s AS (SELECT min(pos) AS lo, max(pos) AS hi, count(*) AS n FROM p),
+            w AS (SELECT lo, n, unnest(range(0, {len(PARENT)} - (hi - lo + 1) + 1)) AS w FROM s),
+            c AS (SELECT w, lo, n, count(*) FILTER (substr('{ALTERED}', CAST(pos - lo + w + 1 AS INT), 1) = src) AS matches FROM p, w GROUP BY ALL),
+            b AS (SELECT CAST(w - lo AS INT) AS off, round(matches / n, 6) + 0.0 AS matching_ratio FROM c ORDER BY matches DESC, w DESC LIMIT 1)
+            SELECT off AS "offset", matching_ratio, CAST(pos + 1 AS INT) AS pos, src, substr('{ALTERED}', CAST(pos + off + 1 AS INT), 1) AS par FROM p, b WHERE substr('{ALTERED}', CAST(pos + off + 1 AS INT), 1) <> src""",
+        "combine_variants": _pairs(f"SELECT * FROM {_BESIDE}"),
+        "concat_mutations": f"""SELECT a, CAST(row_number() OVER (PARTITION BY a ORDER BY side, pos) - 1 AS INT) AS place, CAST(pos AS INT) AS pos, src, targ
+            FROM (SELECT a, 0 AS side, pos, src, targ FROM {_BESIDE} p JOIN {_MUTS} m ON m.p_partkey = p.a UNION ALL SELECT a, 1, pos, src, targ FROM {_BESIDE} p JOIN {_MUTS} m ON m.p_partkey = p.b)""",
+        "similarity_matrix": f"SELECT 'codons' AS matrix, row_sym, col_sym, score FROM {_SIMILAR}",
+        "similarity_score": f"SELECT p_partkey, sum(score) AS score FROM (SELECT *, unnest(range(1, {len(PARENT)} + 1)) AS i FROM {_APPLIED}) JOIN {_SIMILAR} ON row_sym = substr(aa_seq, CAST(i AS INT), 1) AND col_sym = substr('{PARENT}', CAST(i AS INT), 1) GROUP BY 1",
+        "ngram_range": f"SELECT p_partkey, substr(aa_seq, CAST(i AS INT), CAST(k AS INT)) AS gram, count(*) AS n FROM (SELECT *, unnest(range(1, length(aa_seq) - k + 2)) AS i FROM {_APPLIED}, range(1, 4) AS r(k)) GROUP BY ALL",
+        "one_hot_padding": f"SELECT p_partkey, CAST(i AS INT) AS pos, CASE WHEN i <= p_size THEN instr('{AA}', substr('{PARENT}', CAST(i + 1 AS INT), 1)) ELSE 0 END AS symbol FROM part, range(0, {len(PARENT)}) AS r(i)",
+        "minibatch_features": f"SELECT k AS vec_id, place // 32 AS batch_id, round(embedding[1]::DOUBLE, 6) + 0.0 AS first, round(embedding[-1]::DOUBLE, 6) + 0.0 AS last, label::DOUBLE AS target FROM {_PLACE.format(key='vec_id', seed=42 + 1_000_003, table='embeddings')} JOIN embeddings ON vec_id = k",
+        "incidence_by_type": f"""WITH e AS (SELECT conv_id, src, dst, CAST(1 - src % 2 AS INT) AS type, CAST(row_number() OVER (PARTITION BY conv_id, src % 2 ORDER BY edge) - 1 AS INT) AS edge FROM {_EDGES})
+            SELECT conv_id, type, src AS node, edge, -1.0::DOUBLE AS v FROM e UNION ALL SELECT conv_id, type, dst, edge, 1.0 FROM e WHERE src <> dst""",
+        "kmer_mean_unit": f"SELECT vec_id, i, round(x / sqrt(sum(x * x) OVER (PARTITION BY vec_id)), 6) + 0.0 AS x FROM {_KMER_MEAN}",
+        "kmer_centers": """WITH w AS (SELECT DISTINCT embedding[CAST(w * 8 + 1 AS INT):CAST(w * 8 + 24 AS INT)]::DOUBLE[] AS v FROM embeddings, range(0, 6) AS r(w)), u AS (SELECT v, sqrt(list_dot_product(v, v)) AS n FROM w)
+            SELECT round(v[1] / n, 6) + 0.0 AS first, round(v[24] / n, 6) + 0.0 AS last, count(*) AS n FROM u GROUP BY 1, 2""",
+        "tag_conservation": f"""SELECT doc_id, name, start, round_even(100.0 * greatest(least(start + n, len - back) - greatest(start, front), 0) / n, 2) AS conservation
+            FROM (SELECT *, CASE WHEN doc_id % 5 = 0 THEN 13 ELSE 0 END AS front, CASE WHEN doc_id % 7 = 0 THEN 8 ELSE 0 END AS back FROM {_HITS} WHERE identity >= 80)""",
+        "column_tags": " UNION ALL ".join(
+            f"SELECT '{t}' AS name, '{p.tag}' AS tag WHERE " + (" AND " if p.whole else " OR ").join(f"(SELECT count(*) FROM (DESCRIBE {t}) WHERE contains(column_name, '{x}')) > 0" for x in p.patterns) for t in TABLES for p in COLUMN_TAGS
+        ),
         "catalog_report": " UNION ALL ".join(
             f"SELECT '{t}' AS name, (SELECT count(*) FROM {t}) AS n_rows, (SELECT count(*) FROM (DESCRIBE {t})) AS n_columns, (SELECT string_agg(column_name, ',') FROM (DESCRIBE {t})) AS features" for t in TABLES
         ),

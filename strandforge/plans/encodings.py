@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandforge.functions import sequences
@@ -103,12 +103,38 @@ def order(encodings: list[Encoding], provided: Iterable[str], wanted: Iterable[s
     return done
 
 
+def within_reach(names: Iterable[str], provided: Iterable[str]) -> list[str]:
+    """Names worth trying: graph features need edges, molecule features a molecule; a table with proteins gets no DNA features, one with
+    DNA only no protein features, and a table with neither no others."""
+    have = list(provided)
+    first = next((f for f in ("aa", "dna") if any(p.startswith(f) for p in have)), None)
+    other = {"aa": "dna", "dna": "aa"}.get(first)
+    graph, molecule = "bnd_idcs" in have, "smiles_seq" in have
+
+    def useful(name: str) -> bool:
+        if name.startswith(("atm", "bnd")):
+            return graph
+        if name.startswith("smiles"):
+            return molecule
+        return first is not None and not name.startswith(other)
+
+    return [n for n in names if useful(n)]
+
+
+def plan_table(spark: SparkSession, provided: Iterable[str], wanted: list[str] | None = None) -> DataFrame:
+    """step, provides, requires: the plan of a table with the columns ``provided``."""
+    table = registry()
+    names = wanted or sorted(p for e in table if not e.expensive for p in e.provides)
+    steps = order(table, list(provided), names if wanted else within_reach(names, provided), strict=bool(wanted))
+    return spark.createDataFrame([(n, ",".join(e.provides), ",".join(e.requires)) for n, e in enumerate(steps)], "step int, provides string, requires string")
+
+
 def encoded(df: DataFrame, wanted: list[str] | None = None, encodings: list[Encoding] | None = None) -> DataFrame:
     """``df`` with the wanted feature columns, or with all that can be had cheaply if none are named."""
     if wanted is not None and not isinstance(wanted, list):
         raise TypeError("wanted is a list of names")
     table = encodings or registry()
-    names = wanted or sorted(p for e in table if not e.expensive for p in e.provides)
+    names = wanted or within_reach(sorted(p for e in table if not e.expensive for p in e.provides), df.columns)
     for step in order(table, df.columns, names, strict=bool(wanted)):
         df = step.func(df)
     return df

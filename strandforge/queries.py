@@ -10,17 +10,22 @@ from pyspark.sql import functions as F
 from .functions import mutations as M
 from .functions import sequences as S
 from .functions import targets as T
-from .functions.alphabets import AA, AMINO
-from .operators import graphs, integrity, kernels, splits, tags, variants
+from .functions.alphabets import AA, AMINO, codons
+from .operators import features, graphs, integrity, kernels, splits, tags, variants
+from .plans import encodings
 from .sources import tables
 
 PARENT = "MKTAYIAKQRQISFVKSHFSRQLEERLGLIEVQAPILSRVGDGTQDNLSGAEKAVQVKVK"
 SHIFT = 7
+#: The parent with other letters at two places.
+ALTERED = PARENT[:10] + "W" + PARENT[11:30] + "C" + PARENT[31:]
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: Keys of the variants that all others are combined with: the full product is quadratic.
 CROSSED, PAIRED = [52, 53, 9], [2, 3, 52, 9]
 TAGS = [("His-Tag", "HHHHHH"), ("FLAG-Tag", "DYKDDDDK"), ("Long-Tag", "MGSSHHHHHHSSG"), ("His-Fusion", "SSHHHHHHSS"), ("Short-Leader", "MKK")]
 
+COLUMN_TAGS = [tables.TagPattern("KEYED", ("key",)), tables.TagPattern("TEXT", ("text", "html")), tables.TagPattern("JUDGED", ("quality", "toxic"), True)]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -103,18 +108,26 @@ def summary_variable_default(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def target_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """50 even bins from smallest to largest; the last includes its end."""
-    o = table(spark, sf_dir, "orders").select("o_totalprice")
-    ends = o.agg(F.min("o_totalprice").alias("lo"), F.max("o_totalprice").alias("hi"))
-    width = F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) / 50
-    bin_ = F.least(F.coalesce(F.floor((F.col("o_totalprice") - F.col("lo")) / width), F.lit(0)), F.lit(49))
-    return o.crossJoin(F.broadcast(ends)).groupBy(bin_.cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    return T.histogram(table(spark, sf_dir, "orders"), "o_totalprice", 50)
 
 
 def feature_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
-    flat = F.concat(F.array(F.col("label").cast("double")), F.transform("embedding", lambda x: x.cast("double")))
-    return e.select("vec_id", F.posexplode(flat).alias("i", "x")).select("vec_id", "i", _r("x").alias("x"))
+    flat = features.FeatureView.of(e, ["label", "embedding"]).cat(e)
+    return flat.select("vec_id", F.posexplode("features").alias("i", "x")).select("vec_id", "i", _r("x").alias("x"))
+
+
+def feature_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features taken from the vector in another order."""
+    e = table(spark, sf_dir, "embeddings")
+    view = features.FeatureView.of(e, ["label", "embedding", "vec_id"])
+    part = view.cat(e).select("vec_id", F.posexplode(view.get(F.col("features"), "embedding", "label")).alias("i", "x"))
+    return part.select("vec_id", "i", _r("x").alias("x"))
+
+
+def missing_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", F.nullif("lang", F.lit("en")).alias("lang"))
+    return integrity.missing_mask(d, "lang").select("doc_id", "missing")
 
 
 def parse_mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,6 +172,76 @@ def mutation_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("m is not null").select("p_partkey", M.code_of(back, "-", 0).alias("code"))
 
 
+def extract_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = variants.with_applied(coded(spark, sf_dir), "aa_mut", PARENT, 0, "v")
+    return rows.select("p_partkey", M.extracted_code(F.col("v"), F.lit(PARENT)).alias("code"))
+
+
+def offset_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best offset on a parent that differs in two places."""
+    rows = coded(spark, sf_dir, SHIFT).select(M.parsed_or_null(F.col("aa_mut")).alias("m"))
+    r = variants.offset_report(rows, ALTERED, "m")
+    listed = r.select("offset", _r("matching_ratio").alias("matching_ratio"), F.explode(F.arrays_zip("non_match_pos", "non_match_source", "non_match_parent")).alias("x"))
+    return listed.select("offset", "matching_ratio", F.col("x.non_match_pos").alias("pos"), F.col("x.non_match_source").alias("src"), F.col("x.non_match_parent").alias("par"))
+
+
+def _beside(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """a, b, first, second: each variant and the one with the next key."""
+    v = _variants(spark, sf_dir)
+    after = v.select((F.col("p_partkey") - 1).alias("a"), F.col("p_partkey").alias("b"), F.col("mutations").alias("second"))
+    return v.select(F.col("p_partkey").alias("a"), F.col("mutations").alias("first")).join(after, "a")
+
+
+def combine_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _beside(spark, sf_dir).select("a", "b", M.code_of(M.combined(F.col("first"), F.col("second"))).alias("code"))
+
+
+def concat_mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = _beside(spark, sf_dir).select("a", F.posexplode(M.concatenated(F.array("first", "second"))).alias("place", "x"))
+    return both.select("a", "place", "x.pos", "x.src", "x.targ")
+
+
+def similarity_lines() -> list[str]:
+    """A matrix in the form of a file: 3 less the fewest letters that differ between codons of two residues."""
+    of = {a: [c for c, x in codons().items() if x == a] for a in AA}
+    score = lambda a, b: 3 - min(sum(x != y for x, y in zip(c, d, strict=True)) for c in of[a] for d in of[b])
+    names = sorted(AA, reverse=True)
+    return ["# similarity of codons", "  " + " ".join(names), *(" ".join([a, *(str(score(a, b)) for b in names)]) for a in names)]
+
+
+def similarity_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.similarity_table(spark.createDataFrame(list(enumerate(similarity_lines())), "line_no int, value string"), "codons", AA)
+
+
+def similarity_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every variant's sequence against the parent's."""
+    scores = tables.similarity_array(similarity_matrix(spark, sf_dir), AA)
+    rows = variants.with_applied(coded(spark, sf_dir), "aa_mut", PARENT, 0, "v")
+    return rows.select("p_partkey", tables.similarity_score(F.col("v"), F.lit(PARENT), scores, AA).alias("score"))
+
+
+def ngram_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = variants.with_applied(coded(spark, sf_dir), "aa_mut", PARENT, 0, "v")
+    return kernels.ngram_table(rows, "p_partkey", "v", 1, 3)
+
+
+def one_hot_padding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of the one in each row of a one-hot matrix of fixed length, 0 for padding; through its flat form and back."""
+    p = table(spark, sf_dir, "part").select("p_partkey", F.substr(F.lit(PARENT), F.lit(1), F.col("p_size") + 1).alias("s"))
+    flat = p.select("p_partkey", S.rows_to_flat(S.one_hot(F.col("s"), AA, len(PARENT))).alias("f"))
+    rows = flat.select("p_partkey", F.posexplode(S.flat_to_rows(F.col("f"), len(AA))).alias("pos", "r"))
+    return rows.select("p_partkey", "pos", F.array_position("r", F.lit(1).cast("tinyint")).alias("symbol"))
+
+
+def encoding_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is computed, and in which order, for tables of proteins, genes, molecules and graphs."""
+    out = None
+    for have in ("aa_seq", "dna_seq", "smiles_seq", "bnd_idcs", "bnd_idcs dna_seq"):
+        part = encodings.plan_table(spark, have.split()).withColumn("have", F.lit(have))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def _variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All coded variants; the wild type has no mutations."""
     found = F.coalesce(M.parsed_or_null(F.col("aa_mut")), F.array().cast(M.MUTATIONS))
@@ -227,11 +310,7 @@ def union_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kfold_train_test_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = None
-    for n, (train, test) in enumerate(splits.train_test_sets(split_kfold_md5(spark, sf_dir), "fold", 6)):
-        row = train.agg(F.count("*").alias("n_train")).crossJoin(test.agg(F.count("*").alias("n_test"))).select(F.lit(n).alias("choice"), "n_train", "n_test")
-        out = row if out is None else out.unionByName(row)
-    return out
+    return splits.fold_counts(split_kfold_md5(spark, sf_dir), "fold", 6).select("choice", "n_train", "n_test")
 
 
 def minibatches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -239,6 +318,12 @@ def minibatches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_id", F.col("batch_id").cast("long").alias("batch_id"))
 
 
+def minibatch_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of the second epoch: first and last feature, and the target."""
+    rows = features.feature_batches(table(spark, sf_dir, "embeddings"), ["embedding"], ["label"], 32, 42, 1, "vec_id")
+    return rows.select("vec_id", F.col("batch_id").cast("long").alias("batch_id"), _r(F.col("x")[0]).alias("first"), _r(F.element_at("x", -1)).alias("last"), _r(F.col("y")[0]).alias("target"))
+
+
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """conv_id, bnd_idcs: each conversation as a graph, an edge from every turn to the next, and one back to the first."""
     c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max("turn").cast("int").alias("last"))
@@ -270,6 +355,13 @@ def adjacency_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.select("conv_id", "type", F.size(F.col("e")[0]).cast("long").alias("n"))
 
 
+def incidence_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = turns(spark, sf_dir).withColumn("bnd_type", F.transform(F.col("bnd_idcs")[0], lambda i: i % 2))
+    m = graphs.with_typed_incidence(g, "bnd_type", [1, 0], directed=True).select("conv_id", F.posexplode("atm_bnd_incid_by_type").alias("type", "m"))
+    m = m.select("conv_id", "type", F.posexplode("m").alias("node", "r")).select("conv_id", "type", "node", F.posexplode("r").alias("edge", "v"))
+    return m.where("v <> 0").select("conv_id", "type", "node", "edge", F.col("v").cast("double").alias("v"))
+
+
 def return_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = graphs.with_return_probabilities(graphs.with_adjacency(turns(spark, sf_dir)), out="p")
     rows = g.select("conv_id", F.posexplode("p").alias("node", "r"))
@@ -300,6 +392,16 @@ def kmer_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rows8(spark, sf_dir).select("vec_id", F.posexplode(kernels.mean_kmers(F.col("m"), 3)).alias("i", "x")).select("vec_id", "i", _r("x").alias("x"))
 
 
+def kmer_mean_unit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rows8(spark, sf_dir).select("vec_id", F.posexplode(kernels.normalised_mean_kmers(F.col("m"), 3)).alias("i", "x")).select("vec_id", "i", _r("x").alias("x"))
+
+
+def kmer_centers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ends of the unit vector of each distinct window, and how many windows have them."""
+    c = kernels.kmer_centers(_rows8(spark, sf_dir), "vec_id", "m", 3).select(_r(F.col("unit")[0]).alias("first"), _r(F.col("unit")[23]).alias("last"))
+    return c.groupBy("first", "last").agg(F.count("*").alias("n"))
+
+
 def rkhs_kmer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kernels.rkhs_features(_rows8(spark, sf_dir), "vec_id", "m", 3, 8)
 
@@ -328,6 +430,30 @@ def tag_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tags.stripped(tagged(spark, sf_dir), _nonredundant(spark, sf_dir), "doc_id", "aa_seq")
 
 
+def tag_conservation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits against an alignment in which the planted tags stand over gaps."""
+    gaps = lambda by, n: F.when(F.col("doc_id") % by == 0, "-" * n).otherwise("")
+    bare = proteins(spark, sf_dir).select("doc_id", F.col("aa_seq").alias("bare"))
+    rows = tagged(spark, sf_dir).join(bare, "doc_id").withColumns({"q": F.nullif("aa_seq", F.lit("")), "r": F.nullif(F.concat(gaps(5, 13), F.col("bare"), gaps(7, 8)), F.lit(""))})
+    hits = tags.tag_hits(rows, tags.tag_library(spark, TAGS), "doc_id", "aa_seq", 80.0)
+    return tags.with_conservation(hits, rows, "doc_id", "aa_seq", "q", "r").select("doc_id", "name", "start", "conservation")
+
+
+def tag_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = tags.find_tags(tagged(spark, sf_dir), tags.tag_library(spark, TAGS), "doc_id", "aa_seq")
+    return found.select("doc_id", F.explode("tags").alias("t")).select("doc_id", "t.name", "t.start", "t.end", "t.location")
+
+
+def tag_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = tags.with_strip_report(tagged(spark, sf_dir), _nonredundant(spark, sf_dir), "doc_id", "aa_seq")
+    return report.select("doc_id", "tags_found", F.array_join("names", ",").alias("names"), F.array_join("locations", ",").alias("locations"), "summary", "sequence")
+
+
+def clean_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tagged(spark, sf_dir).where("aa_seq <> ''")
+    return tags.cleaned(rows, tags.tag_library(spark, TAGS), "doc_id", "aa_seq", convert=True, drop_artificial=True)
+
+
 def tag_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tagged(spark, sf_dir)
     hits = tags.tag_hits(rows, tags.tag_library(spark, TAGS), "doc_id", "aa_seq", 80.0)
@@ -342,11 +468,18 @@ def catalog_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.catalog(spark, {n: table(spark, sf_dir, n) for n in TABLES}).select("name", "n_rows", F.col("n_columns").cast("long").alias("n_columns"), "features")
 
 
+def column_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(n, tag) for n in TABLES for tag in tables.table_tags(table(spark, sf_dir, n).columns, COLUMN_TAGS)]
+    return spark.createDataFrame(rows, "name string, tag string")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     names = """summary_variable null_mask_counts integrity_report index_column target_zscore target_dezscore target_matrix target_adjust_max
     summary_variable_default target_histogram feature_concat parse_mutations non_parsed_rows parent_sketch parent_sequence estimate_offset apply_mutations
     fill_missing extract_mutations mutation_codes variant_pairs_cross variant_pairs_within seq_length char_counts_1gram char_ngram_2 one_hot translate_dna
     sequence_types js_distances split_train_test_md5 split_kfold_md5 union_splits kfold_train_test_sets minibatches graph_counts adjacency adjacency_dense
     incidence adjacency_by_type return_probabilities linear_kernel kmer_distinct mean_embedding kmer_mean rkhs_kmer tag_hits tag_nonredundant tag_strip
-    tag_summary artificial_filter catalog_report""".split()
+    tag_summary artificial_filter catalog_report feature_slices missing_mask extract_codes offset_report combine_variants concat_mutations similarity_matrix
+    similarity_score ngram_range one_hot_padding encoding_plan minibatch_features incidence_by_type kmer_mean_unit kmer_centers tag_conservation tag_locations
+    tag_report clean_dataset column_tags""".split()
     return {n: globals()[n] for n in names}

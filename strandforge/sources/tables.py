@@ -1,8 +1,11 @@
-"""Tables from and to files, similarity matrices, a folder of published datasets."""
+"""Tables from and to files, similarity matrices, what a table's column names tell."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import os
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
 
@@ -35,6 +38,57 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     raise TypeError(f"cannot read files that end in {end!r}")
 
 
+def read_splits(spark: SparkSession, folder: str, names: list[str] | None = None, column: str | None = None) -> DataFrame:
+    """All split tables (subfolders, or files named as the split) of a folder as one; ``column`` takes the split's name."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = {s.getPath().getName(): s.getPath().toString() for s in fs.listStatus(at) if not s.getPath().getName().startswith(("_", "."))}
+    chosen = {n.rsplit(".", 1)[0]: p for n, p in sorted(found.items()) if not names or n.rsplit(".", 1)[0] in names}
+    if not chosen or (names and set(names) - set(chosen)):
+        raise ValueError(f"splits of {folder}: {sorted(n.rsplit('.', 1)[0] for n in found)}")
+    parts = []
+    for name, path in chosen.items():
+        df = read_table(spark, path) if path.lower().endswith(".csv") else spark.read.parquet(path)
+        parts.append(df.withColumn(column, F.lit(name)) if column else df)
+    out = parts[0]
+    for df in parts[1:]:
+        out = out.unionByName(df)
+    return out
+
+
+def rename_stored(spark: SparkSession, path: str, names: dict[str, str], target: str) -> DataFrame:
+    """A stored table under ``target`` with renamed columns; a name that is not there, or taken, is an error."""
+    df = read_table(spark, path)
+    if missing := set(names) - set(df.columns):
+        raise ValueError(f"no columns {sorted(missing)}")
+    new = [names.get(c, c) for c in df.columns]
+    if len(set(new)) < len(new):
+        raise ValueError("two columns of one name")
+    write_table(df.withColumnsRenamed(names), target)
+    return spark.read.parquet(target)
+
+
+#: Characters that column names should not hold.
+AWKWARD = " /."
+
+
+def awkward_columns(columns: list[str]) -> list[str]:
+    """Names that hold a blank, a slash or a dot."""
+    return [c for c in columns if any(x in c for x in AWKWARD)]
+
+
+def folder(kind: str = "") -> str:
+    """The base folder, or that of ``data``, ``results`` or ``checkpoints``: named in STRANDFORGE_DIR or STRANDFORGE_DATA_DIR and so on, else below the base."""
+    base = os.environ.get("STRANDFORGE_DIR", "~/strandforge")
+    return os.path.expanduser(os.environ.get(f"STRANDFORGE_{kind.upper()}_DIR", f"{base}/{kind}") if kind else base)
+
+
+def stem_and_ending(name: str) -> tuple[str, str]:
+    """A file's name without its ending, and the ending with its dot."""
+    stem, ending = os.path.splitext(name)
+    return stem, ending
+
+
 def write_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
@@ -61,7 +115,7 @@ def similarity_table(lines: DataFrame, name: str, alphabet: str) -> DataFrame:
         raise ValueError("an empty matrix")
     names = list(head["t"])
     body = rows.where(F.col("line_no") > head["line_no"])
-    wide = body.select(F.col("t")[0].alias("row_sym"), F.slice("t", 2, 1_000).alias("v"))
+    wide = body.select(F.col("t")[0].alias("row_sym"), F.slice("t", 2, F.size("t")).alias("v"))
     if wide.where(F.size("v") != len(names)).limit(1).count() or sorted(names) != sorted(r[0] for r in wide.select("row_sym").collect()):  # a symbol per row
         raise ValueError("rows and columns differ")
     if missing := set(alphabet) - set(names):
@@ -71,6 +125,33 @@ def similarity_table(lines: DataFrame, name: str, alphabet: str) -> DataFrame:
     return long.where(F.col("row_sym").isin(wanted) & F.col("col_sym").isin(wanted)).select(F.lit(name).alias("matrix"), "row_sym", "col_sym", F.col("score").cast("double").alias("score"))
 
 
+def load_similarity(spark: SparkSession, folder: str, name: str, alphabet: str, *, replace: bool = False) -> DataFrame:
+    """matrix, row_sym, col_sym, score of the file ``name`` in a folder; the ordered table is stored beside it and used from then on,
+    unless ``replace`` is set."""
+    stored = f"{folder}/{name}_ordered"
+    at = spark._jvm.org.apache.hadoop.fs.Path(stored)
+    if replace or not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        lines = spark.read.text(f"{folder}/{name}", wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("line_no", "value"))
+        similarity_table(lines, name, alphabet).coalesce(1).write.mode("overwrite").csv(stored, header=True)  # a cell for each pair of symbols
+    return spark.read.csv(stored, header=True, schema="matrix string, row_sym string, col_sym string, score double")
+
+
+def similarity_array(matrix: DataFrame, alphabet: str) -> list[list[float]]:
+    """The scores as rows in the order of the alphabet."""
+    cells = {(r["row_sym"], r["col_sym"]): r["score"] for r in matrix.collect()}  # a cell for each pair of symbols
+    return [[cells[a, b] for b in alphabet] for a in alphabet]
+
+
+def similarity_score(first: Column, second: Column, scores: list[list[float]], alphabet: str) -> Column:
+    """Sum of the scores of two aligned sequences, place by place; null where their lengths differ, an error for unknown symbols."""
+    table = F.array(*(F.array(*(F.lit(float(x)) for x in row)) for row in scores))
+    strange = F.translate(F.concat(first, second), alphabet, "")
+    checked = F.when(strange != "", F.raise_error(F.concat(F.lit("unknown symbols in sequence: "), strange)).cast("string")).otherwise(first)
+    places = F.zip_with(F.split(checked, ""), F.split(second, ""), lambda a, b: F.get(F.get(table, F.instr(F.lit(alphabet), a) - 1), F.instr(F.lit(alphabet), b) - 1))
+    total = F.aggregate(places, F.lit(0.0), lambda s, x: s + x)
+    return F.when((F.length(first) == F.length(second)) & (first == ""), 0.0).when(F.length(first) == F.length(second), total)
+
+
 def with_section(text: str, header: str, points: list[str]) -> str:
     """``text`` with the section under ``header`` (up to three line ends) replaced, or added at the end."""
     section = f"{header}\n\n" + "".join(f"- {p}\n" for p in points) + "\n\n"
@@ -93,11 +174,26 @@ def feature_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c != "index" and "split" not in c and not c.startswith("target")]
 
 
-# Tags of tables and the names that earn them (all of them where the last entry is true).
-TAGS = [("_MOL", ("bnd_type", "atm_type", "bnd_idcs"), True), ("_PE", ("aa_",), False), ("_DNA", ("dna_",), False), ("_SOL", ("solubility",), False)]
+@dataclass(frozen=True)
+class TagPattern:
+    """``tag`` for tables in whose column names one of the patterns occurs; ``whole``: all of them."""
+
+    tag: str
+    patterns: tuple[str, ...]
+    whole: bool = False
+
 
+# Tags of tables and of targets, and the parts of column names that earn them.
+KIND_TAGS = [TagPattern("_MOL", ("bnd_type", "atm_type", "bnd_idcs"), True), TagPattern("_PE", ("aa_",)), TagPattern("_DNA", ("dna_",))]
+TARGET_TAGS = [TagPattern("_SOL", ("solubility",)), TagPattern("at_least_one_feature_named_TARGET", ("target",))]
 
-def table_tags(columns: list[str]) -> list[str]:
+
+def table_tags(columns: list[str], patterns: list[TagPattern] | None = None) -> list[str]:
     """Tags whose patterns occur in the column names."""
     occurs = lambda p: any(p in c for c in columns)
-    return [tag for tag, patterns, whole in TAGS if (all if whole else any)(map(occurs, patterns))]
+    return [t.tag for t in (KIND_TAGS + TARGET_TAGS if patterns is None else patterns) if (all if t.whole else any)(map(occurs, t.patterns))]
+
+
+def column_classes(df: DataFrame) -> dict[str, list[str]]:
+    """Columns by what they are: features, targets, splits."""
+    return {"features": feature_columns(df), "targets": [c for c in df.columns if c.startswith("target")], "splits": [c for c in df.columns if "split" in c]}

@@ -163,7 +163,8 @@ def test_planner(spark):
     assert not encodings.order(encodings.registry(), ["dna_seq"], ["atm_adj"], strict=False)
     df = spark.createDataFrame([("ATGAAA",)], "dna_seq string")
     out = encodings.encoded(df)
-    assert {"aa_seq", "aa_len", "aa_1hot", "dna_1hot"} <= set(out.columns) and "atm_adj" not in out.columns
+    assert {"dna_len", "dna_1hot"} <= set(out.columns) and "atm_adj" not in out.columns and "aa_seq" not in out.columns
+    assert {"aa_seq", "aa_1hot"} <= set(encodings.encoded(df, ["aa_1hot"]).columns)
     with pytest.raises(NotImplementedError):
         encodings.encoded(df, ["aa_esm2_avg"])
     with pytest.raises(TypeError):
