@@ -16,6 +16,8 @@ if TYPE_CHECKING:
 
 #: Bytes of text that one step of a Python task holds at a time; a single longer text is a batch of its own.
 BATCH_BYTES = 4 << 20
+#: Bytes of an Arrow batch that Spark sends to a Python task; one longer row is a batch of its own.
+ARROW_BYTES = 64 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,6 +43,28 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Remove the files of a stashed table that nothing reads any more."""
+    spark = df.sparkSession
+    folders = {f.rpartition("/")[0] for f in df.inputFiles()}
+    for folder in folders:
+        if _plain(folder).startswith(_plain(shared_dir(spark))):
+            at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _plain(path: str) -> str:
+    """A path without its scheme and doubled slashes."""
+    return "/" + path.partition(":")[2].lstrip("/") if ":" in path else path
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Let Spark end an Arrow batch at ARROW_BYTES, unless the session says otherwise; by default only the number of rows bounds one."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name).rstrip("b")) >= (1 << 31) - 1:
+        spark.conf.set(name, str(ARROW_BYTES))
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that ``column`` holds about ``limit`` bytes in each (one row at least)."""
     for batch in batches:

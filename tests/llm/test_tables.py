@@ -127,3 +127,32 @@ def test_pipeline(spark):
             want = {i for i in ids if comp[i] == i}
         assert left == want, names[at]
         docs = out
+
+
+def test_top_k_prunes(spark):
+    """Vectors that lie together by id: blocks of other directions are passed over, here and across super-blocks."""
+    n = 3 * topk.BLOCK * topk.BLOCKS
+    way = (F.col("vec_id") * 8 / n).cast("int")
+    df = spark.range(n).withColumnRenamed("id", "vec_id").withColumn("embedding", F.transform(F.sequence(F.lit(0), F.lit(7)), lambda j: F.when(j == way, 4.0).otherwise(0.0) + (F.pmod(F.xxhash64("vec_id", j), F.lit(100)) / 400.0)))
+    df = df.withColumn("embedding", F.col("embedding").cast("array<float>"))
+    report = topk.search_report(df, query_every=500).first()
+    assert report["scored"] < report["blocks"] / 4
+    rows = [(r["vec_id"], r["embedding"]) for r in df.collect()]
+    v = np.floor(256 * np.array([r[1] for r in rows], np.float32).astype(float)).astype(np.int64)
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(df, query_every=500).collect())
+    want = []
+    for q in range(0, n, 500):
+        scores = v @ v[q]
+        scores[q] = -1
+        best = np.lexsort((np.arange(n), -scores))[:5]
+        want += [(q, k + 1, int(i), int(scores[i])) for k, i in enumerate(best)]
+    assert got == want
+
+
+def test_products_of_large_numbers():
+    rng = np.random.default_rng(2)
+    a, b = (np.floor(rng.normal(size=(5, 7)) * 2.0**27) for _ in range(2))
+    want = [[sum(int(x) * int(y) for x, y in zip(r, s, strict=True)) for s in b] for r in a]
+    assert topk._products(a, b, False).tolist() == want
+    huge = np.array([[2.0**60, -3.0]])
+    assert topk._products(huge, huge, False).tolist() == [[topk.LARGEST]] and topk._products(huge, -huge, False).tolist() == [[topk.EMPTY + 1]]
