@@ -1,13 +1,20 @@
 """Token shards as wavelet matrices: succinct bit-planes with rank and select, one compressed file per shard.
 
 A shard holds the ids of neighbouring documents in ``doc_id`` order. Level by level, from the highest bit, the plane of
-that bit is stored and the ids are split stably by it, zeros first. With a running count of ones per 64-bit word
-(recomputed on opening), ``access``, ``count`` (rank) and ``occurrence`` (select) need one step per plane, without
-decoding the rest. File: magic, header (counts, planes, compressed sizes), document lengths and ids, zeros per plane,
-planes; each section compressed with zstandard.
+that bit is stored and the ids are split stably by it, zeros first. Planes are cut into frames of ``FRAME`` words, each
+compressed by itself; the directory holds the zeros of each plane, the ones before each frame, and where frames lie.
+``access``, ``count`` (rank) and ``occurrence`` (select) read the directory and one or two frames for each plane, whatever
+the shard's size. File: magic, header (counts, planes, frame words, compressed sizes), directory, document lengths and
+ids, frames; each section compressed with zstandard.
+
+``access_tokens``, ``count_tokens`` and ``find_occurrences`` look up many positions and tokens in all shards of a manifest.
+
+Files are written and read by the tasks through Arrow's file systems (local, hdfs, s3, gcs, abfs; ``s3a`` and ``s3n``
+are read as ``s3``), because no Spark writer has a format of one's own.
 
 Nulls and edge cases: a null or empty text is a document of the end id alone; null ``doc_id`` sorts first; repeated
-rows keep their own entries (ties in ``doc_id`` are ordered by text); an empty table writes nothing.
+rows keep their own entries (ties in ``doc_id`` are ordered by text); a very long text is encoded whole and may make its
+shard larger; an empty table writes nothing; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,7 +22,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,9 +35,10 @@ from pyspark.sql import functions as F
 from .common import fresh_path, slices, stash
 from .wordbpe import encoder
 
-MAGIC = b"SFWM0001"
-HEADER = "<QQIQQQQ"  # documents, ids, planes, then compressed bytes of lengths, doc ids, zeros, planes
+MAGIC = b"SFWM0002"
+HEADER = "<QQIIQQQ"  # documents, ids, planes, words of a frame, then compressed bytes of directory, lengths, doc ids
 SHARD_IDS = 1 << 21
+FRAME = 1 << 10  # 64-bit words of a frame
 NO_ID = -(1 << 63)  # stands for a null doc_id inside a shard
 
 
@@ -136,30 +144,154 @@ class WaveletMatrix:
         return now.astype(np.uint32)
 
 
-def dump(docs: np.ndarray, lengths: np.ndarray, matrix: WaveletMatrix) -> bytes:
+def _frames(width: int, frame: int) -> int:
+    return -(-width // frame)
+
+
+def dump(docs: np.ndarray, lengths: np.ndarray, matrix: WaveletMatrix, frame: int = FRAME) -> bytes:
     pack = zstandard.ZstdCompressor(level=1).compress
-    parts = [pack(x.tobytes()) for x in (lengths.astype("<u4"), docs.astype("<i8"), matrix.zeros, matrix.words)]
-    return MAGIC + struct.pack(HEADER, len(docs), matrix.size, len(matrix.words), *map(len, parts)) + b"".join(parts)
+    planes, width = matrix.words.shape
+    starts = range(0, width, frame)
+    parts = [pack(np.ascontiguousarray(matrix.words[k, a : a + frame]).tobytes()) for k in range(planes) for a in starts]
+    ones = matrix._ones()[:, [*starts]] if width else np.zeros((planes, 0), np.int64)
+    directory = np.concatenate([matrix.zeros, ones.ravel(), np.cumsum([0, *map(len, parts)])]).astype("<i8")
+    front = [pack(x.tobytes()) for x in (directory, lengths.astype("<u4"), docs.astype("<i8"))]
+    return MAGIC + struct.pack(HEADER, len(docs), matrix.size, planes, frame, *map(len, front)) + b"".join([*front, *parts])
+
+
+class ShardFile:
+    """A shard that is read as far as it is needed. ``fetch(start, size)`` gives bytes of the file; ``fetched`` counts them."""
+
+    def __init__(self, fetch: Callable[[int, int], bytes]) -> None:
+        self._fetch, self.fetched = fetch, 0
+        head = self._read(0, 8 + struct.calcsize(HEADER))
+        if head[:8] != MAGIC:
+            raise ValueError("not a wavelet shard")
+        self.documents, self.size, self.planes, self.frame, n_dir, self._n_lengths, self._n_docs = struct.unpack_from(HEADER, head, 8)
+        self._front = len(head) + n_dir
+        directory = np.frombuffer(_unpack(self._read(len(head), n_dir)), "<i8")
+        self.width = -(-self.size // 64)
+        n = _frames(self.width, self.frame)
+        self.zeros, self._before = directory[: self.planes], directory[self.planes : self.planes * (1 + n)].reshape(self.planes, n)
+        self._at = directory[self.planes * (1 + n) :] + self._front + self._n_lengths + self._n_docs
+        self._held: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+
+    def _read(self, start: int, size: int) -> bytes:
+        self.fetched += size
+        return self._fetch(start, size)
+
+    def lengths(self) -> np.ndarray:
+        return np.frombuffer(_unpack(self._read(self._front, self._n_lengths)), "<u4")
+
+    def docs(self) -> np.ndarray:
+        return np.frombuffer(_unpack(self._read(self._front + self._n_lengths, self._n_docs)), "<i8")
+
+    def _words(self, k: int, f: int) -> tuple[np.ndarray, np.ndarray]:
+        """(words, ones before each word) of a frame; some frames are held."""
+        found = self._held.get((k, f))
+        if found is None:
+            i = k * self._before.shape[1] + f
+            words = np.frombuffer(_unpack(self._read(int(self._at[i]), int(self._at[i + 1] - self._at[i]))), "<u8")
+            counts = np.cumsum(np.bitwise_count(words).astype(np.int64))
+            if len(self._held) >= HELD_FRAMES:
+                self._held.pop(next(iter(self._held)))
+            found = self._held[k, f] = (np.append(words, np.uint64(0)), self._before[k, f] + np.concatenate([[0], counts]))
+        return found
+
+    def _look(self, k: int, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bits at ``i``, ones before ``i``) in plane k; the place behind the last counts too."""
+        bit, ones = np.zeros(len(i), bool), np.zeros(len(i), np.int64)
+        word, rest = i // 64, (i % 64).astype(np.uint64)
+        frame = np.minimum(word // self.frame, max(self._before.shape[1] - 1, 0))
+        for f in np.unique(frame).tolist() if self.width else []:
+            at = np.flatnonzero(frame == f)
+            words, before = self._words(k, f)
+            own, r = word[at] - f * self.frame, rest[at]
+            bit[at] = (words[own] >> r) & np.uint64(1) == 1
+            ones[at] = before[own] + np.bitwise_count(words[own] & ((np.uint64(1) << r) - np.uint64(1)))
+        return bit, ones
+
+    def access(self, i: np.ndarray) -> np.ndarray:
+        """Ids at positions ``i``."""
+        i, out = np.asarray(i, np.int64), np.zeros(len(i), np.uint32)
+        for k in range(self.planes):
+            bit, ones = self._look(k, i)
+            out = (out << np.uint32(1)) | bit
+            i = np.where(bit, self.zeros[k] + ones, i - ones)
+        return out
+
+    def span(self, value: int, start: int = 0, stop: int | None = None) -> tuple[int, int]:
+        """Where the occurrences of ``value`` at positions start to stop lie behind the lowest plane."""
+        ends = np.array([start, self.size if stop is None else stop], np.int64)
+        if value < 0 or value >> self.planes:
+            return 0, 0
+        for k in range(self.planes):
+            ones = self._look(k, ends)[1]
+            ends = self.zeros[k] + ones if value >> (self.planes - 1 - k) & 1 else ends - ones
+        return int(ends[0]), int(ends[1])
+
+    def count(self, value: int, start: int = 0, stop: int | None = None) -> int:
+        """Occurrences of ``value`` at positions start to stop."""
+        a, b = self.span(value, start, stop)
+        return b - a
+
+    def occurrence(self, value: int, n: int) -> int:
+        """Position of the n-th (from 0) occurrence of ``value``, or -1."""
+        first, last = self.span(value)
+        if not 0 <= n < last - first:
+            return -1
+        i = first + n
+        for k in reversed(range(self.planes)):
+            one = i >= self.zeros[k]
+            i = self._select(k, i - int(self.zeros[k]) if one else i, bool(one))
+        return i
+
+    def _select(self, k: int, n: int, one: bool) -> int:
+        """Position of the n-th one (zero) of plane k: its frame by the directory, its word by the frame."""
+        before = self._before[k]
+        ahead = before if one else np.arange(len(before)) * 64 * self.frame - before
+        f = int(np.searchsorted(ahead, n, "right")) - 1
+        words, ones = self._words(k, f)
+        inner = ones if one else np.arange(f * self.frame, f * self.frame + len(ones)) * 64 - ones
+        w = int(np.searchsorted(inner, n, "right")) - 1
+        bits = np.unpackbits(words[w : w + 1].view(np.uint8), bitorder="little") == one
+        return (f * self.frame + w) * 64 + int(np.flatnonzero(bits)[n - inner[w]])
+
+    def matrix(self) -> WaveletMatrix:
+        """The whole shard in memory."""
+        rows = [np.concatenate([np.zeros(0, "<u8"), *(self._words(k, f)[0][:-1] for f in range(self._before.shape[1]))]) for k in range(self.planes)]
+        return WaveletMatrix(self.size, self.zeros, np.stack(rows))
+
+
+#: Frames of a shard that a lookup keeps in memory.
+HELD_FRAMES = 256
+
+
+def _unpack(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
+def in_memory(data: bytes) -> ShardFile:
+    return ShardFile(lambda start, size: data[start : start + size])
 
 
 def load(data: bytes) -> tuple[np.ndarray, np.ndarray, WaveletMatrix]:
     """(doc ids, lengths, wavelet matrix) of a shard file's bytes."""
-    if data[:8] != MAGIC:
-        raise ValueError("not a wavelet shard")
-    documents, size, planes, *sizes = struct.unpack_from(HEADER, data, 8)
-    at, raw = 8 + struct.calcsize(HEADER), []
-    for n in sizes:
-        raw.append(zstandard.ZstdDecompressor().decompress(data[at : at + n]))
-        at += n
-    lengths, docs = np.frombuffer(raw[0], "<u4"), np.frombuffer(raw[1], "<i8")
-    if len(docs) != documents:
+    shard = in_memory(data)
+    docs, lengths = shard.docs(), shard.lengths()
+    if len(docs) != shard.documents:
         raise ValueError("damaged wavelet shard")
-    return docs, lengths, WaveletMatrix(size, np.frombuffer(raw[2], "<i8"), np.frombuffer(raw[3], "<u8").reshape(planes, -1))
+    return docs, lengths, shard.matrix()
+
+
+def _file_system(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    scheme, mark, rest = path.partition("://")
+    return pa.fs.FileSystem.from_uri(f"s3://{rest}" if mark and scheme in ("s3a", "s3n") else path)
 
 
 def write_file(path: str, data: bytes) -> None:
     """Write under another name and move into place, so that a retried task leaves a whole file or none."""
-    fs, name = pa.fs.FileSystem.from_uri(path)
+    fs, name = _file_system(path)
     fs.create_dir(name.rpartition("/")[0])
     with fs.open_output_stream(temporary := f"{name}.{uuid.uuid4().hex}") as f:
         f.write(data)
@@ -167,11 +299,17 @@ def write_file(path: str, data: bytes) -> None:
 
 
 def read_file(path: str) -> bytes:
-    fs, name = pa.fs.FileSystem.from_uri(path)
+    fs, name = _file_system(path)
     with fs.open_input_stream(name) as f:
         return f.read()
 
 
+def open_shard(path: str) -> ShardFile:
+    """A shard file of which only what is asked for is read."""
+    fs, name = _file_system(path)
+    return ShardFile(lambda start, size, f=fs.open_input_file(name): f.read_at(size, start))
+
+
 def write_shards(docs: DataFrame, path: str, folder: str | None = None, end_id: int = 1, shard_ids: int = SHARD_IDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode documents into shard files in ``doc_id`` order; the manifest (one row per file) says what is where.
 
@@ -236,3 +374,80 @@ def read_shards(manifest: DataFrame) -> DataFrame:
     # a stated number of partitions: the manifest is small, but its files are not, and they must not fall to one task
     files = manifest.select("path", "start").repartition(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path")
     return files.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+def _by_file(rows: DataFrame) -> DataFrame:
+    """Rows with a path, those of one file together."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path").sortWithinPartitions("path")
+
+
+def access_tokens(manifest: DataFrame, positions: DataFrame, column: str = "position") -> DataFrame:
+    """position, token at each of ``positions`` (places in the ids of all documents); places beyond the last give no row.
+
+    A file covers few stretches of SHARD_IDS places; positions find their file by the stretch they lie in.
+    """
+    bucket = lambda c: F.floor(c / SHARD_IDS)
+    files = manifest.select("path", "start", (F.col("start") + F.col("ids")).alias("stop")).withColumn("bucket", F.explode(F.sequence(bucket(F.col("start")), bucket(F.col("stop") - 1))))
+    asked = positions.select(F.col(column).cast("long").alias("position")).distinct().withColumn("bucket", bucket(F.col("position")))
+    met = asked.join(files, "bucket").where((F.col("position") >= F.col("start")) & (F.col("position") < F.col("stop"))).select("path", "start", "position")
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path, shard = None, None
+        for batch in batches:
+            names, places = batch.column(0).to_pylist(), batch.column(2).to_numpy()
+            begin, out = batch.column(1).to_numpy(), np.zeros(len(names), np.int64)
+            cuts = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1]), len(names)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if b > a:
+                    if names[a] != path:
+                        path, shard = names[a], open_shard(names[a])
+                    out[a:b] = shard.access(places[a:b] - begin[a:b])
+            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(out)], names=["position", "token"])
+
+    return _by_file(met).mapInArrow(look, "position long, token long")
+
+
+#: Tokens of one lookup at most: they go to every shard.
+MOST_TOKENS = 10_000
+
+
+def _counts(manifest: DataFrame, tokens: list[int]) -> DataFrame:
+    """path, start, token, n of every file that holds the token."""
+    if len(set(tokens)) > MOST_TOKENS:
+        raise ValueError(f"more than {MOST_TOKENS} tokens")
+    wanted = sorted(set(tokens))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                shard = open_shard(path)
+                found = [(path, start, t, n) for t in wanted if (n := shard.count(t))]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["path", "start", "token", "n"])
+
+    return _by_file(manifest.select("path", "start")).mapInArrow(count, "path string, start long, token long, n long")
+
+
+def count_tokens(manifest: DataFrame, tokens: list[int]) -> DataFrame:
+    """token, n: occurrences of each of ``tokens`` in all documents; those that do not occur give no row."""
+    return _counts(manifest, tokens).groupBy("token").agg(F.sum("n").alias("n"))
+
+
+def find_occurrences(manifest: DataFrame, wanted: list[tuple[int, int]]) -> DataFrame:
+    """token, n, position of the n-th (from 0) occurrence of a token in all documents, for each (token, n); there may be none.
+
+    Counts by file tell which file holds it: a prefix sum over the files for each token.
+    """
+    spark = manifest.sparkSession
+    counts = _counts(manifest, [t for t, _ in wanted])
+    before = F.sum("n").over(Window.partitionBy("token").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
+    ranged = counts.select("path", "start", "token", F.coalesce(before, F.lit(0)).alias("lo"), "n").withColumn("hi", F.col("lo") + F.col("n")).drop("n")
+    asked = spark.createDataFrame(sorted(set(wanted)), "token long, n long")
+    met = ranged.join(F.broadcast(asked), "token").where((F.col("n") >= F.col("lo")) & (F.col("n") < F.col("hi"))).select("path", "start", "token", "n", (F.col("n") - F.col("lo")).alias("place"))
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = [open_shard(path).occurrence(t, i) + start for path, start, t, i in zip(*(batch.column(c).to_pylist() for c in (0, 1, 2, 4)), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(3), pa.array(at, pa.int64())], names=["token", "n", "position"])
+
+    return _by_file(met).mapInArrow(find, "token long, n long, position long")

@@ -89,7 +89,15 @@ def test_wavelet_matrix():
     rng = np.random.default_rng(2)
     for n in (0, 1, 64, 1000):
         ids = rng.integers(0, 300, n).astype(np.uint32)
-        _, lengths, m = wavelet.load(wavelet.dump(np.array([5]), np.array([n]), wavelet.WaveletMatrix.build(ids)))
+        raw = wavelet.dump(np.array([5]), np.array([n]), wavelet.WaveletMatrix.build(ids), frame=3)
+        _, lengths, m = wavelet.load(raw)
+        shard = wavelet.in_memory(raw)
+        if n:
+            assert shard.access(np.arange(n)).tolist() == ids.tolist()
+        for value in (0, 7, 299, 5000):
+            at = np.flatnonzero(ids == value)
+            assert shard.count(value) == len(at) and shard.count(value, n // 3, n // 2) == int((ids[n // 3 : n // 2] == value).sum())
+            assert [shard.occurrence(value, k) for k in range(len(at))] == at.tolist() and shard.occurrence(value, len(at)) == -1
         assert m.decode().tolist() == ids.tolist() and lengths.tolist() == [n]
         if n:
             assert m.access(np.arange(n)).tolist() == ids.tolist()
@@ -99,6 +107,34 @@ def test_wavelet_matrix():
             assert [m.occurrence(value, k) for k in range(len(at))] == at.tolist() and m.occurrence(value, len(at)) == -1
 
 
+def test_wavelet_lookups_read_little():
+    ids = np.random.default_rng(3).integers(0, 40_000, 1 << 20).astype(np.uint32)
+    raw = wavelet.dump(np.array([5]), np.array([len(ids)]), wavelet.WaveletMatrix.build(ids))
+    for ask in (lambda s: s.access(np.array([777_777])).tolist() == [int(ids[777_777])], lambda s: s.count(int(ids[5])) == int((ids == ids[5]).sum()), lambda s: s.occurrence(int(ids[9]), 0) == int(np.flatnonzero(ids == ids[9])[0])):
+        shard = wavelet.in_memory(raw)
+        assert ask(shard)
+        # frames of 8 kB, two for each of the 16 planes at most (three for a search that goes down and up again)
+        assert shard.fetched < 3 * 16 * 8400 + 60_000 < len(raw) / 3
+
+
+def test_wavelet_lookups_in_all_shards(documents, spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")  # a file ends with a batch
+    try:
+        manifest = wavelet.write_shards(documents, WORD_BPE, shard_ids=5000)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    ordered = sorted(documents.collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["text"] is not None, (r["text"] or "").encode()))
+    ids = np.concatenate([tokens(r["text"]) for r in ordered])
+    assert manifest.count() > 1
+    places = [0, 1, 4999, 5000, len(ids) - 1, len(ids), 12_345]
+    got = wavelet.access_tokens(manifest, spark.createDataFrame([(p,) for p in places], "position long")).collect()
+    assert {r["position"]: r["token"] for r in got} == {p: int(ids[p]) for p in places if p < len(ids)}
+    asked = [1, int(ids[3]), int(ids[-2]), 49_000]
+    assert {r["token"]: r["n"] for r in wavelet.count_tokens(manifest, asked).collect()} == {t: int((ids == t).sum()) for t in asked if (ids == t).any()}
+    wanted = [(1, 0), (1, 7), (int(ids[3]), 0), (1, 10**6)]
+    assert {(r["token"], r["n"]): r["position"] for r in wavelet.find_occurrences(manifest, wanted).collect()} == {(t, n): int(np.flatnonzero(ids == t)[n]) for t, n in wanted if n < (ids == t).sum()}
+
+
 def test_exact(documents, odd, nothing):
     got = rows(exact.exact_duplicates(documents), "doc_id", "keep_id", "group_size", "kept", "text_sha256")
     groups = defaultdict(list)
