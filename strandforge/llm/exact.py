@@ -9,7 +9,8 @@ frequent key, since each key has one row on the other side.
 
 The row with the most code points in its original text stays, then the smallest ``doc_id``. Nulls and edge cases: a
 null text counts as empty; a null ``doc_id`` is the largest; repeated rows form one group and, having the same
-``doc_id``, are kept or dropped together; an empty table gives no rows; other columns are ignored.
+``doc_id``, are kept or dropped together; a very long text is one value like others, compared whole; an empty table gives no
+rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -18,7 +18,8 @@ No step gathers a bucket: it is aggregated, joined and cut into blocks. Only lin
 
 Nulls and edge cases: a null, empty or blank text has no shingles and is linked with nothing; fewer than 5 words make
 one shingle; a null doc_id is linked with nothing, has a null component and is kept; repeated rows have one doc_id and
-share its result; an empty table gives no rows; other columns are ignored.
+share its result; a very long text is hashed STEP shingles at a time, whole; pairs at exactly the threshold are linked, and
+of equal texts the smallest doc_id stands for all; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stash
+from .common import discard, slices, stash
 
 PERMUTATIONS, BANDS, ROWS, BITS_OFF = 96, 32, 6, 40
 WORDS, PERCENT, BLOCK = 5, 85, 128
@@ -210,7 +211,8 @@ def components(links: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
-        edges = stash(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        before, edges = edges, stash(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        discard(before)
         now = mark(edges)
         if now == seen:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))

@@ -13,7 +13,9 @@ those of its length comes from its place in its input split plus a prefix sum ov
 frequent, is gathered in one task.
 
 Nulls and edge cases: a null or empty text is a document of the end id alone; a null ``doc_id`` is carried through;
-repeated rows are packed each; an empty table gives no rows; other columns are ignored.
+repeated rows are packed each; pieces of equal length are interchangeable and take their places in the order of their input
+split; a very long text is encoded whole and cut into pieces; an empty table gives no rows; other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations

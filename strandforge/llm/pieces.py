@@ -6,7 +6,9 @@ batch is segmented once (a bounded table keeps it for later batches), and ids ar
 other pieces or another normaliser is used text by text. Decoding is the library's, over all ids of a document.
 
 Nulls and edge cases: a null text counts as empty and gives the begin and end ids alone; rows are independent of one
-another, so repeated rows give equal results; an empty table gives no rows.
+another, so repeated rows give equal results; where segmentations tie, the library's own choice holds, since it cuts each word;
+a very long text is a batch of its own and is encoded whole; an empty table gives no rows; other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations

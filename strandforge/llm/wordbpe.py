@@ -19,8 +19,9 @@ import pyarrow.compute as pc
 #: Entries after which a worker starts a table afresh (under 100 MB each).
 TABLE_ENTRIES = 500_000
 
-# The file's split pattern, and the same pattern over the characters of the fast path.
+# The file's split pattern and normalisers, and the same pattern over the characters of the fast path.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
 SIMPLE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\na-z0-9ß-öø-ÿ]+|\n"
 
 _simple = re.compile("[!-~À-ÖØ-öø-ÿ]+").fullmatch
@@ -45,8 +46,7 @@ class WordBpe:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
-        kinds = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
-        self.by_chunk = steps[0].get("pattern") == {"Regex": SPLIT} and kinds == ["NFC", "Replace", "Lowercase"] and spec.get("post_processor") is None
+        self.by_chunk = steps[0].get("pattern") == {"Regex": SPLIT} and (spec.get("normalizer") or {}).get("normalizers") == NORMALIZERS and spec.get("post_processor") is None
         self.special = [x["content"] for x in spec.get("added_tokens", [])]
         self.bytes_as = byte_alphabet()
         self.bare = Tokenizer(self.library.model)  # for words that are split and mapped already
