@@ -169,7 +169,8 @@ def _searched(vectors: DataFrame, k: int, query_every: int, id_col: str, vector_
                 q_uids, q_ids = np.frombuffer(r.q_uids, np.int64), np.frombuffer(r.q_ids, np.int64)
                 least = np.frombuffer(r.q_least, np.int64) if r.q_least is not None else None
                 ids, best, visits = best_of(q_uids, _matrix(r.q_body, r.q_rows), np.frombuffer(r.uids, np.int64), np.frombuffer(r.ids, np.int64), _matrix(r.body, r.rows), k, least=least)
-                keep = best.ravel() != EMPTY
+                # rows below a score that k others reach are of no use
+                keep = ((best != EMPTY) & (best >= (least[:, None] if least is not None else EMPTY))).ravel()
                 yield pd.DataFrame({"query_uid": np.repeat(q_uids, k)[keep], "query_id": np.repeat(q_ids, k)[keep], "vec_id": ids.ravel()[keep], "score": best.ravel()[keep], "blocks": 0, "scored": 0})
                 yield pd.DataFrame({"query_uid": [None], "query_id": [None], "vec_id": [None], "score": [None], "blocks": [len(q_uids) * -(-r.rows // BLOCK)], "scored": [visits]}).astype({c: "Int64" for c in ("query_uid", "query_id", "vec_id", "score")})
 
