@@ -13,10 +13,11 @@ ATOMS = (
     " Rf Db Sg Bh Hs Mt Ds Rg Cn Nh Fl Mc Lv Ts Og"
 ).split()
 CODE = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
-CARBON = dict(zip(AMINO, (3, 3, 4, 5, 9, 2, 6, 6, 6, 6, 5, 4, 5, 5, 6, 3, 4, 5, 11, 9), strict=True))
-BACKGROUND = dict(
-    zip(AMINO, (0.0777, 0.0157, 0.0530, 0.0656, 0.0405, 0.0691, 0.0227, 0.0591, 0.0595, 0.0960, 0.0238, 0.0427, 0.0469, 0.0393, 0.0526, 0.0694, 0.0550, 0.0667, 0.0118, 0.0311), strict=True)
-)
+CARBON = {"A": 3, "C": 3, "D": 4, "E": 5, "F": 9, "G": 2, "H": 6, "I": 6, "K": 6, "L": 6, "M": 5, "N": 4, "P": 5, "Q": 5, "R": 6, "S": 3, "T": 4, "V": 5, "W": 11, "Y": 9}
+BACKGROUND = {
+    "A": 0.0777, "C": 0.0157, "D": 0.0530, "E": 0.0656, "F": 0.0405, "G": 0.0691, "H": 0.0227, "I": 0.0591, "K": 0.0595, "L": 0.0960,
+    "M": 0.0238, "N": 0.0427, "P": 0.0469, "Q": 0.0393, "R": 0.0526, "S": 0.0694, "T": 0.0550, "V": 0.0667, "W": 0.0118, "Y": 0.0311,
+}
 # What the ambiguous nucleotide letters stand for.
 AMBIGUOUS = {"R": "AG", "Y": "CT", "S": "CG", "W": "AT", "K": "GT", "M": "AC", "B": "CGT", "D": "AGT", "H": "ACT", "V": "ACG", "N": "ACGT"}
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandforge import queries
+from strandforge.functions import alphabets, molecules
 from strandforge.functions import mutations as M
 from strandforge.functions import sequences as S
 from strandforge.functions import targets as T
@@ -353,3 +354,11 @@ def test_streams(spark, tmp_path):
 def test_one_hot_round_trip(spark):
     df = spark.range(1).select(S.rows_to_flat(S.one_hot(F.lit("MLG"), AA, 5)).alias("f")).select(S.flat_to_rows(F.col("f"), 21).alias("r"))
     assert [AA[r.index(1)] if 1 in r else "" for r in df.first()["r"]] == ["M", "L", "G", "", ""]
+
+
+def test_molecules(spark):
+    one = lambda c: spark.range(1).select(c).first()[0]
+    assert one(molecules.protons(F.array(F.lit("C"), F.lit("og"), F.lit("Zz")))) == [6, 118, None]
+    assert one(molecules.carbon_atoms(F.lit("GAW?"))) == 2 + 3 + 11
+    assert one(molecules.smiles_places(F.lit(" C!"))) == [0, 1 + alphabets.SMILES.index("C"), None] and one(molecules.rna_places(F.lit("AU*X"))) == [1, 4, 5, 0]
+    assert round(sum(alphabets.BACKGROUND.values()), 2) == 1.0 and set(alphabets.BACKGROUND) == set(AMINO) == set(alphabets.CARBON)
