@@ -43,18 +43,27 @@ def pieces(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, id
         from pyspark import TaskContext
 
         split = TaskContext.get().partitionId()
-        seen: Counter[int] = Counter()
+        seen = np.zeros(capacity + 1, np.int64)  # pieces of each length so far
         for batch in slices(batches):
             ids, ends = encoder(path).encode(batch.column(1))
-            rows, begin = [], 0
-            for doc, end in zip(batch.column(0).to_pylist(), ends.tolist(), strict=True):
-                own = np.append(ids[begin:end], np.uint32(end_id)).astype("<u4", copy=False)
-                begin = end
-                for n, start in enumerate(range(0, len(own), capacity)):
-                    part = own[start : start + capacity]
-                    rows.append((doc, n, start, len(part), zlib.crc32(part.tobytes()), split, seen[len(part)]))
-                    seen[len(part)] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "split", "place"])
+            whole = np.insert(ids, ends, np.uint32(end_id)).astype("<u4", copy=False)
+            sizes = np.diff(ends, prepend=0) + 1
+            parts = -(-sizes // capacity)
+            doc = np.repeat(np.arange(len(sizes)), parts)
+            piece = np.arange(len(doc)) - np.repeat(np.cumsum(parts) - parts, parts)
+            start = piece * capacity
+            length = np.minimum(sizes[doc] - start, capacity)
+            begin = (np.cumsum(sizes) - sizes)[doc] + start
+            raw = memoryview(whole.tobytes())
+            crc = [zlib.crc32(raw[a:b]) for a, b in zip((4 * begin).tolist(), (4 * (begin + length)).tolist(), strict=True)]
+            # rank among the pieces of a length: in order of length, places behind the first of each
+            order = np.argsort(length, kind="stable")
+            sorted_ = length[order]
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order)) - np.searchsorted(sorted_, sorted_) + seen[sorted_]
+            seen += np.bincount(length, minlength=capacity + 1)
+            columns = [batch.column(0).take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(np.full(len(doc), split, np.int32)), pa.array(place)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32", "split", "place"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(encode, PIECES)
 

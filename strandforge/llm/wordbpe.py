@@ -62,11 +62,10 @@ class WordBpe:
         shown = [w if w.isascii() else "".join(self.bytes_as[b] for b in w.encode()) for w in plain]
         ids = np.array(self.bare.encode_batch_fast([f" {mark} ".join([*shown, ""])])[0].ids, "<u4") if plain else np.zeros(0, "<u4")
         ends = np.flatnonzero(ids == end[0]) if plain else []
-        raw, start = ids.tobytes(), 0
-        for word, stop in zip(plain, (4 * ends).tolist() if plain else [], strict=True):
-            self.words[word] = raw[start:stop]
-            start = stop + 4
-        for word in words:
+        raw, stops = ids.tobytes(), (4 * ends).tolist() if plain else []
+        # the mark after each word is one id
+        self.words.update(zip(plain, [raw[a:b] for a, b in zip([0, *(x + 4 for x in stops[:-1])], stops, strict=False)], strict=True))
+        for word in words if len(plain) < len(words) else []:
             if word not in self.words:
                 shown = "".join(self.bytes_as[b] for b in word.encode())
                 self.words[word] = np.array(self.bare.encode(shown).ids, "<u4").tobytes()
@@ -78,16 +77,16 @@ class WordBpe:
             simple = [c for c in simple if not any(s in c for s in special)]
         flat = _pieces("\n".join([*simple, ""]).lower())
         known = self.words
-        if new := list({w for w in flat if w not in known} - {"\n"}):
+        known["\n"] = b""  # stands behind each chunk
+        if new := list(set(flat).difference(known)):
             self._learn_words(new)
-        at = iter(simple)
-        parts: list[bytes] = []
-        for word in flat:
-            if word == "\n":
-                self.chunks[next(at)] = b"".join(parts)
-                parts = []
-            else:
-                parts.append(known[word])
+        parts = list(map(known.__getitem__, flat))
+        ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
+        stops = ends[np.fromiter(map("\n".__eq__, flat), bool, len(flat))].tolist()
+        raw = b"".join(parts)
+        self.chunks.update(zip(simple, [raw[a:b] for a, b in zip([0, *stops], stops, strict=False)], strict=True))
+        if len(simple) == len(chunks):
+            return
         for c in chunks:
             if c not in self.chunks:
                 self.chunks[c] = np.array(self.library.encode(c, add_special_tokens=False).ids, "<u4").tobytes()
