@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from typing import Any
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +52,34 @@ def external(out: str, source: str, model: Callable[[DataFrame, str, str], DataF
     return apply
 
 
+def batched_model(load: Callable[[], Any], encode: Callable[[Any, list[str]], list], size: int = 100, kind: str = "array<array<float>>") -> Callable[[DataFrame, str, str], DataFrame]:
+    """A model for ``registry``: ``load`` runs once in each worker task, ``encode`` gets the model and ``size`` sequences at a time.
+
+    Nulls stay null; what is no string is an error. ``kind`` is the type of one sequence's embedding.
+    """
+    if size < 1:
+        raise ValueError("batches have one sequence at least")
+
+    def apply(df: DataFrame, source: str, out: str) -> DataFrame:
+        if dict(df.dtypes)[source] != "string":
+            raise TypeError(f"{source} does not hold strings")
+
+        @F.pandas_udf(kind)
+        def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            model = load()
+            for part in parts:
+                known = part[part.notna()]
+                found: list = []
+                for at in range(0, len(known), size):
+                    found += encode(model, known.iloc[at : at + size].tolist())
+                plain = [x.tolist() if hasattr(x, "tolist") else x for x in found]
+                yield pd.Series(pd.Series(plain, index=known.index, dtype=object).reindex(part.index).where(part.notna(), None))
+
+        return df.withColumn(out, run(F.col(source)))
+
+    return apply
+
+
 def registry(models: dict[str, Callable[[DataFrame, str, str], DataFrame]] | None = None) -> list[Encoding]:
     m = models or {}
     mean = lambda source, out: _column(out, lambda: kernels.mean_over_positions(F.col(source)))

@@ -449,6 +449,12 @@ def tag_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.select("doc_id", "tags_found", F.array_join("names", ",").alias("names"), F.array_join("locations", ",").alias("locations"), "summary", "sequence")
 
 
+def cleaning_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences with tags, and tags by terminus."""
+    report = tags.with_strip_report(tagged(spark, sf_dir), _nonredundant(spark, sf_dir), "doc_id", "aa_seq")
+    return tags.cleaning_summary(report)
+
+
 def clean_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tagged(spark, sf_dir).where("aa_seq <> ''")
     return tags.cleaned(rows, tags.tag_library(spark, TAGS), "doc_id", "aa_seq", convert=True, drop_artificial=True)
@@ -481,5 +487,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     incidence adjacency_by_type return_probabilities linear_kernel kmer_distinct mean_embedding kmer_mean rkhs_kmer tag_hits tag_nonredundant tag_strip
     tag_summary artificial_filter catalog_report feature_slices missing_mask extract_codes offset_report combine_variants concat_mutations similarity_matrix
     similarity_score ngram_range one_hot_padding encoding_plan minibatch_features incidence_by_type kmer_mean_unit kmer_centers tag_conservation tag_locations
-    tag_report clean_dataset column_tags""".split()
+    tag_report cleaning_summary clean_dataset column_tags""".split()
     return {n: globals()[n] for n in names}

@@ -147,6 +147,9 @@ def test_tag_queries_against_plain_versions(spark):
         assert r["sequence"] == seqs[r["doc_id"]][a:b]
     assert {r["doc_id"]: r["stripped_seq"] for r in queries.tag_strip(spark, data).collect()} == {i: seqs[i][a:b] for i, (_, (a, b)) in want.items()}
     assert queries.clean_dataset(spark, data).count() > 0
+    terminal = [t[3] for listed, _ in want.values() for t in listed if t[3] != "Internal"]
+    r = queries.cleaning_summary(spark, data).first()
+    assert (r["sequences"], r["tags"], r["n_terminal"]) == (len(seqs), len(terminal), terminal.count("N-terminus"))
 
 
 def test_mutation_helpers(spark):
@@ -362,3 +365,22 @@ def test_molecules(spark):
     assert one(molecules.carbon_atoms(F.lit("GAW?"))) == 2 + 3 + 11
     assert one(molecules.smiles_places(F.lit(" C!"))) == [0, 1 + alphabets.SMILES.index("C"), None] and one(molecules.rna_places(F.lit("AU*X"))) == [1, 4, 5, 0]
     assert round(sum(alphabets.BACKGROUND.values()), 2) == 1.0 and set(alphabets.BACKGROUND) == set(AMINO) == set(alphabets.CARBON)
+
+
+def test_models_in_batches(spark):
+    def load():
+        return {"calls": 0}
+
+    def encode(model, seqs):
+        model["calls"] += 1
+        assert len(seqs) <= 2
+        return [np.array([[ord(c), len(s)] for c in s], np.float32) for s in seqs]
+
+    model = encodings.batched_model(load, encode, 2)
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(["AC", None, "D", "EFG", "H"])], "id int, aa_seq string")
+    out = encodings.encoded(df, ["aa_esm2_avg"], encodings.registry({"aa_esm2_t6_8M": model})).orderBy("id").collect()
+    assert [r["aa_esm2_avg"] for r in out] == [[66.0, 2.0], None, [68.0, 1.0], [70.0, 3.0], [72.0, 1.0]]
+    with pytest.raises(TypeError):
+        model(df, "id", "x")
+    with pytest.raises(ValueError):
+        encodings.batched_model(load, encode, 0)
