@@ -3,9 +3,11 @@
 Vectors become integer components floor(256 * x). In ``vec_id`` order they are packed into blocks, each with the
 largest and smallest value of every component; a row of blocks is a super-block, the forward index of its vectors.
 
-1. Every pack of queries scores one super-block, that of its own range of ids: a first k-th score for each query.
-2. The bounds of all blocks (the summed maxima of a query's terms) are compared with those scores. Only the queries of a
-   pack for which some block can still reach their k-th score go on to a super-block, and only there.
+1. Every pack of queries scores one super-block, that of its own range of ids, and then of all super-blocks as many as the
+   root of their number: a first k-th score for each query, below which few rows of the others lie.
+2. The bounds of all blocks (the summed maxima of a query's terms) are compared with those scores, before the probes and
+   before the others. Only the queries of a pack for which some block can still reach their k-th score go on to a
+   super-block, and only there; only rows that reach that score come back.
 3. Within a super-block a query visits blocks in the order of their bounds, scores a block by a matrix product, and stops
    once no block left can reach its k-th score. Its lists from all super-blocks then merge.
 
@@ -20,6 +22,7 @@ smallest value; an empty table gives no rows; other columns are ignored, whateve
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -153,7 +156,7 @@ def _matrix(raw: bytes, rows: int) -> np.ndarray:
 
 
 def _searched(vectors: DataFrame, k: int, query_every: int, id_col: str, vector_col: str, scale: int) -> tuple[DataFrame, DataFrame]:
-    """(SEARCHED rows of step 1, of steps 2 and 3); a row without query tells the blocks of a step and those scored."""
+    """(SEARCHED rows of a query's own super-block and the probes, of the others); a row without query tells the blocks of a step and those scored."""
     spark = vectors.sparkSession
     bound_batches(spark)
     rows = stash(integer_vectors(vectors, id_col, vector_col, scale), "vectors")
@@ -174,24 +177,11 @@ def _searched(vectors: DataFrame, k: int, query_every: int, id_col: str, vector_
                 yield pd.DataFrame({"query_uid": np.repeat(q_uids, k)[keep], "query_id": np.repeat(q_ids, k)[keep], "vec_id": ids.ravel()[keep], "score": best.ravel()[keep], "blocks": 0, "scored": 0})
                 yield pd.DataFrame({"query_uid": [None], "query_id": [None], "vec_id": [None], "score": [None], "blocks": [len(q_uids) * -(-r.rows // BLOCK)], "scored": [visits]}).astype({c: "Int64" for c in ("query_uid", "query_id", "vec_id", "score")})
 
-    first = stash(named.withColumn("pack", home).join(data.drop("top", "low"), "pack").withColumn("q_least", F.lit(None).cast("binary")).drop("pack", "q_pack").mapInPandas(search, SEARCHED), "first")
-    # k-th score of each query so far, beside its pack: a row per query that has k rows
-    reached = first.where("query_uid is not null").groupBy("query_uid").agg(F.count("*").alias("n"), F.min("score").alias("least")).where(F.col("n") >= k)
-
     def members(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for r in frame.itertuples(index=False):
                 yield pd.DataFrame({"q_pack": r.q_pack, "place": np.arange(r.q_rows), "query_uid": np.frombuffer(r.q_uids, np.int64)})
 
-    places = named.select("q_pack", "q_rows", "q_uids").mapInPandas(members, "q_pack long, place int, query_uid long")
-    least = places.join(reached, "query_uid").groupBy("q_pack").agg(F.map_from_entries(F.collect_list(F.struct("place", "least"))).alias("reached"))  # QUERIES entries
-    asked = named.join(least, "q_pack", "left")
-
-    n = data.count()
-    lanes = max(1, -(-n // BOUNDS))
-    edge = data.select("pack", "rows", "top", "low").groupBy(F.pmod(F.xxhash64("pack"), F.lit(lanes)).alias("lane")).agg(F.collect_list(F.struct("pack", "rows", "top", "low")).alias("edges"))  # about BOUNDS rows
-    sent = asked.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lanes - 1).cast("long"))).alias("lane"))
-
     def still_open(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for r in frame.itertuples(index=False):
@@ -211,9 +201,29 @@ def _searched(vectors: DataFrame, k: int, query_every: int, id_col: str, vector_
                 if out:
                     yield pd.DataFrame(out)
 
-    opened = sent.join(edge, "lane").select("q_pack", "q_rows", "q_uids", "q_ids", "q_body", "reached", "edges").mapInPandas(still_open, "pack long, q_rows int, q_uids binary, q_ids binary, q_body binary, q_least binary")
-    rest = opened.join(data.drop("top", "low"), "pack").drop("pack").mapInPandas(search, SEARCHED)
-    return first, rest
+    places = named.select("q_pack", "q_rows", "q_uids").mapInPandas(members, "q_pack long, place int, query_uid long")
+    n = data.count()
+    root = math.isqrt(max(n - 1, 0)) + 1
+
+    def step(found: DataFrame, probes: bool) -> DataFrame:
+        """SEARCHED rows of the super-blocks, probes or others, that are open after what was found."""
+        # k-th score of each query so far, beside its pack: a row per query that has k rows
+        rank = F.row_number().over(Window.partitionBy("query_uid").orderBy(F.desc("score")))
+        best = found.where("query_uid is not null").select("query_uid", "score", rank.alias("rank")).where(F.col("rank") <= k)
+        reached = best.groupBy("query_uid").agg(F.count("*").alias("n"), F.min("score").alias("least")).where(F.col("n") >= k)
+        least = places.join(reached, "query_uid").groupBy("q_pack").agg(F.map_from_entries(F.collect_list(F.struct("place", "least"))).alias("reached"))  # QUERIES entries
+        lanes = max(1, -(-(root if probes else n) // BOUNDS))
+        chosen = F.pmod(F.xxhash64("pack"), F.lit(root)) == 0
+        edges = data.where(chosen if probes else ~chosen).select("pack", "rows", "top", "low")
+        edges = edges.groupBy(F.pmod(F.xxhash64(F.lit(1), "pack"), F.lit(lanes)).alias("lane")).agg(F.collect_list(F.struct("pack", "rows", "top", "low")).alias("edges"))  # about BOUNDS rows
+        sent = named.join(least, "q_pack", "left").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lanes - 1).cast("long"))).alias("lane"))
+        opened = sent.join(edges, "lane").select("q_pack", "q_rows", "q_uids", "q_ids", "q_body", "reached", "edges").mapInPandas(still_open, "pack long, q_rows int, q_uids binary, q_ids binary, q_body binary, q_least binary")
+        return opened.join(data.drop("top", "low"), "pack").drop("pack").mapInPandas(search, SEARCHED)
+
+    home_rows = named.withColumn("pack", home).join(data.drop("top", "low"), "pack").withColumn("q_least", F.lit(None).cast("binary")).drop("pack", "q_pack")
+    first = stash(home_rows.mapInPandas(search, SEARCHED), "first")
+    first = first.unionByName(stash(step(first, True), "probes"))
+    return first, step(first, False)
 
 
 def top_k(vectors: DataFrame, k: int = 5, query_every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
