@@ -17,7 +17,7 @@ if TYPE_CHECKING:
 #: Bytes of text that one step of a Python task holds at a time; a single longer text is a batch of its own.
 BATCH_BYTES = 4 << 20
 #: Bytes of an Arrow batch that Spark sends to a Python task; one longer row is a batch of its own.
-ARROW_BYTES = 64 << 20
+ARROW_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -59,9 +59,9 @@ def _plain(path: str) -> str:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Let Spark end an Arrow batch at ARROW_BYTES, unless the session says otherwise; by default only the number of rows bounds one."""
+    """Let Spark end an Arrow batch at ARROW_BYTES, if the session allows more: what a task holds is a batch on each side."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(name).rstrip("b")) >= (1 << 31) - 1:
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) > ARROW_BYTES:
         spark.conf.set(name, str(ARROW_BYTES))
 
 
@@ -78,3 +78,4 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             stop = max(start + 1, int(np.searchsorted(ends, before + limit, "right")))
             yield batch.slice(start, stop - start)
             start = stop
+        pa.default_memory_pool().release_unused()

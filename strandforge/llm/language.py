@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import bound_batches, slices
 from .quality import held_out
 
 if TYPE_CHECKING:
@@ -140,6 +140,7 @@ def decide(model: Languages, texts: list[str | None], penalty: float = 3.0) -> t
 
 def train(docs: DataFrame, max_docs: int = MAX_DOCS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", smooth: float = 0.5) -> Languages:
     """3-gram tables of every language, from documents that are not held out (remainder 2 of 4)."""
+    bound_batches(docs.sparkSession)
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col, 4, 2))
     rows = rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
@@ -181,6 +182,11 @@ def train(docs: DataFrame, max_docs: int = MAX_DOCS, id_col: str = "doc_id", tex
     return Languages(names, np.log(table / table.sum(0)))
 
 
+def batch_bytes(model: Languages) -> int:
+    """Bytes of text decided at a time: each takes a number for every language."""
+    return max(1 << 14, (4 << 20) // max(1, len(model.names)))
+
+
 def _broadcast(model: Languages) -> Broadcast[Languages]:
     """The model once for each executor instead of once for each task; its size is bounded by MAX_LANGUAGES."""
     return SparkSession.getActiveSession().sparkContext.broadcast(model)
@@ -191,7 +197,7 @@ def decider(model: Languages, penalty: float = 3.0) -> Callable[[Iterator[pa.Rec
     shared = _broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, limit=2 << 20):
+        for batch in slices(batches, limit=batch_bytes(shared.value)):
             at = batch.schema.get_field_index("text")
             names, scores, _ = decide(shared.value, batch.column(at).to_pylist(), penalty)
             rest = [i for i in range(batch.num_columns) if i != at]
@@ -205,7 +211,7 @@ def keep_identified(docs: DataFrame, least: float = 0.5, max_docs: int = MAX_DOC
     shared = _broadcast(train(docs, max_docs, id_col, text_col, lang_col))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text_col, limit=2 << 20):
+        for batch in slices(batches, text_col, limit=batch_bytes(shared.value)):
             names, scores, _ = decide(shared.value, batch.column(batch.schema.get_field_index(text_col)).to_pylist(), penalty)
             yield batch.filter(pa.array([n != UNDETERMINED and x >= least for n, x in zip(names, scores, strict=True)], pa.bool_()))
 

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, slices, stash
+from .common import bound_batches, discard, slices, stash
 
 PERMUTATIONS, BANDS, ROWS, BITS_OFF = 96, 32, 6, 40
 WORDS, PERCENT, BLOCK = 5, 85, 128
@@ -95,6 +95,7 @@ def factors(n: int = PERMUTATIONS, seed: int = SEED) -> np.ndarray:
 
 def signatures(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, digest of the set, bands (bucket of each), b1 to b3 (a bit of each value)."""
+    bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = factors()

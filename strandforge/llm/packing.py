@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, stash
+from .common import bound_batches, slices, stash
 from .wordbpe import encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, split int, place long"
@@ -38,6 +38,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, split
 
 def pieces(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece of at most ``capacity`` ids; ``place`` counts the pieces of a length within an input split."""
+    bound_batches(docs.sparkSession)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

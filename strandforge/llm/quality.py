@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import bound_batches, slices
 
 BITS = 18
 MAX_ROWS = 6000
@@ -129,6 +129,7 @@ def held_out(id_col: str = "doc_id", parts: int = 5, part: int = 0) -> F.Column:
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> NbSvm:
     """Fit on the ``max_rows`` labelled rows, held-out ones excluded, whose ids hash lowest."""
+    bound_batches(docs.sparkSession)
     marked = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isNotNull())
     marked = marked.where(~held_out()).groupBy("doc_id").agg(F.max("label").alias("label"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, slices, stash
+from .common import bound_batches, fresh_path, slices, stash
 from .wordbpe import encoder
 
 MAGIC = b"SFWM0002"
@@ -315,6 +315,7 @@ def write_shards(docs: DataFrame, path: str, folder: str | None = None, end_id:
 
     Manifest: path, range (number of the doc_id range), place (of the file in it), docs, ids, start (ids before it).
     """
+    bound_batches(docs.sparkSession)
     folder = folder or fresh_path(docs.sparkSession, "wavelet")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
