@@ -3,10 +3,12 @@
 1. ``quality classifier``: documents that score under 0.3 go.
 2. ``language id``: documents without a letter, or of which no language holds half of the words, go.
 3. ``exact dedup``: of texts that are equal but for white space, the longest stays.
-4. ``minhash near-dedup``: of each group of near duplicates, the smallest doc_id stays.
+4. ``minhash near-dedup``: of each group of near duplicates (85 % or more of five-word shingles in common), the smallest doc_id stays.
 5. ``best-fit packing``: all that is left, packed into sequences of 4096 tokens.
 
-The stages before packing return the columns of ``documents``. A null text counts as empty: language id rejects it.
+The stages before packing return the columns that they get, whatever these are besides ``doc_id``, ``text`` and ``lang``. A null text
+counts as empty: language id rejects it. A row without doc_id is never dropped as a duplicate; repeated rows stay or go together; very
+long texts are read whole; an empty table gives no rows.
 Models are trained on what the stage gets, and on the ``labels`` table. ORACLE_SQL is None: the trained stages and the
 tokenizer have no SQL; the tests hold every stage against a plain version.
 """
