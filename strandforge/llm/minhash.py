@@ -40,6 +40,8 @@ WORDS, PERCENT, BLOCK = 5, 85, 128
 SEED = 20_240_607
 #: Shingles hashed at a time, and columns of a comparison at a time.
 STEP, COLUMNS = 4096, 1 << 14
+#: Bytes of text hashed at a time: a byte takes some twenty of numbers.
+TEXT_STEP = 1 << 20
 C1, C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -99,7 +101,7 @@ def signatures(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = factors()
-        for batch in slices(batches):
+        for batch in slices(batches, limit=TEXT_STEP):
             sets = shingles(batch.column(1), words)
             values = np.stack([min_max(s, by) for s in sets])
             bands = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(sets), BANDS)).copy()
@@ -126,7 +128,7 @@ def shingle_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """id, shingles (distinct hashes) of doc_id, text rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=TEXT_STEP):
             sets = shingles(batch.column(1), words)
             ends = np.cumsum([0, *map(len, sets)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))], names=["id", "shingles"])
