@@ -66,7 +66,9 @@ def _pack(rows: DataFrame, size: int) -> DataFrame:
             body = np.zeros((len(take), width))
             for i, x in enumerate(take.v):
                 body[i, : len(x)] = x
-            return pd.DataFrame([{"pack": (part << 32) + n, "rows": len(take), "width": width, "uids": take.uid.to_numpy(np.int64).tobytes(), "ids": take.vec_id.to_numpy(np.int64).tobytes(), "body": body.tobytes(), **{n: np.stack([f(body[i : i + BLOCK], 0) for i in range(0, len(body), BLOCK)]).tobytes() for n, f in (("top", np.max), ("low", np.min))}}])
+            top, low = block_edges(body)
+            raw = {"uids": take.uid.to_numpy(np.int64), "ids": take.vec_id.to_numpy(np.int64), "body": body, "top": top, "low": low}
+            return pd.DataFrame([{"pack": (part << 32) + n, "rows": len(take), "width": width, **{c: x.tobytes() for c, x in raw.items()}}])
 
         for frame in frames:
             held = [pd.concat([*held, frame], ignore_index=True)]
@@ -90,6 +92,12 @@ def _safe(q: np.ndarray, body: np.ndarray) -> bool:
     return max(np.abs(q).max(initial=0), np.abs(body).max(initial=0)) < SAFE and q.shape[1] <= 4096
 
 
+def block_edges(body: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
+    """(largest, smallest) value of each component in each block of rows."""
+    parts = [body[s : s + block] for s in range(0, len(body), block)]
+    return np.stack([p.max(0) for p in parts]), np.stack([p.min(0) for p in parts])
+
+
 def block_bounds(q: np.ndarray, top: np.ndarray, low: np.ndarray, exact: bool) -> np.ndarray:
     """The most that each block can score, a little more than exact where doubles may round."""
     bounds = np.maximum(q, 0) @ top.T + np.minimum(q, 0) @ low.T
@@ -106,7 +114,7 @@ def best_of(
     q, body = _even(q, body)
     exact = _safe(q, body)
     starts = range(0, len(body), block)
-    top, low = (np.stack([f(body[s : s + block], 0) for s in starts]) for f in (np.max, np.min))
+    top, low = block_edges(body, block)
     bounds = block_bounds(q, top, low, exact)
     order = np.argsort(-bounds, 1, kind="stable")
     best_ids, best = np.full((len(q), k), LARGEST), np.full((len(q), k), EMPTY)

@@ -39,6 +39,7 @@ MAGIC = b"SFWM0002"
 HEADER = "<QQIIQQQ"  # documents, ids, planes, words of a frame, then compressed bytes of directory, lengths, doc ids
 SHARD_IDS = 1 << 21
 FRAME = 1 << 10  # 64-bit words of a frame
+MANIFEST = pa.schema([("path", pa.string()), ("range", pa.int32()), ("place", pa.int32()), ("docs", pa.int64()), ("ids", pa.int64()), ("within", pa.int64())])
 NO_ID = -(1 << 63)  # stands for a null doc_id inside a shard
 
 
@@ -332,7 +333,7 @@ def write_shards(docs: DataFrame, path: str, folder: str | None = None, end_id:
             ids = np.concatenate(held)
             name = f"{folder}/range-{part:06d}/{place:06d}.wvm"
             write_file(name, dump(np.array(names, np.int64), np.array(lengths, np.int64), WaveletMatrix.build(ids)))
-            row = pa.RecordBatch.from_pylist([{"path": name, "range": part, "place": place, "docs": len(names), "ids": len(ids), "within": within}], pa.schema([("path", pa.string()), ("range", pa.int32()), ("place", pa.int32()), ("docs", pa.int64()), ("ids", pa.int64()), ("within", pa.int64())]))
+            row = pa.RecordBatch.from_pylist([{"path": name, "range": part, "place": place, "docs": len(names), "ids": len(ids), "within": within}], MANIFEST)
             place, within, size, held, names, lengths = place + 1, within + len(ids), 0, [], [], []
             return row
 
