@@ -10,6 +10,7 @@ from typing import TYPE_CHECKING
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import functions as F
 
 if TYPE_CHECKING:
     from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,8 @@ if TYPE_CHECKING:
 BATCH_BYTES = 4 << 20
 #: Bytes of an Arrow batch that Spark sends to a Python task; one longer row is a batch of its own.
 ARROW_BYTES = 8 << 20
+#: A key is frequent that holds more than one part in so many of all rows.
+HOT_SHARE = 2048
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -58,6 +61,21 @@ def _plain(path: str) -> str:
     return "/" + path.partition(":")[2].lstrip("/") if ":" in path else path
 
 
+def looked_up(rows: DataFrame, groups: DataFrame, keys: list[str], weight: str) -> DataFrame:
+    """``rows`` with the other columns of ``groups``, which has one row for each key, nulls where there is none.
+
+    ``weight`` counts the rows of a key. Keys that hold more than one part in HOT_SHARE of all of them are HOT_SHARE at
+    most, and are broadcast; the others, none of which is frequent, are joined by a shuffle. Both tables are read twice.
+    """
+    total = groups.agg(F.sum(weight)).first()[0] or 0
+    hot = F.col(weight) * HOT_SHARE > total
+    new = [c for c in groups.columns if c not in keys]
+    frequent = groups.where(hot).select(*keys, F.lit(True).alias("__hot"), *new)
+    met = rows.join(F.broadcast(frequent), keys, "left")  # HOT_SHARE rows
+    rare = met.where("__hot is null").drop("__hot", *new).join(groups.where(~hot), keys, "left")
+    return met.where("__hot").drop("__hot").unionByName(rare)
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Let Spark end an Arrow batch at ARROW_BYTES, if the session allows more: what a task holds is a batch on each side."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
