@@ -11,10 +11,12 @@ and lists are probed as often, so that the share found there is no less.
 
 Index and search:
 
-1. Every vector goes to its nearest list. Lists are written in packs of at most PACK vectors, so that a list with a third
-   of all vectors is many rows; a pack holds its rotated vectors in blocks of columns, and the original ones.
-2. Queries travel in packs, once to each group in which they probe a list, and meet the packs of these lists one by one.
-   First they probe their nearest few lists: the k-th score found there is where the search of the others begins.
+1. Every vector goes to its nearest list. Lists are written in packs of about PACK vectors, rotated and as they were: small
+   lists of a group share a pack, a list with a third of all vectors has many. The sizes of the lists, LISTS numbers, are
+   all that the driver sees of it.
+2. Queries travel in packs, once to each group in which they probe a list, and meet the packs of the group one by one; what
+   a pack of queries has found so far bounds its search of the next one. First queries probe their nearest few lists: the
+   k-th score found there is where the search of the others begins.
 3. Adaptive scan of a list: partial squared distances of a query to all vectors of the list after the first block of
    columns, then after the second, and so on. The hypothesis is that the whole distance is within the k-th one. A random
    rotation shows d of D dimensions a share of it that follows the Beta(d / 2, (D - d) / 2) distribution; a candidate is given
@@ -51,15 +53,17 @@ SAMPLE, SAMPLE_BYTES, ASKED = 1 << 15, 32 << 20, 512
 LISTS, GROUP, PACK, QUERIES = 4096, 32, 1024, 512
 #: Columns in a block; how seldom a test may give up a candidate at the k-th distance; packs in a slice of a group.
 BLOCK, ALPHA, SLICE = 16, 1e-3, 64
+#: Packs of queries of which a task holds what they have found.
+HELD = 16
 #: Share of the nearest that the probed lists are to hold.
 RECALL = 0.97
 #: Rounds of k-means.
 ROUNDS = 8
-#: Pairs of a query and a vector that are compared at a time.
-PAIRS = 1 << 18
+#: Pairs of a query and a vector that are compared, and scored, at a time.
+PAIRS, STEP = 1 << 18, 1 << 16
 #: Squared distances lie between 0 and 4; what 32-bit components may make them differ by.
 SLACK = 1e-5
-PACKED = "list int, grp int, slice int, rows int, uids binary, ids binary, turned binary, body binary"
+PACKED = "grp int, slice int, rows int, lists binary, uids binary, ids binary, turned binary, body binary"
 ASKS = "grp int, slice int, q_rows int, q_uids binary, q_ids binary, q_turned binary, q_body binary, q_least binary, q_lists binary"
 FOUND = "query_uid long, query_id long, vec_id long, score double, pairs long, compared long, dims long"
 
@@ -196,45 +200,82 @@ def _adaptive(q: np.ndarray, rows: np.ndarray, limit: np.ndarray, blocks: list[s
     return i, j, read
 
 
-def scanned(q: dict[str, np.ndarray], rows: dict[str, np.ndarray], k: int, index: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, int]:
-    """(query, row id, score) of the k best rows for each query, pairs compared on all dimensions, dimensions read.
-
-    ``q``: uids, turned, body, norms, least (a score that k rows elsewhere reach, or minus infinity); ``rows``: uids, ids, turned, body.
-    """
-    least = q["least"].copy()
-    best_i, best_ids, best = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    compared = read = 0
-    step = max(1, PAIRS // max(1, len(least)))
-    for at in range(0, len(rows["ids"]), step):
-        part = {c: x[at : at + step] for c, x in rows.items()}
-        # a score's squared distance between unit vectors
-        limit = 2 - 2 * (least / q["norms"]) / index.largest
-        known = np.isfinite(least)
-        i, j, n = _adaptive(q["turned"][known], part["turned"], limit[known].astype(np.float32), index.blocks, index.shares)
-        i, read = np.flatnonzero(known)[i], read + n
-        if not known.all():
-            # no k-th score yet: the best of this part, and what is as good but for rounding
-            new = np.flatnonzero(~known)
-            near = q["turned"][new] @ part["turned"].T
-            kth = np.partition(near, -min(k + 1, near.shape[1]), 1)[:, -min(k + 1, near.shape[1])]
-            a, b = np.nonzero(near >= kth[:, None] - SLACK)
-            i, j, read = np.concatenate([i, new[a]]), np.concatenate([j, b]), read + near.size * (index.width + 1)
-        other = q["uids"][i] != part["uids"][j]
-        i, j = i[other], j[other]
-        compared += len(i)
+class Asked:
+    """A pack of queries: its vectors, and the k best rows for each query so far."""
+
+    def __init__(self, r: object, index: Index, k: int) -> None:
+        whole = lambda raw, kind: np.frombuffer(raw, kind).reshape(r.q_rows, -1)
+        self.index, self.k = index, k
+        self.uids, self.ids = np.frombuffer(r.q_uids, np.int64), np.frombuffer(r.q_ids, np.int64)
+        self.turned, self.body, self.lists = whole(r.q_turned, np.float32), whole(r.q_body, np.float64), whole(r.q_lists, np.int32)
+        top = np.abs(self.body).max(1)
+        self.norms = top * np.sqrt(((self.body / top[:, None]) ** 2).sum(1))
+        # a score that k rows elsewhere reach, or minus infinity
+        self.least = np.frombuffer(r.q_least).copy()
+        self.given = self.least.copy()
+        self.of, self.near, self.best = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self.pairs = self.compared = self.read = 0
+
+    def scan(self, at: np.ndarray, uids: np.ndarray, ids: np.ndarray, turned: np.ndarray, body: np.ndarray) -> None:
+        """Look for the nearest of the queries ``at`` among some rows."""
+        step = max(1, PAIRS // max(1, len(at)))
+        self.pairs += len(at) * len(ids)
+        for begin in range(0, len(ids), step):
+            rows = slice(begin, begin + step)
+            known = np.isfinite(self.least[at])
+            old, new = at[known], at[~known]
+            # a score's squared distance between unit vectors
+            limit = 2 - 2 * (self.least[old] / self.norms[old]) / self.index.largest
+            i, j, read = _adaptive(self.turned[old], turned[rows], limit.astype(np.float32), self.index.blocks, self.index.shares)
+            i = old[i]
+            if len(new):
+                # no k-th score yet: the best of these rows, and what is as good but for rounding
+                near = self.turned[new] @ turned[rows].T
+                kth = np.partition(near, -min(self.k + 1, near.shape[1]), 1)[:, -min(self.k + 1, near.shape[1])]
+                a, b = np.nonzero(near >= kth[:, None] - SLACK)
+                i, j, read = np.concatenate([i, new[a]]), np.concatenate([j, b]), read + near.size * (self.index.width + 1)
+            other = self.uids[i] != uids[rows][j]
+            self.read += read
+            self._add(i[other], begin + j[other], ids, body)
+
+    def _add(self, i: np.ndarray, j: np.ndarray, ids: np.ndarray, body: np.ndarray) -> None:
+        if not len(i):
+            return
+        self.compared += len(i)
         scores = np.zeros(len(i))
-        for s in range(0, len(i), 1 << 16):
-            scores[s : s + (1 << 16)] = (q["body"][i[s : s + (1 << 16)]] * part["body"][j[s : s + (1 << 16)]]).sum(1)
-        best_i, best_ids, best = np.concatenate([best_i, i]), np.concatenate([best_ids, part["ids"][j]]), np.concatenate([best, scores])
-        keep = _ranked(best_i, best_ids, best, k)
-        best_i, best_ids, best = best_i[keep], best_ids[keep], best[keep]
-        # a query that now has k rows has a k-th score
-        counts = np.bincount(best_i, minlength=len(least))
-        last = np.cumsum(counts) - 1
-        full = counts == k
-        least[full] = np.maximum(least[full], best[last[full]])
-    keep = best >= q["least"][best_i]
-    return best_i[keep], best_ids[keep], best[keep], compared, read
+        for n in range(0, len(i), STEP):
+            scores[n : n + STEP] = (self.body[i[n : n + STEP]] * body[j[n : n + STEP]]).sum(1)
+        touched = np.zeros(len(self.uids), bool)
+        touched[i] = True
+        again = touched[self.of]
+        of, near, best = (np.concatenate([x[again], y]) for x, y in ((self.of, i), (self.near, ids[j]), (self.best, scores)))
+        keep = _ranked(of, near, best, self.k)
+        of, near, best = of[keep], near[keep], best[keep]
+        counts = np.bincount(of, minlength=len(self.uids))
+        full = counts == self.k
+        self.least[full] = np.maximum(self.least[full], best[np.cumsum(counts)[full] - 1])
+        self.of, self.near, self.best = (np.concatenate([x[~again], y]) for x, y in ((self.of, of), (self.near, near), (self.best, best)))
+
+    def rows(self) -> Iterator[pd.DataFrame]:
+        """FOUND rows; one without query tells the counts."""
+        keep = self.best >= self.given[self.of]
+        of = self.of[keep]
+        yield pd.DataFrame({"query_uid": self.uids[of], "query_id": self.ids[of], "vec_id": self.near[keep], "score": self.best[keep], "pairs": 0, "compared": 0, "dims": 0})
+        told = pd.DataFrame({"query_uid": [None], "query_id": [None], "vec_id": [None], "score": [None], "pairs": [self.pairs], "compared": [self.compared], "dims": [self.read]})
+        yield told.astype({"query_uid": "Int64", "query_id": "Int64", "vec_id": "Int64", "score": "Float64"})
+
+
+def _runs(frames: Iterator[pd.DataFrame], key: str, most: int) -> Iterator[pd.DataFrame]:
+    """Frames of one key each, at most ``most`` rows long, of rows that come key by key."""
+    held: pd.DataFrame | None = None
+    for frame in frames:
+        held = pd.concat([held, frame], ignore_index=True) if held is not None else frame
+        while len(held) and (held[key].iloc[0] != held[key].iloc[-1] or len(held) >= most):
+            n = min(most, int((held[key].to_numpy() == held[key].iloc[0]).sum()))
+            yield held[:n]
+            held = held[n:].reset_index(drop=True)
+    if held is not None and len(held):
+        yield held
 
 
 class Search:
@@ -244,75 +285,58 @@ class Search:
         self.index, self.k = index, k
 
     def assign(self, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """uid, vec_id, v, norm and the list of each vector."""
+        """uid, vec_id, v, norm, the list of each vector and its group."""
         for frame in frames:
             turned = self.index.turned(_padded(frame.v, self.index.width), frame.norm.to_numpy(), query=False)
-            yield frame[["uid", "vec_id", "v", "norm"]].assign(list=nearest_centers(turned, self.index.centers, 1)[:, 0].astype(np.int32))
+            lists = nearest_centers(turned, self.index.centers, 1)[:, 0]
+            yield frame[["uid", "vec_id", "v", "norm"]].assign(list=lists.astype(np.int32), grp=self.index.groups[lists].astype(np.int32))
 
     def pack(self, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """PACKED rows of vectors that come list by list."""
-
-        def out(own: pd.DataFrame) -> pd.DataFrame:
-            body, at = _padded(own.v, self.index.width), int(own.list.iloc[0])
+        """PACKED rows of vectors that come pack by pack, and list by list within it."""
+        for own in _runs(frames, "pack", 2 * PACK):
+            body = _padded(own.v, self.index.width)
             turned = self.index.turned(body, own.norm.to_numpy(), query=False).astype(np.float32)
-            raw = {"uids": own.uid.to_numpy(np.int64), "ids": own.vec_id.to_numpy(np.int64), "turned": turned, "body": body}
-            return pd.DataFrame([{"list": at, "grp": int(self.index.groups[at]), "slice": 0, "rows": len(own), **{c: x.tobytes() for c, x in raw.items()}}])
-
-        held: pd.DataFrame | None = None
-        for frame in frames:
-            held = pd.concat([held, frame], ignore_index=True) if held is not None else frame
-            while len(held) and (held.list.iloc[0] != held.list.iloc[-1] or len(held) >= PACK):
-                n = min(PACK, int((held.list.to_numpy() == held.list.iloc[0]).sum()))
-                yield out(held[:n])
-                held = held[n:].reset_index(drop=True)
-        if held is not None and len(held):
-            yield out(held)
+            raw = {"lists": own.list.to_numpy(np.int32), "uids": own.uid.to_numpy(np.int64), "ids": own.vec_id.to_numpy(np.int64), "turned": turned, "body": body}
+            yield pd.DataFrame([{"grp": int(own.grp.iloc[0]), "slice": int(own.slice.iloc[0]), "rows": len(own), **{c: x.tobytes() for c, x in raw.items()}}])
 
     def ask(self, frames: Iterator[pd.DataFrame], begin: int, end: int, slices: dict[int, int]) -> Iterator[pd.DataFrame]:
-        """ASKS rows of queries (with ``least``, null where unknown): a row for each slice of a group in which they probe a list, the ``begin``-th to the ``end``-th nearest."""
-        held: pd.DataFrame | None = None
-        for frame in frames:
-            held = pd.concat([held, frame], ignore_index=True) if held is not None else frame
-            while len(held) >= QUERIES:
-                yield self._asks(held[:QUERIES], begin, end, slices)
-                held = held[QUERIES:].reset_index(drop=True)
-        if held is not None and len(held):
-            yield self._asks(held, begin, end, slices)
-
-    def _asks(self, own: pd.DataFrame, begin: int, end: int, slices: dict[int, int]) -> pd.DataFrame:
-        body = _padded(own.v, self.index.width)
-        turned = self.index.turned(body, own.norm.to_numpy(), query=True)
-        lists = nearest_centers(turned, self.index.centers, end)[:, begin:].astype(np.int32)
-        group_of = self.index.groups[lists]
-        least = own.least.to_numpy(np.float64, na_value=-np.inf)
-        out = []
-        for group in np.unique(group_of):
-            at = np.flatnonzero((group_of == group).any(1))
-            raw = {"q_uids": own.uid.to_numpy(np.int64)[at], "q_ids": own.vec_id.to_numpy(np.int64)[at], "q_turned": turned[at].astype(np.float32), "q_body": body[at], "q_least": least[at]}
-            probed = -np.sort(-np.where(group_of[at] == group, lists[at], -1), 1)
-            raw["q_lists"] = np.ascontiguousarray(probed[:, (probed >= 0).any(0)])
-            sent = {c: x.tobytes() for c, x in raw.items()}
-            out += [{"grp": int(group), "slice": n, "q_rows": len(at), **sent} for n in range(slices.get(int(group), 0))]
-        return pd.DataFrame(out, columns=[f.split(" ")[0] for f in ASKS.split(", ")])
+        """ASKS rows of queries (with ``least``, null where unknown) that come pack by pack: a row for each slice of a group
+        in which they probe a list, the ``begin``-th to the ``end``-th nearest."""
+        for own in _runs(frames, "pack", 2 * QUERIES):
+            body = _padded(own.v, self.index.width)
+            turned = self.index.turned(body, own.norm.to_numpy(), query=True)
+            lists = nearest_centers(turned, self.index.centers, end)[:, begin:].astype(np.int32)
+            group_of = self.index.groups[lists]
+            least = own.least.to_numpy(np.float64, na_value=-np.inf)
+            out = []
+            for group in np.unique(group_of):
+                at = np.flatnonzero((group_of == group).any(1))
+                raw = {"q_uids": own.uid.to_numpy(np.int64)[at], "q_ids": own.vec_id.to_numpy(np.int64)[at], "q_turned": turned[at].astype(np.float32), "q_body": body[at], "q_least": least[at]}
+                probed = -np.sort(-np.where(group_of[at] == group, lists[at], -1), 1)
+                raw["q_lists"] = np.ascontiguousarray(probed[:, (probed >= 0).any(0)])
+                sent = {c: x.tobytes() for c, x in raw.items()}
+                out += [{"grp": int(group), "slice": n, "q_rows": len(at), **sent} for n in range(slices.get(int(group), 0))]
+            yield pd.DataFrame(out, columns=[f.split(" ")[0] for f in ASKS.split(", ")])
 
     def search(self, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """FOUND rows of packs of queries and packs of vectors; a row without query tells pairs, pairs compared whole and dimensions read."""
-        width = self.index.width
+        """FOUND rows of packs of queries and packs of vectors."""
+        held: dict[tuple[int, int, bytes], Asked] = {}
         for frame in frames:
             for r in frame.itertuples(index=False):
-                at = (np.frombuffer(r.q_lists, np.int32).reshape(r.q_rows, -1) == r.list).any(1)
-                if not at.any():
-                    continue
-                q = {"uids": np.frombuffer(r.q_uids, np.int64)[at], "least": np.frombuffer(r.q_least)[at]}
-                q |= {"turned": np.frombuffer(r.q_turned, np.float32).reshape(r.q_rows, -1)[at], "body": np.frombuffer(r.q_body).reshape(r.q_rows, width)[at]}
-                top = np.abs(q["body"]).max(1)
-                q["norms"] = top * np.sqrt(((q["body"] / top[:, None]) ** 2).sum(1))
-                rows = {"uids": np.frombuffer(r.uids, np.int64), "ids": np.frombuffer(r.ids, np.int64)}
-                rows |= {"turned": np.frombuffer(r.turned, np.float32).reshape(r.rows, -1), "body": np.frombuffer(r.body).reshape(r.rows, width)}
-                i, ids, scores, compared, read = scanned(q, rows, self.k, self.index)
-                yield pd.DataFrame({"query_uid": q["uids"][i], "query_id": np.frombuffer(r.q_ids, np.int64)[at][i], "vec_id": ids, "score": scores, "pairs": 0, "compared": 0, "dims": 0})
-                told = pd.DataFrame({"query_uid": [None], "query_id": [None], "vec_id": [None], "score": [None], "pairs": [int(at.sum()) * r.rows], "compared": [compared], "dims": [read]})
-                yield told.astype({"query_uid": "Int64", "query_id": "Int64", "vec_id": "Int64", "score": "Float64"})
+                key = (r.grp, r.slice, r.q_uids)
+                if (asked := held.get(key)) is None:
+                    if len(held) == HELD:
+                        yield from held.pop(next(iter(held))).rows()
+                    asked = held[key] = Asked(r, self.index, self.k)
+                lists, uids, ids = np.frombuffer(r.lists, np.int32), np.frombuffer(r.uids, np.int64), np.frombuffer(r.ids, np.int64)
+                turned, body = np.frombuffer(r.turned, np.float32).reshape(r.rows, -1), np.frombuffer(r.body).reshape(r.rows, -1)
+                starts = np.flatnonzero(np.concatenate([[True], np.diff(lists) != 0]))
+                for a, b in zip(starts, np.append(starts[1:], r.rows), strict=True):
+                    at = np.flatnonzero((asked.lists == lists[a]).any(1))
+                    if len(at):
+                        asked.scan(at, uids[a:b], ids[a:b], turned[a:b], body[a:b])
+        for asked in held.values():
+            yield from asked.rows()
 
 
 def fit(rows: DataFrame, k: int, recall: float = RECALL) -> Index | None:
@@ -329,6 +353,22 @@ def fit(rows: DataFrame, k: int, recall: float = RECALL) -> Index | None:
     return fitted(_padded(sample.v, width), sample.norm.to_numpy(), largest, n, k, recall)
 
 
+def _places(sizes: list[tuple[int, int, int, int]]) -> tuple[list[tuple[int, int, int]], dict[int, int], list[tuple[int, int]]]:
+    """(list, its first pack within its group, its packs), slices of each group, (group, its packs of queries), from (group, list, vectors, queries) in order."""
+    packs, last, room, asked = [], {}, {}, {}
+    for group, at, n, n_queries in sizes:
+        parts = -(-n // PACK)
+        if parts == 1 and n <= room.get(group, 0):
+            room[group] -= n
+            packs.append((at, last[group], 1))
+        else:
+            packs.append((at, last.get(group, -1) + 1, parts))
+            last[group] = last.get(group, -1) + parts
+            room[group] = PACK - n if parts == 1 else 0
+        asked[group] = asked.get(group, 0) + n_queries
+    return packs, {g: n // SLICE + 1 for g, n in last.items()}, [(g, max(1, -(-n // QUERIES))) for g, n in asked.items()]
+
+
 def _found(vectors: DataFrame, k: int, query_every: int, id_col: str, vector_col: str, recall: float) -> DataFrame | None:
     spark: SparkSession = vectors.sparkSession
     bound_batches(spark)
@@ -337,17 +377,22 @@ def _found(vectors: DataFrame, k: int, query_every: int, id_col: str, vector_col
     if index is None:
         return None
     steps = Search(index, k)
-    assigned = rows.mapInPandas(steps.assign, "uid long, vec_id long, v array<double>, norm double, list int")
-    packs = stash(assigned.repartitionByRange("list", "uid").sortWithinPartitions("list", "uid").mapInPandas(steps.pack, PACKED), "packs")
-    slices = {r["grp"]: -(-r["n"] // SLICE) for r in packs.groupBy("grp").agg(F.count("*").alias("n")).collect()}  # LISTS / GROUP rows
-    of = F.create_map(*(F.lit(x) for pair in slices.items() for x in pair))
-    packs = packs.withColumn("slice", F.pmod(F.xxhash64("uids"), of[F.col("grp")]).cast("int"))
-    queries = stash(assigned.where(F.col("vec_id") % query_every == 0), "queries")
+    assigned = stash(rows.mapInPandas(steps.assign, "uid long, vec_id long, v array<double>, norm double, list int, grp int"), "assigned")
+    is_query = F.col("vec_id") % query_every == 0
+    sizes = [tuple(r) for r in assigned.groupBy("grp", "list").agg(F.count("*"), F.count_if(is_query)).orderBy("grp", "list").collect()]  # LISTS rows
+    packs, slices, asks = _places(sizes)
+    salt = F.xxhash64("uid")
+    place = F.broadcast(spark.createDataFrame(packs, "list int, first int, parts int"))  # LISTS rows
+    placed = assigned.join(place, "list").withColumn("pack", F.col("first") + F.pmod(salt, F.col("parts")).cast("int")).drop("first", "parts")
+    placed = placed.withColumn("slice", F.floor(F.col("pack") / SLICE).cast("int")).repartition("grp", "pack").sortWithinPartitions("grp", "pack", "list", "uid")
+    packed = stash(placed.withColumn("pack", F.struct("grp", "pack").cast("string")).mapInPandas(steps.pack, PACKED), "packs")
+    ask_place = F.broadcast(spark.createDataFrame(asks, "grp int, parts int"))
+    queries = assigned.where(is_query).join(ask_place, "grp").withColumn("pack", F.pmod(salt, F.col("parts")).cast("int")).drop("parts")
 
     def step(asked: DataFrame, begin: int, end: int) -> DataFrame:
-        ordered = asked.repartitionByRange("list", "uid").sortWithinPartitions("list", "uid")
-        asks = ordered.mapInPandas(lambda frames: steps.ask(frames, begin, end, slices), ASKS)
-        return stash(asks.join(packs, ["grp", "slice"]).mapInPandas(steps.search, FOUND), "found")
+        ordered = asked.repartition("grp", "pack").sortWithinPartitions("grp", "pack", "uid").withColumn("pack", F.struct("grp", "pack").cast("string"))
+        sent = ordered.mapInPandas(lambda frames: steps.ask(frames, begin, end, slices), ASKS)
+        return stash(sent.join(packed, ["grp", "slice"]).mapInPandas(steps.search, FOUND), "found")
 
     def kth(found: DataFrame, place: int) -> DataFrame:
         """uid, least: the score at a place of the queries that have so many rows."""
