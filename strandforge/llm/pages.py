@@ -10,14 +10,15 @@ their common length give the runs, overlapping ones merge into longer). Runs tha
 every distinct run one row goes on, keyed by a 128-bit hash of the host and the run, so that runs repeated across tasks
 are found by an aggregate. A host with a third of all pages thus stays spread over its tasks, and sends each run once per
 stretch. In an ``article`` a run counts only as a whole block, and only if it stands on more than ``SHARE`` of the host's
-pages, ``LEAST`` at least: articles quote each other, and a quoted passage is text. Such a block stands on that share of the
-host's pages in one stretch at least, so each stretch sends only those; a host has fewer of them than 1 / SHARE pages have blocks.
+pages, ``LEAST`` at least: articles quote each other, and a quoted passage is text. Each stretch sends the pages of each of its
+article blocks, as a hash and a number, and the sums of all stretches are compared: what is found does not depend on how
+pages are dealt. Tags are scanned in time linear in the page, whatever is left unclosed in it.
 
 What runs cover by half of its words or more is repeated boilerplate and goes, whatever its markup. Markup then rules out
 those marked blocks that are unique. The text is what is left, in page order.
 
 Nulls and edge cases: a null or empty html gives an empty text; null page_id and url are carried through; identical
-rows count as one page in the search and each keep their result; a page of one endless block is a block like others; of
+rows count as one page in the search for runs, as often as they stand in the shares, and each keep their result; a page of one endless block is a block like others; of
 equal runs on more than two pages all count alike; an empty table gives no rows; other columns are ignored, whatever
 their names.
 """
@@ -26,6 +27,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
@@ -61,13 +63,61 @@ MARKED_WORDS = frozenset(
 LAYOUT_WORDS = frozenset("has with without no is".split())
 CONTENT_WORDS = frozenset("content article story".split())
 
-_TAG = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:\"[^\"]*+\"|'[^']*+'|[^'\">])*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>",
-    re.S | re.I,
-)
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+_RAW = re.compile(rf"<({RAW})\b", re.I)
+_RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW.split("|")}
+_QUOTE_OR_END = re.compile("[\"'>]")
 _ATTRIBUTE = re.compile(r"(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 
+def tags(html: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """(begin, end, whether it closes, name in lower case, attributes) of each tag; comments and raw text have no name.
+
+    A tag ends at the first ``>`` outside of quotes or, where there is none, at the first one. No character is looked at
+    more than a few times: quotes from which no end was found are remembered.
+    """
+    at, last = 0, html.rfind(">")
+    last_quote = {q: html.rfind(q) for q in "\"'"}
+    dead: set[int] = set()
+    while (begin := html.find("<", at)) >= 0:
+        if html.startswith("<!--", begin):
+            end = html.find("-->", begin + 4)
+            at = len(html) if end < 0 else end + 3
+            yield begin, at, False, "", ""
+            continue
+        if begin > last:
+            # no tag ends any more, but a comment without an end reaches to that of the page
+            if (at := html.find("<!--", begin)) < 0:
+                return
+            continue
+        if raw := _RAW.match(html, begin):
+            end = _RAW_END[raw[1].lower()].search(html, html.find(">", raw.end()) + 1)
+            at = end.end() if end else len(html)
+            yield begin, at, False, "", ""
+        elif name := _NAME.match(html, begin):
+            at = _tag_end(html, name.end(), last_quote, dead)
+            yield begin, at, bool(name[1]), name[2].lower(), html[name.end() : at - 1]
+        elif html[begin + 1] in "!?/":
+            at = html.find(">", begin + 2) + 1
+            yield begin, at, False, "", ""
+        else:
+            at = begin + 1
+
+
+def _tag_end(html: str, at: int, last_quote: dict[str, int], dead: set[int]) -> int:
+    """Where the tag ends whose attributes begin at ``at``; there is a ``>`` behind it."""
+    passed, place = [], at
+    while found := _QUOTE_OR_END.search(html, place):
+        if found[0] == ">":
+            return found.end()
+        passed.append(found.start())
+        if found.start() in dead or last_quote[found[0]] == found.start():
+            break
+        place = html.find(found[0], found.end()) + 1
+    dead.update(passed)
+    return html.find(">", at) + 1
+
+
 def _level(tag: str, attributes: str, now: int) -> int:
     """What an element makes of the text in it, within an element that made it ``now``."""
     if now == MARKED or tag in BOILERPLATE or (tag == "header" and now == OPEN):
@@ -94,6 +144,7 @@ def blocks(html: str | None) -> list[tuple[str, int]]:
     html = html or ""
     out: list[tuple[str, int]] = []
     stack: list[tuple[str, int]] = []
+    open_: Counter[str] = Counter()  # of the stack
     held: list[str] = []
     now, at = OPEN, 0
 
@@ -103,11 +154,10 @@ def blocks(html: str | None) -> list[tuple[str, int]]:
                 out.append((text, now))
             held.clear()
 
-    for found in _TAG.finditer(html):
-        if found.start() > at:
-            held.append(html[at : found.start()])
-        at = found.end()
-        tag = (found[3] or found[6] or "").lower()
+    for begin, end, closes, tag, attributes in tags(html):
+        if begin > at:
+            held.append(html[at:begin])
+        at = end
         if not tag:
             continue
         if tag == "br":
@@ -116,21 +166,23 @@ def blocks(html: str | None) -> list[tuple[str, int]]:
         block = tag in BLOCKS
         if block:
             flush()
-        if found[2] or found[5]:
-            for n in range(len(stack) - 1, -1, -1):
-                if stack[n][0] == tag:
-                    if not block:
-                        flush()
-                    now = stack[n][1]
-                    del stack[n:]
-                    break
+        if closes:
+            if open_[tag]:
+                if not block:
+                    flush()
+                name = ""
+                while name != tag:
+                    name, now = stack.pop()
+                    open_[name] -= 1
         elif tag not in VOID and (block or tag in BOILERPLATE):
             if stack and stack[-1][0] in ("p", "li") and (stack[-1][0] == tag or stack[-1][0] == "p"):
-                now = stack.pop()[1]  # an open paragraph ends where a block begins
+                name, now = stack.pop()  # an open paragraph ends where a block begins
+                open_[name] -= 1
             if not block:
                 flush()
             stack.append((tag, now))
-            now = _level(tag, found[4] or found[7] or "", now)
+            open_[tag] += 1
+            now = _level(tag, attributes, now)
     if at < len(html):
         held.append(html[at:])
     flush()
@@ -195,7 +247,7 @@ def repeats(pages: np.ndarray, sizes: np.ndarray, tokens: np.ndarray) -> tuple[n
 
 
 RUNS = "kind int, g1 long, g2 long, k1 long, k2 long, at int, stop int, many boolean, n long"
-#: Kinds of rows: a distinct run of a stretch (g) with a page (k); what repeated runs cover of a page (k); a frequent block in articles (g) of a
+#: Kinds of rows: a distinct run of a stretch (g) with a page (k); what repeated runs cover of a page (k); a block in articles (g1) of a
 #: host (k) and its pages; a host (g) and its pages; a page (k) of a host (g).
 RUN_ROW, SPAN_ROW, BLOCK_ROW, HOST_ROW, PAGE_ROW = range(5)
 
@@ -204,19 +256,19 @@ def _host_ids(host: str) -> tuple[int, int]:
     return xxhash.xxh3_64_intdigest(host), xxhash.xxh3_64_intdigest(host, 1)
 
 
-def _block_ids(text: str, host: tuple[int, int]) -> tuple[int, int]:
-    return xxhash.xxh3_64_intdigest(text, host[0]), xxhash.xxh3_64_intdigest(text, host[1])
+def _block_id(text: str, host: tuple[int, int]) -> int:
+    """Of a block among those of its host."""
+    return xxhash.xxh3_64_intdigest(text, host[1])
 
 
 class Stretch:
     """Token streams of some pages, at most about STRETCH tokens of them; blocks in articles are held as hashes."""
 
-    def __init__(self, share: float = SHARE) -> None:
-        self.share = share
+    def __init__(self) -> None:
         self.keys: list[tuple[int, int]] = []
         self.hosts: list[tuple[int, int]] = []
         self.streams: list[tuple[int, int, list[int]]] = []  # page, first place in it, tokens
-        self.inside: list[tuple[int, int, int]] = []  # page, hashes of a block
+        self.inside: list[tuple[int, int]] = []  # page, hash of a block
         self.words: dict[str, int] = {}
         self.size = 0
 
@@ -228,7 +280,8 @@ class Stretch:
             if level == ARTICLE:
                 stop = place + 2 + text.count(" ")
                 if stop - place > RUN:
-                    self.inside.append((page, *_block_ids(text, ids)))
+                    self.inside.append((page, _block_id(text, ids)))
+                    self.size += RUN
                 place, row = stop, None
                 continue
             if row is None:
@@ -259,24 +312,20 @@ class Stretch:
         same = np.unique(keys, axis=0, return_index=True, return_inverse=True)
         first, many, n_pages, repeated = repeats(same[2].reshape(-1)[page], sizes, tokens)
         lo, hi = longest_runs(repeated)
-        _, one, page_of = same
-        page_of = page_of.reshape(-1)
-        distinct, host_of, n_host = np.unique(hosts[one], axis=0, return_inverse=True, return_counts=True)
+        one = same[1]
+        distinct, host_of, n_host = np.unique(hosts, axis=0, return_inverse=True, return_counts=True)
         host_of = host_of.reshape(-1)
-        # distinct (block, page), then pages of each block against those of its host
-        inside = np.array(self.inside, np.uint64).reshape(-1, 3)
-        inside[:, 0] = page_of[inside[:, 0].astype(np.int64)]
-        inside = np.unique(inside, axis=0)
-        block, where, n_block = np.unique(inside[:, 1:], axis=0, return_index=True, return_counts=True)
-        own_host = host_of[inside[where, 0].astype(np.int64)]
-        often = n_block > self.share * n_host[own_host]
-        block, own_host, n_block = block[often].view(np.int64), own_host[often], n_block[often]
+        # distinct (block, row), then rows of each block
+        inside = np.unique(np.array(self.inside, np.uint64).reshape(-1, 2), axis=0)
+        inside[:, 0] = host_of[inside[:, 0].astype(np.int64)]
+        block, n_block = np.unique(inside, axis=0, return_counts=True)
+        own_host, block = block[:, 0].astype(np.int64), block[:, 1].view(np.int64)
         distinct, hosts = distinct.view(np.int64), hosts.view(np.int64)
         zero = lambda n: np.zeros(n, np.int64)
         parts = [
             (RUN_ROW, _gram_hash(tokens, first, 0), _gram_hash(tokens, first, 1), keys[page[stream[first]]], first + shift[stream[first]], first + shift[stream[first]] + RUN, many, n_pages),
             (SPAN_ROW, zero(len(lo)), zero(len(lo)), keys[page[stream[lo]]], lo + shift[stream[lo]], hi + shift[stream[lo]], lo >= 0, zero(len(lo))),
-            (BLOCK_ROW, block[:, 0], block[:, 1], distinct[own_host], zero(len(block)), zero(len(block)), n_block < 0, n_block),
+            (BLOCK_ROW, block, zero(len(block)), distinct[own_host], zero(len(block)), zero(len(block)), n_block < 0, n_block),
             (HOST_ROW, distinct[:, 0], distinct[:, 1], np.zeros_like(distinct), zero(len(distinct)), zero(len(distinct)), n_host < 0, n_host),
             (PAGE_ROW, hosts[one, 0], hosts[one, 1], keys[one], zero(len(one)), zero(len(one)), one < 0, zero(len(one))),
         ]
@@ -287,18 +336,18 @@ class Stretch:
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[f.split(" ")[0] for f in RUNS.split(", ")])
 
 
-def run_rows(pages: DataFrame, share: float = SHARE) -> DataFrame:
+def run_rows(pages: DataFrame) -> DataFrame:
     """RUNS rows of pages with k1, k2, url, html: what each stretch knows (see Stretch)."""
     bound_batches(pages.sparkSession)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = Stretch(share)
+        held = Stretch()
         for batch in slices(batches, "html"):
             for k1, k2, url, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 held.add((k1, k2), _host(url), blocks(html))
                 if held.size >= STRETCH:
                     yield held.rows()
-                    held = Stretch(share)
+                    held = Stretch()
         if held.keys:
             yield held.rows()
 
@@ -306,9 +355,9 @@ def run_rows(pages: DataFrame, share: float = SHARE) -> DataFrame:
 
 
 def repeated_runs(pages: DataFrame, share: float = SHARE, least: int = LEAST) -> DataFrame:
-    """k1, k2, spans (at, stop), gone (g1, g2): what runs repeated on distinct pages of a host cover of each page's token stream outside of
+    """k1, k2, spans (at, stop), gone: what runs repeated on distinct pages of a host cover of each page's token stream outside of
     articles, and the hashes of article blocks that are boilerplate on its host."""
-    seen = stash(run_rows(pages, share), "runs")
+    seen = stash(run_rows(pages), "runs")
     gram, key = ["g1", "g2"], ["k1", "k2"]
     own = seen.where(F.col("kind") == RUN_ROW)
     across = own.groupBy(*gram).agg(F.min("k1").alias("lo"), F.max("k1").alias("hi"), F.max("many").alias("known")).where((F.col("lo") != F.col("hi")) | F.col("known"))
@@ -320,8 +369,8 @@ def repeated_runs(pages: DataFrame, share: float = SHARE, least: int = LEAST) ->
     host = ["h1", "h2"]
     as_host = lambda c: [F.col(f"{c}1").alias("h1"), F.col(f"{c}2").alias("h2")]
     totals = seen.where(F.col("kind") == HOST_ROW).groupBy(*as_host("g")).agg(F.sum("n").alias("host_pages"))
-    often = seen.where(F.col("kind") == BLOCK_ROW).groupBy(*gram, *as_host("k")).agg(F.sum("n").alias("pages")).where(F.col("pages") >= least)
-    often = often.join(totals, host).where(F.col("pages") > share * F.col("host_pages")).groupBy(*host).agg(F.collect_list(F.struct(*gram)).alias("gone"))
+    often = seen.where(F.col("kind") == BLOCK_ROW).groupBy("g1", *as_host("k")).agg(F.sum("n").alias("pages")).where(F.col("pages") >= least)
+    often = often.join(totals, host).where(F.col("pages") > share * F.col("host_pages")).groupBy(*host).agg(F.collect_list("g1").alias("gone"))  # fewer than 1 / SHARE pages have blocks
     # a host may have a third of all pages: its list, if it has one, goes to each of SALTS parts of them
     often = often.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     members = seen.where(F.col("kind") == PAGE_ROW).select(*key, *as_host("g"), F.pmod("k1", F.lit(SALTS)).cast("long").alias("salt"))
@@ -329,18 +378,17 @@ def repeated_runs(pages: DataFrame, share: float = SHARE, least: int = LEAST) ->
     return spans.join(members, key, "full_outer")
 
 
-def decided(url: str | None, found: list[tuple[str, int, int]], spans: list[dict[str, int]] | None, gone: list[dict[str, int]] | None) -> tuple[str, int, int, int]:
+def decided(url: str | None, found: list[tuple[str, int, int]], spans: list[dict[str, int]] | None, gone: list[int] | None) -> tuple[str, int, int, int]:
     """(text, blocks that runs rule out, those of them that markup does not mark, blocks that markup alone rules out) of a page's blocks."""
     covered = np.zeros(sum(1 + n for _, _, n in found), bool)
     for s in spans or []:
         covered[s["at"] : s["stop"]] = True
-    out = {(g["g1"], g["g2"]) for g in gone or []}
+    out = {g % (1 << 64) for g in gone or []}
     host = _host_ids(_host(url)) if out else (0, 0)
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
     kept, repeated, unmarked, marked, begin = [], 0, 0, 0, 0
     for text, level, size in found:
         if level == ARTICLE:
-            over = bool(out) and size >= RUN and tuple(map(signed, _block_ids(text, host))) in out
+            over = bool(out) and size >= RUN and _block_id(text, host) in out
         else:
             over = 2 * int(covered[begin + 1 : begin + 1 + size].sum()) >= size
         begin += 1 + size
