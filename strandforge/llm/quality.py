@@ -1,13 +1,13 @@
 """Quality classifier: naive Bayes support vectors.
 
-Features are indicators of hashed byte 3-grams of the text, plus indicators of how often a word repeats the word before
-it. Each indicator is scaled by its class log-count ratio (naive Bayes), a linear hinge-loss model is fitted on the
-scaled indicators by dual coordinate descent, and a logistic curve maps margins to scores.
+Features are indicators of n-grams: hashed byte 3-grams of the text, and 3-grams of marks that say of each word whether it
+repeats the one before it. Each indicator is scaled by its class log-count ratio (naive
+Bayes), a linear hinge-loss model is fitted on the scaled indicators by dual coordinate descent, and a logistic curve maps
+margins to scores.
 
-The model is fitted on at most ``max_rows`` labelled rows, those whose ids hash lowest, and at most ``MOST_FEATURES``
-feature numbers of each, so its cost and the size of what reaches the driver do not grow with the corpus; every row is
-scored, from its whole text, in one pass without a shuffle. The repeat shares are a small addition to the method's n-grams,
-which see a repeated word only as more of the same.
+The model is fitted on labelled rows in the order of their ids' hashes, with all features of each: ``max_rows`` rows at most, and
+as many as have ``MAX_FEATURES`` features together (one row at least). So its cost and the size of what reaches the driver do not
+grow with the corpus; every row is scored, from its whole text, in one pass without a shuffle.
 
 Nulls and edge cases: a null text counts as empty and is scored from the model's offset; rows without a label (or a null
 one) do not train; with several labels for an id the highest counts; without any training row, or with one class only,
@@ -26,15 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, slices
+from .common import bound_batches, slices, stash
 
 BITS = 18
 MAX_ROWS = 6000
-#: Features of a text that trains, at most: what reaches the driver is bounded by MAX_ROWS * MOST_FEATURES * 4 bytes, 393 MB.
-MOST_FEATURES = 1 << 14
-#: Shares of repeated words above which an indicator is set; their features follow the hashed ones.
-REPEATS = (0.01, 0.03, 0.1, 0.25, 0.5)
-SIZE = (1 << BITS) + len(REPEATS)
+#: Words in a gram of marks of repeated words; their features follow the hashed ones.
+MARKS = 3
+SIZE = (1 << BITS) + (1 << MARKS)
+#: Features of all rows that train, at most: 4 bytes each reach the driver.
+MAX_FEATURES = 96 << 20
 
 
 def features(text: str | None, seen: np.ndarray) -> np.ndarray:
@@ -47,20 +47,13 @@ def features(text: str | None, seen: np.ndarray) -> np.ndarray:
         seen[grams] = at
         grams = grams[seen[grams] == at]
     words = (text or "").split()
-    if len(words) > 1:
-        share = sum(a == b for a, b in zip(words, words[1:], strict=False)) / (len(words) - 1)
-        grams = np.append(grams, [(1 << BITS) + n for n, least in enumerate(REPEATS) if share >= least]).astype(np.uint32)
+    if len(words) > MARKS:
+        again = np.fromiter((a == b for a, b in zip(words, words[1:], strict=False)), np.uint32, len(words) - 1)
+        marks = sum(again[n : len(again) - MARKS + 1 + n] << np.uint32(n) for n in range(MARKS))
+        grams = np.concatenate([grams, np.flatnonzero(np.bincount(marks)).astype(np.uint32) + np.uint32(1 << BITS)])
     return grams
 
 
-def training_features(text: str | None, seen: np.ndarray) -> np.ndarray:
-    """features(), but of a text with more than MOST_FEATURES those that hash lowest."""
-    found = features(text, seen)
-    if len(found) <= MOST_FEATURES:
-        return found
-    return found[np.argsort((found * np.uint32(2246822519)) & np.uint32(0xFFFFFFFF), kind="stable")[:MOST_FEATURES]]
-
-
 @dataclass
 class NbSvm:
     weights: np.ndarray
@@ -144,31 +137,33 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col:
         if share >= 1 or chosen.count() == max_rows:
             break
         factor *= 16
-
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(SIZE, np.int64)
         for batch in slices(batches):
-            found = [training_features(t, seen) for t in batch.column(2).to_pylist()]
+            found = [features(t, seen) for t in batch.column(2).to_pylist()]
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), pa.array(np.concatenate(found).astype(np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["doc_id", "label", "found"])
 
     # max_rows rows, one text for each: an id that stands on many rows trains by its last text in order
     texts = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.max("text").alias("text"))
-    got = texts.mapInArrow(gather, "doc_id long, label int, found array<int>").toArrow().sort_by("doc_id")
+    found = stash(texts.mapInArrow(gather, "doc_id long, label int, found array<int>"), "training")
+    # in the same order, as many rows as the bound of features allows
+    places = sorted((tuple(r) for r in found.select(hashed, "doc_id", F.size("found")).collect()))  # max_rows rows
+    n_within = max(1, int((np.cumsum([p[2] for p in places]) <= MAX_FEATURES).sum()))
+    if n_within < len(places):
+        found = found.where(F.struct(hashed, "doc_id") <= F.struct(*(F.lit(x) for x in places[n_within - 1][:2])))
+    got = found.toArrow().sort_by("doc_id")
     parts = [np.asarray(x.values, np.uint32) for chunk in got["found"].chunks for x in chunk]  # views of Arrow's buffers
     return fit(parts, got["label"].to_numpy())
 
 
 def scorer(model: NbSvm) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """For mapInArrow: adds ``quality_score`` to batches that have a ``text`` column."""
-    weights = model.weights.astype(np.float32)
-    small = NbSvm(weights, model.offset, model.slope, model.shift)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(SIZE, np.int64)
         for batch in slices(batches):
             at = batch.schema.get_field_index("text")
-            scores = [small.score(features(t, seen)) for t in batch.column(at).to_pylist()]
+            scores = [model.score(features(t, seen)) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns) if i != at), pa.array(scores, pa.float64())], names=[*(n for i, n in enumerate(batch.schema.names) if i != at), "quality_score"])
 
     return run

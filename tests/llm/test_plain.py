@@ -2,12 +2,14 @@
 
 import bisect
 import math
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from strandforge.llm import language, licenses, packing, quality
+from strandforge.llm.queries import table
 
 LOWER = {i: i + 32 for i in range(65, 91)}
 
@@ -115,12 +117,82 @@ def test_support_vectors_against_a_dense_fit():
     assert all(loss(w) <= loss(w + rng.normal(size=65) * 0.01) for _ in range(50))
 
 
-def test_training_features_are_bounded():
-    seen = np.zeros(quality.SIZE, np.int64)
-    text = "".join(chr(int(c)) for c in np.random.default_rng(6).integers(0x400, 0x2000, 60_000))
-    every, some = quality.features(text, seen), quality.training_features(text, seen)
-    assert len(every) > quality.MOST_FEATURES == len(some) and set(some.tolist()) < set(every.tolist())
-    assert quality.training_features("short", seen).tolist() == quality.features("short", seen).tolist()
+def plain_features(text):
+    raw, words = (text or "").encode(), (text or "").split()
+    grams = {(((raw[i] | raw[i + 1] << 8 | raw[i + 2] << 16) * 2654435761) % 2**32) >> 14 for i in range(len(raw) - 2)}
+    again = [int(x == y) for x, y in zip(words, words[1:], strict=False)]
+    return grams | {2**18 + sum(again[i + n] << n for n in range(3)) for i in range(len(again) - 2)}
+
+
+def plain_scores(docs, labels):
+    """{doc_id: score} of rows (doc_id, text), {doc_id: label}: the whole classifier with loops over sets."""
+    found = {i: plain_features(t) for i, t in docs}
+    ids = sorted(i for i in found if i in labels and zlib.crc32(str(i).encode()) % 5 != 0)
+    y = {i: 1 if labels[i] > 0 else -1 for i in ids}
+    counts = {s: Counter(f for i in ids if y[i] == s for f in found[i]) for s in (1, -1)}
+    n_all = {s: sum(c.values()) + 2**18 + 8 for s, c in counts.items()}
+    every = sorted({f for i in ids for f in found[i]})
+    ratio = {f: math.log((1 + counts[1][f]) / n_all[1]) - math.log((1 + counts[-1][f]) / n_all[-1]) for f in every}
+    w, offset, alpha = dict.fromkeys(every, 0.0), 0.0, dict.fromkeys(ids, 0.0)
+    sides = Counter(y.values())
+    rng = np.random.default_rng(7)
+    for _ in range(12):
+        moved = 0.0
+        for i in (ids[n] for n in rng.permutation(len(ids))):
+            gradient = y[i] * (sum(w[f] * ratio[f] for f in found[i]) + offset) - 1
+            new = min(max(alpha[i] - gradient / (1 + sum(ratio[f] ** 2 for f in found[i])), 0), len(ids) / (2 * sides[y[i]]) / 100)
+            step = (new - alpha[i]) * y[i]
+            for f in found[i]:
+                w[f] += step * ratio[f]
+            offset, alpha[i], moved = offset + step, new, max(moved, abs(step))
+        if moved < 1e-6:
+            break
+    margin = {i: sum(w.get(f, 0.0) * ratio.get(f, 0.0) for f in fs) + offset for i, fs in found.items()}
+    m, sign = np.array([margin[i] for i in ids]), np.array([y[i] for i in ids])
+    target = np.where(sign > 0, (sides[1] + 1) / (sides[1] + 2), 1 / (sides[-1] + 2))
+
+    def halved(f, low, high):
+        for _ in range(80):
+            middle = (low + high) / 2
+            low, high = (low, middle) if f(middle) > 0 else (middle, high)
+        return (low + high) / 2
+
+    p = lambda a, b: 1 / (1 + np.exp(-np.clip(a * m + b, -30, 30)))
+    shift = lambda a: halved(lambda b: (p(a, b) - target).sum(), -60, 60)
+    slope = halved(lambda a: ((p(a, shift(a)) - target) * m).sum() + 1e-3 * (a - 1), 1e-3, 100)
+    return {i: float(1 / (1 + np.exp(-np.clip(slope * x + shift(slope), -30, 30)))) for i, x in margin.items()}
+
+
+def test_quality_query_against_a_plain_one(spark):
+    docs, labels = (table(spark, "/root/testdata/sf0.001", n) for n in ("documents", "labels"))
+    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    want = plain_scores(rows, {r["doc_id"]: r["quality"] for r in labels.collect()})
+    got = quality.classify(docs, labels).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and r["predicted"] == int(r["score"] >= 0.3)
+        assert math.isclose(r["score"], want[r["doc_id"]], abs_tol=1e-4), (r, want[r["doc_id"]])
+
+
+def test_training_rows_are_bounded(spark, monkeypatch):
+    """Whole texts train, as many in the order of their ids' hashes as the bound allows."""
+    texts = {i: f"{'good prose' if i % 2 else 'bad junk'} {i} " * (1 + 5 * (i % 4)) for i in range(60)}
+    docs, labels = spark.createDataFrame(list(texts.items()), "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in texts], "doc_id long, quality int")
+    seen, sizes = np.zeros(quality.SIZE, np.int64), {}
+    fitted = []
+    monkeypatch.setattr(quality, "fit", lambda rows, labels: fitted.append([len(r) for r in rows]))
+    order = [r[0] for r in labels.where(~quality.held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    sizes = {i: len(quality.features(t, seen)) for i, t in texts.items()}
+    for bound in (1, 200, 10**9):
+        monkeypatch.setattr(quality, "MAX_FEATURES", bound)
+        quality.train(docs, labels)
+        total, want = 0, []
+        for i in order:
+            total += sizes[i]
+            if total > bound and want:
+                break
+            want.append(i)
+        assert fitted[-1] == [sizes[i] for i in sorted(want)]
 
 
 def plain_scan(text):
@@ -212,6 +284,21 @@ def test_number_of_sequences_is_that_of_a_plain_best_fit():
             assert got == plain_sequences(lengths, capacity), (capacity, high)
 
 
+def test_pipeline_keeps_unique_texts_of_a_shared_id(spark):
+    """(7, a copy of 3) goes, another row 7 stays: nothing equals it."""
+    import corpus_pipeline
+
+    base, other = (" ".join(f"{w}{i}" for i in range(40)) for w in "ab")
+    near = f"{base} end"
+    docs = spark.createDataFrame([(7, base), (3, base), (7, other), (9, near), (9, f"{other} {base}"), (None, base), (11, None), (12, " "), (11, "")], "doc_id long, text string")
+    docs = docs.withColumns({"__digest": F.lit(1), "norm": F.lit(2), "t1": F.lit(3)})
+    left = lambda stage: sorted(((r["doc_id"] or 0, r["text"]) for r in corpus_pipeline.STAGES[stage][1](spark, docs, "").select("doc_id", "text").collect()), key=str)
+    assert left(2) == sorted([(3, base), (7, other), (9, near), (9, f"{other} {base}"), (0, base), (12, " ")], key=str)
+    kept = left(3)
+    assert (7, other) in kept and (3, base) in kept and (0, base) in kept and (9, f"{other} {base}") in kept
+    assert (7, base) not in kept and (9, near) not in kept and len(kept) == 7
+
+
 def test_pipeline_on_odd_rows(spark, odd, nothing):
     import corpus_pipeline
 
