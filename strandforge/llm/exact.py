@@ -15,7 +15,7 @@ rows; other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SALTS = 32
@@ -37,12 +37,24 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def _normalised(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.translate(text, WHITE_SPACE, "").alias("norm"), F.length(text).cast("decimal(18,0)").alias("n"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), _normal(text).alias("norm"), F.length(text).cast("decimal(18,0)").alias("n"))
     key = F.lit(LARGEST).cast("decimal(20,0)") - F.coalesce("doc_id", F.lit(LARGEST)).cast("decimal(20,0)")
     rank = (F.col("n").cast("decimal(38,0)") * F.lit(STEP).cast("decimal(21,0)")).cast("decimal(38,0)") + key
     return rows.select("doc_id", "norm", F.sha2("norm", 256).alias("text_sha256"), rank.cast("decimal(38,0)").alias("rank"))
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
+    """``docs``, all columns unchanged, without the rows that do not stay. A row without ``doc_id`` stays; rows that share a
+    ``doc_id`` are told apart by their texts, and stay or go together where these are equal too."""
+    gone = exact_duplicates(docs, id_col, text_col, salts).where(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__digest"))
+    digest = F.sha2(_normal(docs[text_col]), 256)
+    return docs.join(gone, (docs[id_col].cast("long") == gone["__id"]) & (digest == gone["__digest"]), "left_anti")
+
+
+def _normal(text: Column) -> Column:
+    return F.translate(F.coalesce(text, F.lit("")), WHITE_SPACE, "")
+
+
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for each row of ``docs``."""
     groups = exact_groups(docs, id_col, text_col, salts)

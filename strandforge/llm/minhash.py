@@ -18,7 +18,7 @@ No step gathers a bucket: it is aggregated, joined and cut into blocks. Only lin
 
 Nulls and edge cases: a null, empty or blank text has no shingles and is linked with nothing; fewer than 5 words make
 one shingle; a null doc_id is linked with nothing, has a null component and is kept; repeated rows have one doc_id and
-share its result; a very long text is hashed STEP shingles at a time, whole; pairs at exactly the threshold are linked, and
+share its result; different texts of one doc_id are documents of their own, each of which can be linked; a very long text is hashed STEP shingles at a time, whole; pairs at exactly the threshold are linked, and
 of equal texts the smallest doc_id stands for all; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
@@ -95,8 +95,13 @@ def factors(n: int = PERMUTATIONS, seed: int = SEED) -> np.ndarray:
     return np.random.default_rng(seed).integers(1, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.lit(1), text).alias("t1"), F.xxhash64(F.lit(2), text).alias("t2"))
+
+
 def signatures(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, digest of the set, bands (bucket of each), b1 to b3 (a bit of each value)."""
+    """doc_id, t1 and t2 (128 bits of the text), n_shingles, digest of the set, bands (bucket of each), b1 to b3 (a bit of each value)."""
     bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,21 +116,20 @@ def signatures(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text
             digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0),
+                    *(batch.column(n) for n in (0, 2, 3)),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array(digests, pa.binary()),
                     pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32()), pa.array(bands.view(np.int64).ravel())),
                     *(pa.array(bits[:, n]) for n in range(3)),
                 ],
-                names=["doc_id", "n_shingles", "digest", "bands", "b1", "b2", "b3"],
+                names=["doc_id", "t1", "t2", "n_shingles", "digest", "bands", "b1", "b2", "b3"],
             )
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>, b1 long, b2 long, b3 long")
+    return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, t1 long, t2 long, n_shingles long, digest binary, bands array<long>, b1 long, b2 long, b3 long")
 
 
 def shingle_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """id, shingles (distinct hashes) of doc_id, text rows."""
+    """id, shingles (distinct hashes) of id, text rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, limit=TEXT_STEP):
@@ -259,19 +263,21 @@ def _open_links(members: DataFrame, labels: DataFrame, reps: DataFrame, sets: Da
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of ``docs``."""
+    """doc_id, n_shingles, component_id, kept, t1, t2 (128 bits of the text) for each row of ``docs``."""
     if percent < 80 or words < 1:
         raise ValueError("bands and bits are laid out for similarities of 0.8 or more")
     base = stash(signatures(docs, words, id_col, text_col), "signatures")
     linked = base.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
     firsts = [F.first(c).alias(c) for c in ("n_shingles", "bands", "b1", "b2", "b3")]
-    reps = stash(linked.groupBy("digest").agg(F.min("doc_id").alias("rep"), *firsts), "classes")
+    # a class goes by a number of its own, since a doc_id may stand on several texts
+    first = F.min(F.struct("doc_id", "t1", "t2")).alias("first")
+    reps = stash(linked.groupBy("digest").agg(first, *firsts).withColumn("rep", F.monotonically_increasing_id()), "classes")
     buckets = reps.select(F.col("rep").alias("id"), F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("center")).where("n > 1").select("bucket", "center")
     members = stash(buckets.join(shared, "bucket"), "members")
     ids = members.select("id").distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sets = stash(shingle_sets(texts.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]), words), "sets")
+    wanted = reps.select(F.col("rep").alias("id"), "first.*").join(ids, "id", "left_semi")
+    sets = stash(shingle_sets(_texts(docs, id_col, text_col).join(wanted, ["doc_id", "t1", "t2"]).dropDuplicates(["id"]).select("id", "text"), words), "sets")
 
     def side(name: str) -> tuple[DataFrame, DataFrame]:
         facts = reps.select(F.col("rep").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in ("n_shingles", "b1", "b2", "b3")))
@@ -293,9 +299,21 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS,
     labels = stash(ids.join(up, "id", "left").select("id", F.coalesce("label", "id").alias("label")), "labels")
     more = _open_links(members, labels, reps, sets, percent, block)
     found = components(links.unionByName(more))
-    named = reps.select("digest", F.col("rep").alias("id")).join(found, "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"))
-    rows = base.select("doc_id", "n_shingles", "digest")
+    classes = reps.select("digest", F.col("rep").alias("id"), F.col("first.doc_id").alias("doc_id"))
+    least = classes.join(found, "id").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    within = found.join(least, "component").select("id", "component_id")
+    named = classes.join(within, "id", "left").select("digest", F.coalesce("component_id", "doc_id").alias("component_id"))
+    rows = base.select("doc_id", "n_shingles", "digest", "t1", "t2")
     alone = rows.where(F.col("digest").isNull() | F.col("doc_id").isNull()).withColumn("component_id", F.col("doc_id"))
     whole = rows.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull()).join(named, "digest")
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
-    return whole.unionByName(alone).select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
+    return whole.unionByName(alone).select("doc_id", "n_shingles", "component_id", kept.alias("kept"), "t1", "t2")
+
+
+def keep_one(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs``, all columns unchanged, without the rows that are linked with a smaller ``doc_id``. A row without ``doc_id`` stays;
+    rows that share a ``doc_id`` are told apart by their texts."""
+    gone = near_duplicates(docs, percent, words, block, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("t1").alias("__t1"), F.col("t2").alias("__t2"))
+    text = docs[text_col].cast("string")
+    same = (docs[id_col].cast("long") == gone["__id"]) & (F.xxhash64(F.lit(1), text) == gone["__t1"]) & (F.xxhash64(F.lit(2), text) == gone["__t2"])
+    return docs.join(gone, same, "left_anti")

@@ -217,6 +217,12 @@ def test_minhash(documents, odd, nothing):
     assert all(n[r["doc_id"]] == len(s) for s, r in zip(sets, data, strict=True) if r["doc_id"] is not None)
     near_check(odd)
     assert minhash.near_duplicates(nothing).count() == 0
+    # an id on several texts: each is linked on its own
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    several = documents.sparkSession.createDataFrame([(5, a), (5, b), (5, c), (2, a), (4, b), (9, c + " end"), (8, c)], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(several.repartition(3)).collect()) == [
+        (2, 56, 2, True), (4, 56, 4, True), (5, 56, 2, False), (5, 56, 4, False), (5, 56, 5, True), (8, 56, 5, False), (9, 57, 5, False),
+    ]
     with pytest.raises(ValueError):
         minhash.near_duplicates(documents, percent=50)
 
