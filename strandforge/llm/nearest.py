@@ -165,12 +165,14 @@ def fitted(body: np.ndarray, norms: np.ndarray, largest: float, n: int, k: int,
     # neighbouring lists in one group
     groups = nearest_centers(centers, k_means(centers, -(-lists // GROUP), rng), 1)[:, 0]
     asked = rng.choice(len(body), min(ASKED, len(body)), replace=False)
-    q = raw.turned(body[asked], norms[asked], query=True)
-    near = q @ points.T
-    near[np.arange(len(asked)), asked] = -np.inf
-    own = nearest_centers(points, centers, 1)[:, 0]
-    place = np.argsort(nearest_centers(q, centers, lists), 1)  # of each list in a query's order
-    rank = np.sort(np.take_along_axis(place, own[_best(near, min(k, max(1, len(body) - 1)))], 1).ravel())
+    own, ranks = nearest_centers(points, centers, 1)[:, 0], []
+    for at in np.array_split(asked, -(-len(asked) // 32)):
+        q = raw.turned(body[at], norms[at], query=True)
+        near = q @ points.T
+        near[np.arange(len(at)), at] = -np.inf
+        place = np.argsort(nearest_centers(q, centers, lists), 1)  # of each list in a query's order
+        ranks.append(np.take_along_axis(place, own[_best(near, min(k, max(1, len(body) - 1)))], 1).ravel())
+    rank = np.sort(np.concatenate(ranks))
     # the largest place that so many of the nearest need
     probes = int(rank[min(len(rank) - 1, math.ceil(recall * len(rank)))]) + 1 if len(body) > k + 1 else lists
     return Index(width, largest, rotation, centers, groups, probes, share_quantiles(width + 1, raw.blocks))
