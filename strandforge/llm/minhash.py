@@ -299,6 +299,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS,
     labels = stash(ids.join(up, "id", "left").select("id", F.coalesce("label", "id").alias("label")), "labels")
     more = _open_links(members, labels, reps, sets, percent, block)
     found = components(links.unionByName(more))
+    found = found.unionByName(found.select(F.col("component").alias("id"), "component").distinct())  # the smallest one too
     classes = reps.select("digest", F.col("rep").alias("id"), F.col("first.doc_id").alias("doc_id"))
     least = classes.join(found, "id").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     within = found.join(least, "component").select("id", "component_id")

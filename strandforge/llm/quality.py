@@ -151,7 +151,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col:
     places = sorted((tuple(r) for r in found.select(hashed, "doc_id", F.size("found")).collect()))  # max_rows rows
     n_within = max(1, int((np.cumsum([p[2] for p in places]) <= MAX_FEATURES).sum()))
     if n_within < len(places):
-        found = found.where(F.struct(hashed, "doc_id") <= F.struct(*(F.lit(x) for x in places[n_within - 1][:2])))
+        found = found.where(F.struct(hashed, "doc_id") <= F.struct(*(F.lit(x).cast("long") for x in places[n_within - 1][:2])))
     got = found.toArrow().sort_by("doc_id")
     parts = [np.asarray(x.values, np.uint32) for chunk in got["found"].chunks for x in chunk]  # views of Arrow's buffers
     return fit(parts, got["label"].to_numpy())
