@@ -7,8 +7,8 @@
 5. ``best-fit packing``: all that is left, packed into sequences of 4096 tokens.
 
 The stages before packing return the columns that they get, whatever these are besides ``doc_id``, ``text`` and ``lang``. A null text
-counts as empty: language id rejects it. A row without doc_id is never dropped as a duplicate; repeated rows stay or go together; very
-long texts are read whole; an empty table gives no rows.
+counts as empty: language id rejects it. A row without doc_id is never dropped as a duplicate; repeated rows stay or go together; rows
+that share a doc_id are told apart by their texts; very long texts are read whole; an empty table gives no rows.
 Models are trained on what the stage gets, and on the ``labels`` table. ORACLE_SQL is None: the trained stages and the
 tokenizer have no SQL; the tests hold every stage against a plain version.
 """
@@ -18,7 +18,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from strandforge.llm import exact, language, minhash, packing, quality
 from strandforge.llm.common import stash
@@ -36,13 +35,11 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = exact.exact_duplicates(docs).where(~F.col("kept")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti")
+    return exact.keep_one(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = minhash.near_duplicates(docs).where(~F.col("kept")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti")
+    return minhash.keep_one(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
