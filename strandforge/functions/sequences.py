@@ -19,7 +19,13 @@ def seq_length(seq: Column) -> Column:
 
 def symbol_counts(seq: Column, alphabet: str) -> Column:
     """Array of the number of times each symbol occurs, in alphabet order; other symbols are ignored."""
-    return F.transform(F.split(F.lit(alphabet), ""), lambda c: F.length(seq) - F.length(F.replace(seq, c, F.lit(""))))
+    return F.transform(F.array(seq), lambda s: _counts(s, alphabet))[0]  # the array binds the sequence
+
+
+def _counts(seq: Column, alphabet: str) -> Column:
+    """By bytes, whose number a text knows: no text is walked to count its characters."""
+    left = lambda c: F.octet_length(F.replace(seq, c, F.lit("")))
+    return F.transform(F.split(F.lit(alphabet), ""), lambda c: ((F.octet_length(seq) - left(c)) / F.octet_length(c)).cast("int"))
 
 
 def kmers(seq: Column, k: int) -> Column:
@@ -71,8 +77,8 @@ def symbol_places(seq: Column, alphabet: str) -> Column:
 
     A symbol outside of the alphabet is an error.
     """
-    places = F.transform(F.split(_known(seq, alphabet), ""), lambda c: F.instr(F.lit(alphabet), c))
-    return F.when(seq != "", places).otherwise(F.array().cast("array<int>"))
+    places = lambda s: F.transform(F.split(_known(s, alphabet), ""), lambda c: F.instr(F.lit(alphabet), c))
+    return F.transform(F.array(seq), lambda s: F.when(s != "", places(s)).otherwise(F.array().cast("array<int>")))[0]  # the array binds the sequence
 
 
 def one_hot(seq: Column, alphabet: str, length: int) -> Column:
@@ -104,15 +110,10 @@ def translated(dna: Column, *, all_stops: bool = False) -> Column:
 
     letters = "ACGTU" + "".join(AMBIGUOUS)
     known = codons()
+    known |= {a + b + c: x for a in letters for b in letters for c in letters if (x := amino_of(a + b + c)) not in (None, "X") and a + b + c not in known}
     table = F.create_map(*(F.lit(x) for pair in known.items() for x in pair))
-    sure = {a + b + c: x for a in letters for b in letters for c in letters if (x := amino_of(a + b + c)) not in (None, "X") and a + b + c not in known}
-    vague = F.create_map(*(F.lit(x) for pair in sure.items() for x in pair))
-    upper = F.upper(dna)
-    n = F.floor(F.length(upper) / 3).cast("int")
-    starts = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))
-    codon = F.transform(F.array(F.split(upper, "")), lambda c: F.transform(starts, lambda i: F.array_join(F.slice(c, i * 3 + 1, 3), "")))[0]
-    acid = lambda c: F.coalesce(F.try_element_at(table, c), F.try_element_at(vague, c), F.when(c.rlike(f"^[{letters}]{{3}}$"), F.lit("X")).otherwise(F.raise_error(F.concat(F.lit("unknown codon "), c)).cast("string")))
-    protein = F.when(n > 0, F.array_join(F.transform(codon, acid), "")).otherwise(F.lit(""))
+    acid = lambda c: F.coalesce(F.try_element_at(table, c), F.when(c.rlike(f"^[{letters}]{{3}}$"), F.lit("X")).otherwise(F.raise_error(F.concat(F.lit("unknown codon "), c)).cast("string")))
+    protein = F.array_join(F.transform(F.regexp_extract_all(F.upper(dna), F.lit("(?s)..."), F.lit(0)), acid), "")
     return F.replace(protein, F.lit("*"), F.lit("")) if all_stops else F.regexp_replace(protein, r"^\*+|\*+$", "")
 
 
@@ -140,12 +141,16 @@ def js_distance(seq: Column) -> Column:
 
 
 def _distance(seq: Column) -> Column:
-    clean = F.replace(F.upper(seq), F.lit("X"), F.lit(""))
+    return F.transform(F.array(F.replace(F.upper(seq), F.lit("X"), F.lit(""))), _clean_distance)[0]
+
+
+def _clean_distance(clean: Column) -> Column:
+    counts = _counts(clean, AMINO)
+    length = F.length(clean)
     total = sum(BACKGROUND.values())
     natural = F.array(*(F.lit(BACKGROUND[a] / total) for a in AMINO))
-    counts = F.transform(F.split(F.lit(AMINO), ""), lambda a: F.length(clean) - F.length(F.replace(clean, a, F.lit(""))))
     part = lambda p, m: p * F.ln(p / m) / 2
     terms = lambda shares: F.zip_with(shares, natural, lambda p, q: part(p, (p + q) / 2) + part(q, (p + q) / 2))
     add = lambda values: F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
-    shares = F.transform(F.array(F.transform(counts, lambda n: n / F.greatest(F.length(clean), F.lit(1)) + F.lit(1e-16))), lambda x: F.transform(F.array(add(x)), lambda w: F.transform(x, lambda y: y / w))[0])
+    shares = F.transform(F.array(F.transform(counts, lambda n: n / F.greatest(length, F.lit(1)) + F.lit(1e-16))), lambda x: F.transform(F.array(add(x)), lambda w: F.transform(x, lambda y: y / w))[0])
     return F.sqrt(F.greatest(add(terms(shares[0])), F.lit(0.0)))

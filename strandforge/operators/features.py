@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, NumericType
 
-from .splits import with_batches
+from .splits import permuted, with_batches
 
 
 def _depth(df: DataFrame, name: str) -> int:
@@ -79,3 +81,48 @@ def feature_batches(df: DataFrame, features: list[str], targets: list[str] | Non
     x = F.concat(*(_flat(df, n) for n in features))
     y = F.concat(*(_flat(df, n) for n in targets)) if targets else F.lit(None).cast("array<double>")
     return rows.select("batch_id", "position", index, x.alias("x"), y.alias("y"))
+
+
+@dataclass(frozen=True)
+class Loader:
+    """Batches of a table for a training loop: every batch a row of ``size`` rows' features and targets, the last one of what is left.
+
+    ``index`` numbers the rows from 0 without gaps. A row's place is arithmetic on its number, so that one shuffle by batch is
+    all that an epoch costs; a batch gathers ``size`` rows. Each epoch shuffles the order of the one before in the same way.
+    ``drop_single``: with targets, the last row is left out if it would be a batch of its own.
+    """
+
+    rows: DataFrame
+    features: tuple[str, ...]
+    targets: tuple[str, ...] = ()
+    size: int = 32
+    seed: int | None = 42
+    index: str = "index"
+    drop_single: bool = False
+
+    def count(self) -> int:
+        n = self.rows.count()
+        return n - 1 if self.drop_single and self.targets and n % self.size == 1 else n
+
+    def __len__(self) -> int:
+        return -(-self.count() // self.size)
+
+    def batches(self, epoch: int = 0) -> DataFrame:
+        """batch_id, rows (their numbers in order), a column of array<array<float>> for each feature and of array<float> for each target."""
+        n = self.count()
+        at = F.col(f"`{self.index}`").cast("long")
+        place = at if self.seed is None else permuted(at, n, self.seed, epoch + 1)
+        x = {f: F.transform(_flat(self.rows, f), lambda v: v.cast("float")) for f in self.features}
+        y = {t: _flat(self.rows, t)[0].cast("float") for t in self.targets}
+        columns = {f"c{i}": c for i, c in enumerate({**x, **y}.values())}
+        placed = self.rows.where(at < n).select(place.alias("place"), at.alias("row"), *(c.alias(k) for k, c in columns.items()))
+        batch = F.floor(F.col("place") / self.size).alias("batch_id")
+        per = placed.groupBy(batch).agg(F.array_sort(F.collect_list(F.struct("place", "row", *columns))).alias("b"))  # size rows
+        of = lambda c: F.transform("b", lambda r: r[c])
+        return per.select("batch_id", of("row").alias("rows"), *(of(k).alias(name) for k, name in zip(columns, [*x, *y], strict=True)))
+
+    def epoch(self, number: int = 0) -> Iterator[tuple[dict[str, np.ndarray], dict[str, np.ndarray]]]:
+        """(features, targets) of each batch in order, as 32-bit arrays; the driver holds a partition of batches at a time."""
+        ordered = self.batches(number).repartitionByRange("batch_id").sortWithinPartitions("batch_id")
+        for r in ordered.toLocalIterator(prefetchPartitions=True):
+            yield {f: np.array(r[f], np.float32) for f in self.features}, {t: np.array(r[t], np.float32)[:, None] for t in self.targets}

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandforge.operators.splits import _fixed
+
 
 def node_count(edges: Column) -> Column:
     """Distinct node ids."""
@@ -113,8 +115,17 @@ def with_typed_adjacency(df: DataFrame, types: str, wanted: list[int] | list[str
 
 
 def return_probabilities(adjacency: np.ndarray, steps: int) -> np.ndarray:
-    """Node by step: the chance that a lazy walk is back after 2, 3, ... steps."""
+    """Node by step: the chance that a lazy walk is back after 2, 3, ... steps.
+
+    The walk on an undirected graph is similar to a symmetric matrix, the eigenvalues of which give all steps at once. Other
+    graphs, and those with a node without edges, take a matrix product for each step.
+    """
     degree = adjacency.sum(1, keepdims=True)
+    if steps and len(adjacency) and (degree > 0).all() and (adjacency == adjacency.T).all():
+        root = np.sqrt(degree)
+        values, vectors = np.linalg.eigh((np.eye(len(adjacency)) + adjacency / root / root.T) / 2)
+        # 13 digits: what is a short fraction comes out as one
+        return np.round(vectors**2 @ np.clip(values, 0, 1)[:, None] ** np.arange(2, steps + 2), 13)
     with np.errstate(divide="ignore", invalid="ignore"):
         walk = (np.eye(len(adjacency)) + adjacency / degree) / 2
     now, out = walk, []
@@ -130,6 +141,32 @@ def with_return_probabilities(df: DataFrame, steps: int = 100, adjacency: str =
     @F.pandas_udf("array<array<double>>")
     def powers(matrices: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in matrices:
-            yield pd.Series([[list(r) for r in return_probabilities(np.array([list(x) for x in m], float), steps)] for m in batch])
+            yield pd.Series([list(return_probabilities(np.array([*m], float).reshape(len(m), len(m)), steps)) for m in batch])
 
     return df.withColumn(out, powers(adjacency))
+
+
+def sparse_return_probabilities(cells: DataFrame, key: str, steps: int = 100) -> DataFrame:
+    """key, node, step (from 0), p: return probabilities of undirected graphs given as cells key, row, col, of any size, without a matrix.
+
+    Nodes without edges have no rows. Walks spread from all nodes by joins with the edges. The walk is reversible, so a return
+    after 2 t steps is the sum of squares of t steps' chances, each over the share of its end: half of the steps are walked.
+    """
+    edges = cells.select(key, F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col")).distinct()
+    degree = edges.groupBy(key, "row").agg(F.count("*").alias("d"))
+    half = edges.join(degree, [key, "row"]).select(key, "row", "col", (0.5 / F.col("d")).alias("w"))
+    walk = _fixed(half.unionByName(degree.select(key, "row", F.col("row").alias("col"), F.lit(0.5).alias("w"))).groupBy(key, "row", "col").agg(F.sum("w").alias("w")))
+    ends = degree.select(key, F.col("row").alias("at"), "d")
+    now, out = walk.select(key, F.col("row").alias("node"), F.col("col").alias("at"), F.col("w").alias("p")), None
+    for t in range(1, steps // 2 + 2):
+        # from node to at and back: p(at, node) = p(node, at) d(node) / d(at)
+        after = _fixed(now.join(walk.select(key, F.col("row").alias("at"), "col", "w"), [key, "at"]).groupBy(key, "node", F.col("col").alias("at")).agg(F.sum(F.col("p") * F.col("w")).alias("p")))
+        for step, other in ((2 * t - 2, now), (2 * t - 1, after)):
+            if step >= steps:
+                continue
+            both = now.join(other.select(key, "node", "at", F.col("p").alias("q")), [key, "node", "at"]).join(ends, [key, "at"])
+            back = both.groupBy(key, "node").agg(F.sum(F.col("p") * F.col("q") / F.col("d")).alias("p")).join(ends.withColumnRenamed("at", "node"), [key, "node"])
+            part = back.select(key, "node", F.lit(step).alias("step"), (F.col("p") * F.col("d")).alias("p"))
+            out = part if out is None else out.unionByName(part)
+        now = after
+    return out

@@ -1,12 +1,14 @@
 """Row numbers, reproducible splits, folds and mini-batches.
 
-``md5`` ranks rows by a digest of seed and index, which scales and which any SQL engine repeats; ``numpy`` follows
-numpy's permutation of the row numbers, built on the driver, for tables of a size where that is fine.
+``md5`` ranks rows by a digest of seed and index, which scales and which any SQL engine repeats; ``keyed`` permutes the row
+numbers by arithmetic, so that a row's place needs neither a sort nor a shuffle; ``numpy`` follows numpy's permutation of
+the row numbers, built on the driver, for tables of a size where that is fine.
 """
 
 from __future__ import annotations
 
-import tempfile
+import hashlib
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -14,6 +16,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strandforge.sources.shared import shared_dir
+
 TRAIN_TEST = "random_split_train_0_8_test_0_2"
 MOST_NUMPY = 10_000_000
 
@@ -22,10 +26,7 @@ def _fixed(df: DataFrame) -> DataFrame:
     """``df`` written once to the checkpoint folder: rows keep their partitions, whatever is computed from them again."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not found and not context.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(found or tempfile.mkdtemp(prefix="spark-"))
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 
@@ -51,6 +52,50 @@ def shuffled_rank(index: Column, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), index.cast("string")).cast("binary"))
 
 
+#: Rounds of the keyed permutation, its modulus, and how often a number outside of the rows is permuted again at most.
+ROUNDS, MODULUS, WALKS = 6, (1 << 31) - 1, 24
+
+
+def round_keys(seed: int) -> list[tuple[int, int, int]]:
+    """Three numbers for each round, from the seed's digests."""
+    digest = lambda r: hashlib.md5(f"{seed}:{r}".encode()).digest()
+    return [tuple(1 + int.from_bytes(digest(r)[4 * i : 4 * i + 4], "big") % (MODULUS - 1) for i in range(3)) for r in range(ROUNDS)]
+
+
+def sides(n: int) -> tuple[int, int]:
+    """Two numbers, about equal, of which the product is ``n`` or a little more."""
+    a = math.isqrt(max(n - 1, 0)) + 1
+    return a, max(1, -(-n // a))
+
+
+def permuted(index: Column, n: int, seed: int, times: int = 1) -> Column:
+    """Place of the row numbers 0 to n - 1 in an order that the seed decides, after shuffling the shuffled order ``times`` times.
+
+    A Feistel network: a number is split in two by a division, and each round adds a keyed function of one side to the other,
+    modulo its range. What lands beyond the rows is permuted again, until it lies among them.
+    """
+    a, b = sides(n)
+    mixed = lambda y, k: F.pmod(_times(F.pmod(_times(y, k["x"]) + k["y"], F.lit(MODULUS)), None) + k["z"], F.lit(MODULUS))
+    keys = [F.struct(*(F.lit(v).cast("long").alias(c) for c, v in zip("xyz", key, strict=True)), F.lit(b if r % 2 else a).cast("long").alias("size")) for r, key in enumerate(round_keys(seed))]
+
+    def through(x: Column) -> Column:
+        start = F.struct(F.floor(x / b).cast("long").alias("l"), F.pmod(x, F.lit(b)).cast("long").alias("r"))
+        turn = lambda s, k: F.struct(s["r"].alias("l"), F.pmod(s["l"] + mixed(s["r"], k), k["size"]).alias("r"))
+        return F.aggregate(F.array(*keys), start, turn, lambda s: s["l"] * b + s["r"])
+
+    walks = F.sequence(F.lit(1), F.lit(min(WALKS, a * b - n + 1)))
+    far = F.raise_error(F.lit("a row number is not below the number of rows")).cast("long")
+    once = lambda x: F.aggregate(walks, through(x), lambda y, _: F.when(y < n, y).otherwise(through(y)), lambda y: F.when(y < n, y).otherwise(far))
+    known = F.when((index >= 0) & (index < n), index.cast("long")).when(index.isNotNull(), far)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(times)), known, lambda x, _: once(x)) if times else known
+
+
+def _times(x: Column, y: Column | None) -> Column:
+    """A product of two numbers below MODULUS, or a square, within 64 bits."""
+    least = F.pmod(x, F.lit(MODULUS))
+    return least * (least if y is None else y)
+
+
 def position(df: DataFrame, seed: int = 42, index: str = "index", backend: str = "md5", name: str = "position") -> DataFrame:
     """``df`` and each row's place (from 0) in the shuffled order."""
     if backend == "numpy":
@@ -61,6 +106,8 @@ def position(df: DataFrame, seed: int = 42, index: str = "index", backend: str =
         places[np.random.default_rng(seed).permutation(n)] = np.arange(n)
         table = _numbers(df.sparkSession, places, index, name)
         return df.join(table, index)
+    if backend == "keyed":
+        return df.withColumn(name, permuted(F.col(index), df.count(), seed))
     key = shuffled_rank(F.col(index), seed)
     # ranks within 4096 even ranges of the digest, then the rows of the ranges before: sorts run in parallel
     ranged = df.withColumn("__key", key).withColumn("__part", F.conv(F.substr("__key", F.lit(1), F.lit(3)), 16, 10).cast("int"))

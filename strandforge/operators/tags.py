@@ -3,19 +3,20 @@
 A tag of length n may differ in ``floor(n * (100 - cutoff) / 100)`` places, so one of that many plus one disjoint seeds
 must occur exactly. The tag library is small and fixed, so its seeds are broadcast; sequences are cut into short pieces that
 overlap by a tag's length, pieces give their k-mers of the seed lengths, and only seed hits are verified. A k-mer thus carries
-its piece and never the whole sequence, which may be of any length.
+its piece and never the whole sequence, which may be of any length. Libraries of many or long tags, with more seeds than FEW_SEEDS,
+are searched by ``tag_index`` instead, with the same result.
 """
 
 from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandforge.functions.sequences import js_distance, sequence_type, translated
 from strandforge.operators.splits import with_index
+from strandforge.operators.tag_index import library_windows
 from strandforge.sources.tables import read_table, write_csv
 
 HIT = "struct<name: string, tag: string, type: string, start: int, end: int, identity: double>"
@@ -73,10 +74,12 @@ def tag_hits(df: DataFrame, tags: DataFrame, key: str, seq: str, cutoff: float =
     """key, place, name, tag, type, start, end, identity of every window that is a tag to ``cutoff`` percent."""
     seeds = _seeds(tags, cutoff)
     known = seeds.select("seed", F.length("tag")).distinct().collect()  # of a bounded library
+    if len({r[0] for r in known}) > FEW_SEEDS:
+        return _library_hits(df, tags, key, seq, cutoff)
     lengths = sorted({len(r[0]) for r in known})
     cut = df.select(key, F.length(seq).alias("__n"), F.explode(_pieces(F.col(seq), max((r[1] for r in known), default=1) - 1)).alias("p"))
-    if len(found := sorted({r[0] for r in known})) <= FEW_SEEDS:  # pieces without any seed have no hits
-        cut = cut.where(F.col("p.piece").rlike("|".join(map(re.escape, found))))
+    found = sorted({r[0] for r in known})
+    cut = cut.where(F.col("p.piece").rlike("|".join(map(re.escape, found))))  # pieces without any seed have no hits
     cut = cut.select(key, "__n", F.col("p.begin").alias("__begin"), F.col("p.own").alias("__own"), F.col("p.piece").alias("__piece"))
     grams = F.flatten(F.array(*(_windows(F.col("__piece"), k) for k in lengths)))
     spread = cut.select("*", F.explode(grams).alias("g")).select(key, "__n", "__begin", "__own", "__piece", F.col("g.i").alias("i"), F.col("g.seed").alias("seed"))
@@ -90,6 +93,17 @@ def tag_hits(df: DataFrame, tags: DataFrame, key: str, seq: str, cutoff: float =
     return scored.select(key, "place", "name", "tag", "type", "start", (F.col("start") + n).alias("end"), "identity").distinct()
 
 
+def _library_hits(df: DataFrame, tags: DataFrame, key: str, seq: str, cutoff: float) -> DataFrame:
+    rows = tags.orderBy("place").collect()  # of a bounded library
+    found = library_windows(df, [r["tag"] for r in rows], key, seq, cutoff)
+    n = F.length("tag")
+    named = tags.sparkSession.createDataFrame([(i, *r) for i, r in enumerate(rows)], "__at int, place int, name string, tag string, type string")
+    met = found.withColumnRenamed("place", "__at").join(F.broadcast(named), "__at").withColumn("rest", F.col("length") - n)
+    met = met.where((F.col("rest") > 0) & ((F.col("type") != "fusion") | (F.col("rest") >= FUSION_REST)))
+    scored = met.withColumn("identity", F.bround(100 * F.col("same") / n, 2)).where(F.col("identity") >= cutoff)
+    return scored.select(key, "place", "name", "tag", "type", "start", (F.col("start") + n).alias("end"), "identity")
+
+
 def contains_hit(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
     """One of two hits lies within the other."""
     return ((a_start <= b_start) & (b_end <= a_end)) | ((b_start <= a_start) & (a_end <= b_end))
@@ -126,24 +140,27 @@ def with_conservation(hits: DataFrame, df: DataFrame, key: str, seq: str, query_
     return met.withColumn("conservation", F.coalesce(F.bround(100 * same / n, 2), F.lit(0.0))).drop("__mask")
 
 
-def termini(hits: list[tuple[int, int]], seq: str, margin: int = MARGIN) -> tuple[int, int]:
-    """(end of the N-terminal tags, start of the C-terminal tags) of a sequence; hits are (start, end).
+def termini(hits: Column, seq: Column, margin: int = MARGIN) -> Column:
+    """struct<n_end, c_start>: the end of the N-terminal tags and the start of the C-terminal ones; hits are an array of structs with start and end.
 
-    Hits are walked inwards from each end, as long as the next one lies near enough.
+    Hits are walked inwards from each end, as long as the next one lies near enough: a fold over them in order.
     """
-    near = lambda gap, n: abs(gap) <= (n - 1 if n <= margin else margin)
-    first = 0
-    for start, end in sorted(hits):
-        if not near(start - first, end - start):
-            break
-        first = end
-    last = len(seq)
-    for start, end in sorted(hits, key=lambda h: -h[1]):
-        if not near(end - last, end - start):
-            break
-        last = start
-    at = seq.find("M", first, first + FIRST_M)
-    return (at if at >= 0 else first), last
+    size = lambda h: h["end"] - h["start"]
+    near = lambda gap, h: F.abs(gap) <= F.when(size(h) <= margin, size(h) - 1).otherwise(F.lit(margin))
+
+    def walk(ordered: Column, begin: Column, outer: str, inner: str) -> Column:
+        start = F.struct(begin.alias("at"), F.lit(True).alias("on"))
+        step = lambda s, h: F.when(s["on"] & near(h[outer] - s["at"], h), F.struct(h[inner].alias("at"), F.lit(True).alias("on"))).otherwise(F.struct(s["at"].alias("at"), F.lit(False).alias("on")))
+        return F.aggregate(ordered, start, step, lambda s: s["at"])
+
+    plain = F.transform(hits, lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end")))
+    back = F.transform(F.array_sort(F.transform(hits, lambda h: F.struct((-h["end"]).alias("o"), h["start"].alias("start"), h["end"].alias("end")))), lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end")))
+    first = walk(F.array_sort(plain), F.lit(0), "start", "end")
+    last = walk(back, F.length(seq), "end", "start")
+    # the first M that follows at once
+    placed = lambda n: n + F.greatest(F.instr(F.substr(seq, n + 1, F.lit(FIRST_M)), F.lit("M")) - 1, F.lit(0))
+    n_end = F.transform(F.array(first), placed)[0]
+    return F.when(seq.isNull(), F.struct(F.lit(0).alias("n_end"), F.lit(0).alias("c_start"))).otherwise(F.struct(n_end.alias("n_end"), last.alias("c_start")))
 
 
 FOUND = "array<struct<start: int, end: int, name: string, tag: string, type: string, conservation: double>>"
@@ -160,12 +177,7 @@ def with_tags(df: DataFrame, hits: DataFrame, key: str, seq: str, cutoff: float
     order = F.struct(*(F.col(c).alias(c) for c in ("start", "end", "name", "tag", "type", "conservation")))
     per = known.where(F.col("conservation") <= cutoff).groupBy(key).agg(F.array_sort(F.collect_list(order)).alias("__hits"))  # few for a sequence
 
-    @F.pandas_udf("struct<n_end: int, c_start: int>")
-    def ends(text: pd.Series, found: pd.Series) -> pd.DataFrame:
-        rows = [(0, 0) if t is None else termini([(int(h["start"]), int(h["end"])) for h in (f if f is not None else [])], t) for t, f in zip(text, found, strict=True)]
-        return pd.DataFrame(rows, columns=["n_end", "c_start"])
-
-    joined = df.join(per, key, "left").withColumn("__hits", F.coalesce("__hits", F.array().cast(FOUND))).withColumn("__ends", ends(F.col(seq), F.col("__hits")))
+    joined = df.join(per, key, "left").withColumn("__hits", F.coalesce("__hits", F.array().cast(FOUND))).withColumn("__ends", termini(F.col("__hits"), F.col(seq)))
     joined = joined.withColumns({"n_end": F.col("__ends.n_end"), "c_start": F.col("__ends.c_start"), "__len": F.length(seq)})
     size = lambda h: h["end"] - h["start"]
     beside = lambda h, gap: (size(h) > MARGIN) | (gap <= size(h) - 1)

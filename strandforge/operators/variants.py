@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandforge.functions.mutations import applied, combined, is_unmutated, mutation_column, parsed_or_null
@@ -38,20 +38,28 @@ def parent_sketch(df: DataFrame, mutations: str = "mutations", fill: str = "*")
 
 
 def offsets(df: DataFrame, parent: str, mutations: str = "mutations") -> DataFrame:
-    """offset, matches, matching_ratio and rank of every placement of the mutations on ``parent``.
+    """offset, matches, matching_ratio and rank of every placement of the mutations on ``parent``: see offsets_on."""
+    one = df.sparkSession.createDataFrame([(0, parent)], "parent_id int, sequence string")
+    return offsets_on(df, one, mutations).drop("parent_id")
 
-    Distinct positions, at most as many as the parent is long, meet every window; larger windows win ties.
+
+def offsets_on(df: DataFrame, parents: DataFrame, mutations: str = "mutations") -> DataFrame:
+    """parent_id, offset, matches, matching_ratio, rank of every placement of the mutations on each of ``parents`` (parent_id, sequence).
+
+    Each distinct position votes: its letter is joined with the places of the parents that have this letter, and a match counts
+    for the offset between both. Placements without a vote have no match; larger offsets win ties. A parent that is
+    shorter than the span of the mutations has no placement.
     """
     at = positions(df, mutations)
     span = at.agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.count_distinct("pos").alias("n")).where("n > 0")
-    windows = F.lit(len(parent)) - (F.col("hi") - F.col("lo") + 1)
-    spread = span.where(windows >= 0).withColumn("window", F.explode(F.sequence(F.lit(0), windows)))
-    hit = F.substr(F.lit(parent), F.col("pos") - F.col("lo") + F.col("window") + 1, F.lit(1)) == F.col("src")
-    scored = at.crossJoin(F.broadcast(spread)).groupBy("window", "lo", "n").agg(F.count_if(hit).alias("matches"))  # a row per window
-    from pyspark.sql import Window
-
-    rank = F.row_number().over(Window.orderBy(F.desc("matches"), F.desc("window")))
-    return scored.select((F.col("window") - F.col("lo")).alias("offset"), "matches", (F.col("matches") / F.col("n")).alias("matching_ratio"), rank.alias("rank"))
+    windows = F.length("sequence") - (F.col("hi") - F.col("lo") + 1)
+    sized = parents.select("parent_id", "sequence").crossJoin(F.broadcast(span)).where(windows >= 0)  # one row
+    every = sized.select("parent_id", "n", F.explode(F.sequence(-F.col("lo"), windows - F.col("lo"))).alias("offset"))
+    places = parents.select("parent_id", F.posexplode(F.split("sequence", "")).alias("place", "src"))
+    voted = places.join(at, "src").groupBy("parent_id", (F.col("place") - F.col("pos")).alias("offset")).agg(F.count("*").alias("votes"))
+    rank = F.row_number().over(Window.partitionBy("parent_id").orderBy(F.desc("matches"), F.desc("offset")))
+    scored = every.join(voted, ["parent_id", "offset"], "left").withColumn("matches", F.coalesce("votes", F.lit(0).cast("long")))
+    return scored.select("parent_id", "offset", "matches", (F.col("matches") / F.col("n")).alias("matching_ratio"), rank.alias("rank"))
 
 
 def offset_report(df: DataFrame, parent: str, mutations: str = "mutations") -> DataFrame:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from .functions.alphabets import AA, AMINO, BACKGROUND, codons
-from .queries import ALTERED, COLUMN_TAGS, CROSSED, PAIRED, PARENT, SHIFT, TABLES, TAGS
+from .operators.splits import MODULUS, round_keys
+from .operators.tag_index import most_mismatches, seeds_of
+from .queries import ALTERED, COLUMN_TAGS, CROSSED, PAIRED, PARENT, SHIFT, TABLES, TAGS, made_library
 
 _AA = f"""(SELECT doc_id, regexp_replace(upper(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')), '[^{AMINO}]', '', 'g') AS aa_seq FROM documents)"""
 _DNA = """(SELECT doc_id, translate(upper(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'ACGTACGTACGTACGTACGTACGTAC') AS dna_seq FROM documents)"""
@@ -37,6 +39,7 @@ _CODON_ROWS = "(VALUES " + ", ".join(f"('{c}', '{a}')" for c, a in codons().item
 _SIMILAR = f"(SELECT x.acid AS row_sym, y.acid AS col_sym, 3.0::DOUBLE - min(hamming(x.codon, y.codon)) AS score FROM {_CODON_ROWS.replace('AS c', 'AS x')}, {_CODON_ROWS.replace('AS c', 'AS y')} GROUP BY ALL)"
 _BESIDE = f"(SELECT x.p_partkey AS a, y.p_partkey AS b FROM part x JOIN part y ON y.p_partkey = x.p_partkey + 1)"
 _KMER_MEAN = "(SELECT vec_id, CAST(i AS INT) AS i, avg(embedding[CAST(i + w * 8 + 1 AS INT)]::DOUBLE) AS x FROM embeddings, range(0, 24) AS a(i), range(0, 6) AS b(w) GROUP BY ALL)"
+_GRAMS3 = f"(SELECT substr(aa_seq, CAST(i AS INT), 3) AS gram, count(*) AS n FROM (SELECT *, unnest(range(1, length(aa_seq) - 1)) AS i FROM {_AA}) GROUP BY 1)"
 _ADJUSTED = f"(SELECT p_partkey, -abs(price - 1200) AS p, -size AS s, price, size FROM {_coded()})"
 
 
@@ -48,6 +51,36 @@ def _pairs(pairs: str) -> str:
             SELECT a, b, coalesce(string_agg(src || (pos + 1) || targ, '_' ORDER BY pos), '') AS code FROM p LEFT JOIN g USING (a, b) GROUP BY a, b"""
 
 
+def _library_hits(cutoff: float = 90.0) -> str:
+    """Windows that hold one of a tag's seeds, compared with the tag."""
+    rows = made_library()
+    kind = lambda n: {"Fusion": "fusion", "Leader": "leader", "Cleavage": "cleavage"}.get(n.split("-")[1], "purification")
+    listed = ", ".join(f"({i}, '{n}', '{t}', '{kind(n)}')" for i, (n, t) in enumerate(rows))
+    seeds = ", ".join(f"({i}, {a}, '{t[a:b]}')" for i, (_, t) in enumerate(rows) for a, b in seeds_of(len(t), most_mismatches(len(t), cutoff)))
+    sizes = sorted({b - a for _, t in rows for a, b in seeds_of(len(t), most_mismatches(len(t), cutoff))})
+    return f"""(WITH lib AS (SELECT * FROM (VALUES {listed}) AS l(place, name, tag, type)), seeds AS (SELECT * FROM (VALUES {seeds}) AS s(place, skip, seed)),
+        docs AS MATERIALIZED (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN tag ELSE '' END || aa_seq || CASE WHEN doc_id % 2 = 0 THEN regexp_replace(regexp_replace(tag, '(.{{10}})A', '\1C', 'g'), '(.{{10}})[^C]', '\1A', 'g') ELSE '' END AS s
+                 FROM {_AA} JOIN lib ON place = doc_id % 150),
+        chars AS (SELECT doc_id, s, CAST(unnest(range(1, length(s) + 1)) AS INT) AS i FROM docs),
+        met AS ({" UNION ALL ".join(f"SELECT doc_id, place, i - 1 - skip AS start FROM chars JOIN seeds ON substr(s, i, {k}) = seed WHERE length(seed) = {k}" for k in sizes)}),
+        near AS (SELECT DISTINCT doc_id, place, start FROM met)
+        SELECT doc_id, place, name, CAST(start AS INT) AS start, round_even(100.0 * (length(tag) - hamming(substr(s, CAST(start AS INT) + 1, length(tag)), tag)) / length(tag), 2) AS identity
+        FROM near JOIN docs USING (doc_id) JOIN lib USING (place)
+        WHERE start >= 0 AND start + length(tag) <= length(s) AND length(tag) < length(s) AND (type <> 'fusion' OR length(s) - length(tag) >= 25))"""
+
+
+def permutation_sql(numbers: str, n: str, seed: int, times: int = 1) -> str:
+    """(x, place) of the numbers of a query with one column ``x``: the keyed permutation, a step of the walk in each turn of a recursion."""
+    inner = f"(SELECT x, k, y // b AS l, y % b AS r, a, b, n FROM walk, size WHERE k < {times})"
+    for i, (p, q, s) in enumerate(round_keys(seed)):
+        f = f"(((r * {p} + {q}) % {MODULUS}) * ((r * {p} + {q}) % {MODULUS}) + {s}) % {MODULUS}"
+        inner = f"(SELECT x, k, r AS l, (l + {f}) % {'b' if i % 2 else 'a'} AS r, a, b, n FROM {inner})"
+    return f"""(WITH RECURSIVE n AS (SELECT CAST(({n}) AS BIGINT) AS n), sides AS (SELECT n, CAST(floor(sqrt(n - 1)) AS BIGINT) + 1 AS a FROM n), size AS (SELECT n, a, -(-n // a) AS b0, (n + a - 1) // a AS b FROM sides),
+        walk AS (SELECT CAST(x AS BIGINT) AS x, CAST(x AS BIGINT) AS y, 0 AS k FROM ({numbers})
+                 UNION ALL SELECT x, l * b + r AS y, CASE WHEN l * b + r < n THEN k + 1 ELSE k END AS k FROM {inner})
+        SELECT x, y AS place FROM walk, size WHERE k = {times} AND y < n)"""
+
+
 def oracle_sql() -> dict[str, str]:
     z = lambda x: f"({x} - avg({x}) OVER ()) / stddev_pop({x}) OVER ()"
     return {
@@ -130,6 +163,23 @@ def oracle_sql() -> dict[str, str]:
             SELECT round(v[1] / n, 6) + 0.0 AS first, round(v[24] / n, 6) + 0.0 AS last, count(*) AS n FROM u GROUP BY 1, 2""",
         "tag_conservation": f"""SELECT doc_id, name, start, round_even(100.0 * greatest(least(start + n, len - back) - greatest(start, front), 0) / n, 2) AS conservation
             FROM (SELECT *, CASE WHEN doc_id % 5 = 0 THEN 13 ELSE 0 END AS front, CASE WHEN doc_id % 7 = 0 THEN 8 ELSE 0 END AS back FROM {_HITS} WHERE identity >= 80)""",
+        "tag_library_hits": f"SELECT * FROM {_library_hits()} WHERE identity >= 90",
+        "vocabulary": f"SELECT gram, row_number() OVER (ORDER BY gram) - 1 AS id, n FROM {_GRAMS3}",
+        "sparse_ngrams": f"""WITH v AS (SELECT gram, row_number() OVER (ORDER BY gram) - 1 AS id FROM {_GRAMS3})
+            SELECT doc_id, (SELECT count(*) FROM v) AS size, id, count(*) AS n FROM (SELECT doc_id, substr(aa_seq, CAST(i AS INT), 3) AS gram FROM (SELECT *, unnest(range(1, length(aa_seq) - 1)) AS i FROM {_AA})) JOIN v USING (gram) GROUP BY ALL""",
+        "permuted_splits": f"""SELECT x AS vec_id, place AS position, CASE WHEN place < ceil(n * 0.2::DOUBLE) THEN 'test' ELSE 'train' END AS part, 'split_' || least(place // (n // 7), 6) AS fold
+            FROM {permutation_sql("SELECT vec_id AS x FROM embeddings", "SELECT count(*) FROM embeddings", 42)}, (SELECT count(*) AS n FROM embeddings)""",
+        "minibatch_rows": f"""SELECT place // 32 AS batch_id, string_agg(CAST(vec_id AS VARCHAR), ',' ORDER BY place) AS ids, round(sum(list_sum(embedding::DOUBLE[])), 3) AS total, string_agg(CAST(label AS VARCHAR), ',' ORDER BY place) AS labels
+            FROM {permutation_sql("SELECT vec_id AS x FROM embeddings", "SELECT count(*) FROM embeddings", 42, 2)} JOIN embeddings ON vec_id = x GROUP BY 1""",
+        "sparse_return_probabilities": f"""WITH RECURSIVE w AS MATERIALIZED (SELECT conv_id, row, col, sum(p) AS p FROM (SELECT conv_id, row, col, 0.5 / count(*) OVER (PARTITION BY conv_id, row) AS p FROM {_CELLS} UNION ALL SELECT conv_id, unnest(range(0, last + 1))::INT, unnest(range(0, last + 1))::INT, 0.5 FROM {_TURNS}) GROUP BY ALL),
+            r AS (SELECT conv_id, row, col, p::DOUBLE AS p, -1 AS step FROM w
+            UNION ALL SELECT r.conv_id, r.row, w.col, sum(r.p * w.p) AS p, r.step + 1 AS step FROM r JOIN w ON r.conv_id = w.conv_id AND r.col = w.row WHERE r.step < 9 GROUP BY r.conv_id, r.row, w.col, r.step)
+            SELECT conv_id, row AS node, step, round(p, 6) + 0.0 AS p FROM r WHERE row = col AND step >= 0""",
+        "offsets_on_parents": f"""WITH m AS (SELECT DISTINCT pos, src FROM {_MUTS}), s AS (SELECT min(pos) AS lo, max(pos) AS hi, count(DISTINCT pos) AS n FROM m),
+            g AS (SELECT n_nationkey AS parent_id, substr('{PARENT}', n_nationkey % {len(PARENT)} + 1) || substr('{PARENT}', 1, n_nationkey % {len(PARENT)}) AS p FROM nation),
+            w AS (SELECT parent_id, p, n, unnest(range(-lo, length(p) - hi)) AS off FROM g, s),
+            c AS (SELECT parent_id, n, off, count(*) FILTER (substr(p, CAST(pos + off + 1 AS INT), 1) = src) AS matches FROM w, m GROUP BY ALL)
+            SELECT parent_id, CAST(off AS INT) AS "offset", matches, round(matches / n, 6) + 0.0 AS matching_ratio, CAST(row_number() OVER (PARTITION BY parent_id ORDER BY matches DESC, off DESC) AS INT) AS rank FROM c""",
         "column_tags": " UNION ALL ".join(
             f"SELECT '{t}' AS name, '{p.tag}' AS tag WHERE " + (" AND " if p.whole else " OR ").join(f"(SELECT count(*) FROM (DESCRIBE {t}) WHERE contains(column_name, '{x}')) > 0" for x in p.patterns) for t in TABLES for p in COLUMN_TAGS
         ),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,7 @@ from .functions.alphabets import AA, AMINO, codons
 from .operators import features, graphs, integrity, kernels, splits, tags, variants
 from .plans import encodings
 from .sources import tables
+from .sources.shared import fresh_path
 
 PARENT = "MKTAYIAKQRQISFVKSHFSRQLEERLGLIEVQAPILSRVGDGTQDNLSGAEKAVQVKVK"
 SHIFT = 7
@@ -31,19 +33,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _letters(df: DataFrame) -> F.Column:
-    return F.upper(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", ""))
+def made_library() -> list[tuple[str, str]]:
+    """150 tags of 5 to 1,024 residues by a rule, in 96 families, of all four types."""
+    size = lambda i: round(5 * (1024 / 5) ** (i / 149))
+    kind = lambda i: "Tag" if i < 91 else "Fusion" if i < 117 else "Leader" if i < 136 else "Cleavage"
+    letter = lambda i, j: AMINO[hashlib.md5(f"{i}:{j}".encode()).digest()[0] % 20]
+    # every seventh place in the library's order, so that each type has tags of all lengths
+    return [(f"T{n % 96:02d}-{kind(n)}", "".join(letter(n * 7 % 150, j) for j in range(size(n * 7 % 150)))) for n in range(150)]
+
+
+def library(spark: SparkSession) -> DataFrame:
+    """The made library, written as a file and read from it."""
+    path = f"{fresh_path(spark, 'tags')}.csv"
+    rows = [(n, s.lower(), "made", "rule", "") for n, s in made_library()]
+    spark.createDataFrame(rows, "name string, sequence string, method string, origin string, reference string").coalesce(1).write.csv(path, header=True)
+    return tags.read_library(spark, path)
+
+
+def altered(tag: F.Column) -> F.Column:
+    """Every twelfth residue is A: more than nine in ten stay."""
+    return F.regexp_replace(tag, "(.{11}).", "$1A")
 
 
 def proteins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, aa_seq: all amino-acid letters of each document."""
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", F.regexp_replace(_letters(d), f"[^{AMINO}]", "").alias("aa_seq"))
+    return d.select("doc_id", F.upper(F.regexp_replace(F.coalesce("text", F.lit("")), f"[^{AMINO}{AMINO.lower()}]+", "")).alias("aa_seq"))
+
+
+def _full(df: DataFrame) -> DataFrame:
+    """``df`` without empty sequences: an outer explode binds the sequence, so that the filter does not derive it a second time."""
+    return df.select("doc_id", F.explode_outer(F.array("aa_seq")).alias("aa_seq")).where("aa_seq <> ''")
 
 
 def genes(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    mapped = F.translate(_letters(d), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ACGTACGTACGTACGTACGTACGTAC")
+    letters = F.upper(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]+", ""))
+    mapped = F.translate(letters, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ACGTACGTACGTACGTACGTACGTAC")
     return d.select("doc_id", mapped.alias("dna_seq"))
 
 
@@ -152,6 +178,19 @@ def estimate_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.offsets(rows, PARENT, "m").select("offset", F.col("matches").cast("long").alias("matches"), _r("matching_ratio").alias("matching_ratio"), "rank")
 
 
+def parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """parent_id, sequence: a parent for each nation, rotated by its key."""
+    at = F.col("n_nationkey").cast("int") % len(PARENT)
+    turned = F.concat(F.substr(F.lit(PARENT), at + 1), F.substr(F.lit(PARENT), F.lit(1), at))
+    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("parent_id"), turned.alias("sequence"))
+
+
+def offsets_on_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every placement of the codes on the parents of all nations."""
+    rows = coded(spark, sf_dir).select(M.parsed_or_null(F.col("aa_mut")).alias("m"))
+    return variants.offsets_on(rows, parents(spark, sf_dir), "m").select("parent_id", "offset", "matches", _r("matching_ratio").alias("matching_ratio"), "rank")
+
+
 def apply_mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.with_applied(coded(spark, sf_dir, SHIFT), "aa_mut", PARENT, out="aa_seq").select("p_partkey", "aa_seq")
 
@@ -225,6 +264,25 @@ def ngram_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kernels.ngram_table(rows, "p_partkey", "v", 1, 3)
 
 
+def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 3-grams of all proteins, numbered in order."""
+    return kernels.vocabulary_table(proteins(spark, sf_dir), "aa_seq", 3, 3)
+
+
+def sparse_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every protein over the vocabulary of 3-grams of all, one row for each entry that is not 0."""
+    v = kernels.sparse_ngrams(proteins(spark, sf_dir), "doc_id", "aa_seq", 3, 3)
+    cells = v.select("doc_id", "size", F.explode(F.arrays_zip("indices", "counts")).alias("x"))
+    return cells.select("doc_id", "size", F.col("x.indices").alias("id"), F.col("x.counts").alias("n"))
+
+
+def sparse_ngrams_given(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents over the vocabulary of 4-grams that the pages' addresses and the benchmark's texts use: of unseen texts, most grams drop out."""
+    learned = table(spark, sf_dir, "benchmark").select("text").unionByName(table(spark, sf_dir, "pages").select(F.col("url").alias("text")))
+    v = kernels.sparse_ngrams(table(spark, sf_dir, "documents"), "doc_id", "text", 4, 4, kernels.vocabulary_table(learned, "text", 4, 4))
+    return v.select("doc_id", "size", F.size("indices").cast("long").alias("n_entries"), F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x).alias("n_grams"))
+
+
 def one_hot_padding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place of the one in each row of a one-hot matrix of fixed length, 0 for padding; through its flat form and back."""
     p = table(spark, sf_dir, "part").select("p_partkey", F.substr(F.lit(PARENT), F.lit(1), F.col("p_size") + 1).alias("s"))
@@ -274,7 +332,7 @@ def char_counts_1gram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def char_ngram_2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return proteins(spark, sf_dir).select("doc_id", F.explode(S.kmers(F.col("aa_seq"), 2)).alias("gram")).groupBy("doc_id", "gram").agg(F.count("*").alias("n"))
+    return kernels.row_ngrams(proteins(spark, sf_dir), "doc_id", "aa_seq", 2, 2)
 
 
 def one_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -292,7 +350,7 @@ def sequence_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def js_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return proteins(spark, sf_dir).where("aa_seq <> ''").select("doc_id", _r(S.js_distance(F.col("aa_seq"))).alias("distance"))
+    return _full(proteins(spark, sf_dir)).select("doc_id", _r(S.js_distance(F.col("aa_seq"))).alias("distance"))
 
 
 def split_train_test_md5(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -324,6 +382,23 @@ def minibatch_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", F.col("batch_id").cast("long").alias("batch_id"), _r(F.col("x")[0]).alias("first"), _r(F.element_at("x", -1)).alias("last"), _r(F.col("y")[0]).alias("target"))
 
 
+def permuted_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, part and fold of each vector by the keyed permutation of the row numbers."""
+    e = splits.with_index(table(spark, sf_dir, "embeddings").select("vec_id"), ["vec_id"])
+    both = splits.with_folds(splits.with_train_test(splits.position(e, 42, backend="keyed"), 42, backend="keyed", column="part"), 7, 42, backend="keyed", column="fold")
+    return both.select("vec_id", "position", "part", "fold")
+
+
+def minibatch_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The loader's batches of the second epoch: the vectors' numbers in order, sums over the features, the targets."""
+    e = splits.with_index(table(spark, sf_dir, "embeddings"), ["vec_id"])
+    loader = features.Loader(e, ("embedding", "vec_id"), ("label",), 32, 42)
+    add = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    total = add(F.transform("embedding", lambda v: add(F.transform(v, lambda x: x.cast("double")))))
+    ids = F.array_join(F.transform("vec_id", lambda v: v[0].cast("long").cast("string")), ",")
+    return loader.batches(1).select("batch_id", ids.alias("ids"), F.round(total, 3).alias("total"), F.array_join(F.transform("label", lambda y: y.cast("int").cast("string")), ",").alias("labels"))
+
+
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """conv_id, bnd_idcs: each conversation as a graph, an edge from every turn to the next, and one back to the first."""
     c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max("turn").cast("int").alias("last"))
@@ -368,6 +443,12 @@ def return_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "node", F.posexplode("r").alias("step", "p")).select("conv_id", "node", "step", _r("p").alias("p"))
 
 
+def sparse_return_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten steps of the walk without matrices."""
+    found = graphs.sparse_return_probabilities(graphs.adjacency_cells(turns(spark, sf_dir), "conv_id"), "conv_id", 10)
+    return found.select("conv_id", "node", "step", _r("p").alias("p"))
+
+
 def linear_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector against the ten label prototypes (the smallest vec_id of each label)."""
     e = table(spark, sf_dir, "embeddings")
@@ -418,6 +499,27 @@ def tag_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("doc_id", "name", "start", "identity")
 
 
+def library_tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proteins with a tag of the made library in front of every third, and an altered one behind every second."""
+    of = F.broadcast(library(spark).select("place", "tag"))
+    rows = proteins(spark, sf_dir).withColumn("place", (F.col("doc_id") % 150).cast("int")).join(of, "place")
+    front = F.when(F.col("doc_id") % 3 == 0, F.col("tag")).otherwise("")
+    back = F.when(F.col("doc_id") % 2 == 0, altered(F.col("tag"))).otherwise("")
+    return rows.select("doc_id", F.concat(front, F.col("aa_seq"), back).alias("aa_seq"))
+
+
+def tag_library_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All tags of a library of 150 in all proteins."""
+    hits = tags.tag_hits(library_tagged(spark, sf_dir), library(spark), "doc_id", "aa_seq")
+    return hits.select("doc_id", "place", "name", "start", "identity")
+
+
+def tag_library_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = library_tagged(spark, sf_dir)
+    hits = tags.nonredundant(tags.tag_hits(rows, library(spark), "doc_id", "aa_seq"), "doc_id")
+    return tags.stripped(rows, hits, "doc_id", "aa_seq")
+
+
 def _nonredundant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tags.nonredundant(tags.tag_hits(tagged(spark, sf_dir), tags.tag_library(spark, TAGS), "doc_id", "aa_seq"), "doc_id")
 
@@ -456,7 +558,7 @@ def cleaning_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clean_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = tagged(spark, sf_dir).where("aa_seq <> ''")
+    rows = _full(tagged(spark, sf_dir))
     return tags.cleaned(rows, tags.tag_library(spark, TAGS), "doc_id", "aa_seq", convert=True, drop_artificial=True)
 
 
@@ -467,7 +569,7 @@ def tag_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def artificial_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tags.without_artificial(proteins(spark, sf_dir).where("aa_seq <> ''"), "aa_seq", 0.2).select("doc_id")
+    return tags.without_artificial(_full(proteins(spark, sf_dir)), "aa_seq", 0.2).select("doc_id")
 
 
 def catalog_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -487,5 +589,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     incidence adjacency_by_type return_probabilities linear_kernel kmer_distinct mean_embedding kmer_mean rkhs_kmer tag_hits tag_nonredundant tag_strip
     tag_summary artificial_filter catalog_report feature_slices missing_mask extract_codes offset_report combine_variants concat_mutations similarity_matrix
     similarity_score ngram_range one_hot_padding encoding_plan minibatch_features incidence_by_type kmer_mean_unit kmer_centers tag_conservation tag_locations
-    tag_report cleaning_summary clean_dataset column_tags""".split()
+    tag_report cleaning_summary clean_dataset column_tags tag_library_hits tag_library_strip vocabulary sparse_ngrams sparse_ngrams_given permuted_splits
+    minibatch_rows sparse_return_probabilities offsets_on_parents""".split()
     return {n: globals()[n] for n in names}

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,11 +26,15 @@ def _resolved(spark: SparkSession, path: str) -> str:
     raise FileNotFoundError(path)
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """CSV (header, inferred types), Parquet or Excel (first sheet, with openpyxl installed), by the name's ending."""
+def read_table(spark: SparkSession, path: str, *, nested: bool = False) -> DataFrame:
+    """CSV (header, inferred types), Parquet or Excel (first sheet, with openpyxl installed), by the name's ending.
+
+    ``nested``: CSV columns that hold arrays or objects as JSON become arrays and structs again.
+    """
     end = path.rstrip("/").rpartition(".")[2].lower()
     if end == "csv":
-        return spark.read.csv(_resolved(spark, path), header=True, inferSchema=True)
+        found = spark.read.csv(_resolved(spark, path), header=True, inferSchema=True, escape='"')
+        return with_nested(found) if nested else found
     if end == "parquet":
         return spark.read.parquet(_resolved(spark, path))
     if end in ("xls", "xlsx"):
@@ -38,6 +44,23 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     raise TypeError(f"cannot read files that end in {end!r}")
 
 
+def with_nested(df: DataFrame) -> DataFrame:
+    """``df`` with those text columns parsed that hold a JSON array or object in each row that is not null, and in one at least.
+
+    One aggregate over all text columns finds the type that all rows of a column have in common: whole numbers are long,
+    others double.
+    """
+    texts = [c for c, kind in df.dtypes if kind == "string"]
+    if not texts:
+        return df
+    own = {c: F.col(f"`{c}`") for c in texts}
+    coded = {c: F.when(F.ltrim(x).rlike(r"^[\[{]"), F.try_parse_json(x)) for c, x in own.items()}
+    found = df.agg(*(f.alias(f"{k}{i}") for i, c in enumerate(texts) for k, f in (("bad", F.count_if(own[c].isNotNull() & coded[c].isNull())), ("n", F.count(own[c])), ("kind", F.schema_of_variant_agg(coded[c]))))).first()
+    kinds = {c: found[f"kind{i}"] for i, c in enumerate(texts) if found[f"n{i}"] and not found[f"bad{i}"]}
+    plain = lambda k: re.sub(r"\b(VOID|VARIANT)\b", "STRING", re.sub(r"DECIMAL\(\d+,\s*\d+\)", "DOUBLE", k.replace("OBJECT<", "STRUCT<")))
+    return df.withColumns({c: F.from_json(own[c], plain(k)) for c, k in kinds.items() if k.startswith(("ARRAY", "OBJECT"))})
+
+
 def read_splits(spark: SparkSession, folder: str, names: list[str] | None = None, column: str | None = None) -> DataFrame:
     """All split tables (subfolders, or files named as the split) of a folder as one; ``column`` takes the split's name."""
     at = spark._jvm.org.apache.hadoop.fs.Path(folder)
@@ -100,7 +123,7 @@ def write_csv(data: DataFrame | dict[str, DataFrame], path: str) -> list[str]:
         stem, dot, rest = name.partition(".")
         return [p for split, df in data.items() for p in write_csv(df, f"{head}{slash}{stem}_{split}{dot}{rest}")]
     nested = {f.name: F.to_json(f"`{f.name}`") for f in data.schema if isinstance(f.dataType, ArrayType | MapType | StructType)}
-    data.withColumns(nested).write.mode("overwrite").csv(path, header=True)
+    data.withColumns(nested).write.mode("overwrite").csv(path, header=True, escape='"')
     return [path]
 
 
@@ -162,12 +185,18 @@ def with_section(text: str, header: str, points: list[str]) -> str:
     return text[:at] + section + (text[end + 3 :] if end >= 0 else "")
 
 
+def counted(tables: dict[str, DataFrame]) -> DataFrame:
+    """name, n_rows of named tables, one at least: one job for all of them, that reads no column, only the files' footers."""
+    counts = [df.agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("name"), "n_rows") for name, df in tables.items()]
+    return reduce(DataFrame.unionByName, counts)
+
+
 def catalog(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
     """name, n_rows, n_columns, features, targets, splits of named tables."""
-    rows = []
-    for name, df in tables.items():
-        rows.append((name, df.count(), len(df.columns), ",".join(feature_columns(df)), ",".join(c for c in df.columns if c.startswith("target")), ",".join(c for c in df.columns if "split" in c)))
-    return spark.createDataFrame(rows, "name string, n_rows long, n_columns int, features string, targets string, splits string")
+    kind = "name string, n_columns int, features string, targets string, splits string"
+    told = [(name, len(df.columns), *(",".join(column_classes(df)[k]) for k in ("features", "targets", "splits"))) for name, df in tables.items()]
+    sizes = counted(tables) if tables else spark.createDataFrame([], "name string, n_rows long")
+    return sizes.join(F.broadcast(spark.createDataFrame(told, kind)), "name").select("name", "n_rows", "n_columns", "features", "targets", "splits")  # a row for each table
 
 
 def feature_columns(df: DataFrame) -> list[str]:

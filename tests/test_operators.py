@@ -195,7 +195,8 @@ def test_tags(spark):
     found = tags.nonredundant(tags.tag_hits(df, tags.tag_library(spark, library), "id", "s"), "id")
     row = tags.stripped(df, found, "id", "s").where("id = 40").first()
     assert row["stripped_seq"] == "G" + "AVLI" * 10 and row["removed_tags"] == "His-Fusion,Flag-Tag"
-    assert tags.termini([], "AAMK") == (2, 4)
+    bare = spark.createDataFrame([("AAMK",)], "s string").select(tags.termini(F.array().cast("array<struct<start: int, end: int>>"), F.col("s")).alias("e"))
+    assert tuple(bare.first()["e"]) == (2, 4)
 
 
 def test_tables(spark, tmp_path):
