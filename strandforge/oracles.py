@@ -59,7 +59,7 @@ def _library_hits(cutoff: float = 90.0) -> str:
     seeds = ", ".join(f"({i}, {a}, '{t[a:b]}')" for i, (_, t) in enumerate(rows) for a, b in seeds_of(len(t), most_mismatches(len(t), cutoff)))
     sizes = sorted({b - a for _, t in rows for a, b in seeds_of(len(t), most_mismatches(len(t), cutoff))})
     return f"""(WITH lib AS (SELECT * FROM (VALUES {listed}) AS l(place, name, tag, type)), seeds AS (SELECT * FROM (VALUES {seeds}) AS s(place, skip, seed)),
-        docs AS MATERIALIZED (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN tag ELSE '' END || aa_seq || CASE WHEN doc_id % 2 = 0 THEN regexp_replace(regexp_replace(tag, '(.{{10}})A', '\1C', 'g'), '(.{{10}})[^C]', '\1A', 'g') ELSE '' END AS s
+        docs AS MATERIALIZED (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN tag ELSE '' END || aa_seq || CASE WHEN doc_id % 2 = 0 THEN regexp_replace(tag, '(.{{11}}).', '\\1A', 'g') ELSE '' END AS s
                  FROM {_AA} JOIN lib ON place = doc_id % 150),
         chars AS (SELECT doc_id, s, CAST(unnest(range(1, length(s) + 1)) AS INT) AS i FROM docs),
         met AS ({" UNION ALL ".join(f"SELECT doc_id, place, i - 1 - skip AS start FROM chars JOIN seeds ON substr(s, i, {k}) = seed WHERE length(seed) = {k}" for k in sizes)}),
