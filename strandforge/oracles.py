@@ -27,9 +27,23 @@ _EDGES = f"(SELECT conv_id, last, i::INT AS edge, i::INT AS src, CASE WHEN i = l
 _CELLS = f"(SELECT DISTINCT conv_id, row, col FROM (SELECT conv_id, src AS row, dst AS col FROM {_EDGES} UNION ALL SELECT conv_id, dst, src FROM {_EDGES}))"
 _LIBRARY = "(VALUES " + ", ".join(f"({i}, '{n}', '{s}', '{'fusion' if n.endswith('Fusion') else 'leader' if n.endswith('Leader') else 'purification'}')" for i, (n, s) in enumerate(TAGS)) + ") AS lib(place, name, tag, type)"
 _TAGGED = f"(SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'MGSSHHHHHHSSG' ELSE '' END || aa_seq || CASE WHEN doc_id % 7 = 0 THEN 'DYKDDDDK' ELSE '' END AS s FROM {_AA})"
-_HITS = f"""(SELECT doc_id, name, length(tag) AS n, length(s) AS len, CAST(start AS INT) AS start, round_even(100.0 * (length(tag) - hamming(substr(s, CAST(start AS INT) + 1, length(tag)), tag)) / length(tag), 2) AS identity
+_HITS = f"""(SELECT doc_id, place, type, name, length(tag) AS n, length(s) AS len, CAST(start AS INT) AS start, round_even(100.0 * (length(tag) - hamming(substr(s, CAST(start AS INT) + 1, length(tag)), tag)) / length(tag), 2) AS identity
    FROM (SELECT *, unnest(range(0, length(s) - length(tag) + 1)) AS start FROM {_TAGGED}, {_LIBRARY}
          WHERE length(tag) < length(s) AND (type <> 'fusion' OR length(s) - length(tag) >= 25)))"""
+# of each family the longest first, then those that no kept one holds or lies in
+_KEPT = f"""(WITH l AS (SELECT doc_id, split_part(name, '-', 1) AS family, list([{{'s': start, 'e': CAST(start + n AS INT), 'name': name, 'type': type}}] ORDER BY -n, place, start) AS v FROM {_HITS} WHERE identity >= 90 GROUP BY 1, 2)
+   SELECT doc_id, unnest(list_reduce(v, lambda a, x: CASE WHEN len(list_filter(a, lambda y: (x[1].s <= y.s AND y.e <= x[1].e) OR (y.s <= x[1].s AND x[1].e <= y.e))) > 0 THEN a ELSE a || x END)) AS h FROM l)"""
+# the walk inwards from each end, over hits in order: where it is, and whether it goes on
+_NEAR = "abs({gap}) <= CASE WHEN x.e - x.s <= 4 THEN x.e - x.s - 1 ELSE 4 END"
+_STEP = "lambda a, x: CASE WHEN a.on AND " + _NEAR + " THEN {{'at': {inner}, 'on': true, 's': a.s, 'e': a.e}} ELSE {{'at': a.at, 'on': false, 's': a.s, 'e': a.e}} END"
+_ENDS = f"""(WITH d AS (SELECT doc_id, s AS seq, length(s) AS n FROM {_TAGGED}),
+   v AS (SELECT doc_id, list({{'at': 0, 'on': true, 's': h.s, 'e': h.e}} ORDER BY h.s, h.e) AS front, list({{'at': 0, 'on': true, 's': h.s, 'e': h.e}} ORDER BY -h.e, h.s) AS back FROM {_KEPT} GROUP BY 1),
+   w AS (SELECT d.*, list_reduce([{{'at': 0, 'on': true, 's': 0, 'e': 0}}] || coalesce(front, []), {_STEP.format(gap="x.s - a.at", inner="x.e")}).at AS f,
+                list_reduce([{{'at': CAST(n AS INT), 'on': true, 's': 0, 'e': 0}}] || coalesce(back, []), {_STEP.format(gap="x.e - a.at", inner="x.s")}).at AS c_start FROM d LEFT JOIN v USING (doc_id))
+   SELECT doc_id, seq, n, CAST(f + greatest(instr(substr(seq, f + 1, 4), 'M') - 1, 0) AS INT) AS n_end, CAST(c_start AS INT) AS c_start FROM w)"""
+_PLACED = f"""(SELECT * FROM (SELECT e.*, h.name, h.s, h.e, CASE WHEN h.type <> 'leader' AND h.s >= c_start AND (h.e - h.s > 4 OR abs(h.e - n) <= h.e - h.s - 1) THEN 'C-terminus'
+   WHEN h.e <= n_end AND (h.e - h.s > 4 OR h.s <= h.e - h.s - 1) THEN 'N-terminus' WHEN h.type = 'purification' THEN 'Internal' END AS location FROM {_ENDS} e JOIN {_KEPT} USING (doc_id)) WHERE location IS NOT NULL)"""
+_REMOVED = f"(SELECT doc_id, string_agg(name, ',' ORDER BY s, e, name) AS names, count(*) AS n, count(*) FILTER (location = 'N-terminus') AS front FROM {_PLACED} WHERE location <> 'Internal' GROUP BY 1)"
 _JS = f"""(WITH c AS (SELECT doc_id, aa_seq, unnest([{", ".join(f"'{a}'" for a in AMINO)}]) AS a, unnest([{", ".join(str(BACKGROUND[a] / sum(BACKGROUND.values())) for a in AMINO)}]) AS q FROM {_AA} WHERE aa_seq <> ''),
    s AS (SELECT doc_id, aa_seq, q, (length(aa_seq) - length(replace(aa_seq, a, ''))) / length(aa_seq)::DOUBLE + 1e-16 AS p FROM c),
    n AS (SELECT doc_id, aa_seq, q, p / sum(p) OVER (PARTITION BY doc_id) AS p FROM s)
@@ -96,9 +110,9 @@ def oracle_sql() -> dict[str, str]:
         "target_histogram": "SELECT CAST(least(floor((o_totalprice - lo) / ((hi - lo) / 50)), 49) AS INT) AS bin, count(*) AS n FROM orders, (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders) GROUP BY 1",
         "feature_concat": "SELECT vec_id, CAST(i - 1 AS INT) AS i, round(x, 6) + 0.0 AS x FROM (SELECT vec_id, unnest(list_concat([label::DOUBLE], embedding::DOUBLE[])) AS x, unnest(range(1, len(embedding) + 2)) AS i FROM embeddings)",
         "parse_mutations": f"SELECT p_partkey, CAST(pos AS INT) AS pos, src, targ FROM {_MUTS}",
-        "non_parsed_rows": "SELECT p_partkey, 'wildtype' AS aa_mut FROM part WHERE p_partkey = 1",
+        "non_parsed_rows": f"SELECT p_partkey, aa_mut FROM {_coded()} WHERE lower(trim(aa_mut)) IN ('wildtype (wt)', 'wildtype', '', 'wt', '-', 'none')",
         "parent_sketch": f"SELECT (SELECT count(DISTINCT pos) FROM {_MUTS}) AS n_positions, string_agg(coalesce(src, '*'), '' ORDER BY i) AS sketch FROM (SELECT unnest(range(0, (SELECT max(pos) + 1 FROM {_MUTS}))) AS i) LEFT JOIN (SELECT DISTINCT pos, src FROM {_MUTS}) ON pos = i",
-        "parent_sequence": f"SELECT '{PARENT}' AS aa_seq",
+        "parent_sequence": f"SELECT aa_seq FROM {_APPLIED} JOIN {_coded()} USING (p_partkey) WHERE contains(aa_mut, 'wildtype') OR contains(aa_mut, 'wt')",
         "estimate_offset": f"""WITH p AS (SELECT DISTINCT pos + {SHIFT} AS pos, src FROM {_MUTS}), s AS (SELECT min(pos) AS lo, max(pos) AS hi, count(*) AS n FROM p),
             w AS (SELECT lo, n, unnest(range(0, {len(PARENT)} - (hi - lo + 1) + 1)) AS w FROM s),
             c AS (SELECT w, lo, n, count(*) FILTER (substr('{PARENT}', CAST(pos - lo + w + 1 AS INT), 1) = src) AS matches FROM p, w GROUP BY ALL)
@@ -139,6 +153,12 @@ def oracle_sql() -> dict[str, str]:
         "mean_embedding": "SELECT vec_id, CAST(i AS INT) AS i, round(avg(embedding[CAST(j * 8 + i + 1 AS INT)]::DOUBLE), 6) + 0.0 AS x FROM embeddings, range(0, 8) AS a(i), range(0, 8) AS b(j) GROUP BY ALL",
         "kmer_mean": "SELECT vec_id, CAST(i AS INT) AS i, round(avg(embedding[CAST(i + w * 8 + 1 AS INT)]::DOUBLE), 6) + 0.0 AS x FROM embeddings, range(0, 24) AS a(i), range(0, 6) AS b(w) GROUP BY ALL",
         "tag_hits": f"SELECT doc_id, name, start, identity FROM {_HITS} WHERE identity >= 80",
+        "tag_nonredundant": f'SELECT doc_id, h.name AS name, h.s AS start, h.e AS "end" FROM {_KEPT}',
+        "tag_locations": f'SELECT doc_id, name, s AS start, e AS "end", location FROM {_PLACED}',
+        "tag_strip": f"SELECT doc_id, seq AS aa_seq, n_end, c_start, substr(seq, n_end + 1, greatest(c_start - n_end, 0)) AS stripped_seq, coalesce(names, '') AS removed_tags FROM {_ENDS} LEFT JOIN {_REMOVED} USING (doc_id)",
+        "cleaning_summary": f"""SELECT sequences, with_tags, tags, n_terminal, c_terminal, CAST(round_even(100.0 * with_tags / sequences, 0) AS INT) AS tag_percent, CAST(round_even(100.0 * n_terminal / nullif(tags, 0), 0) AS INT) AS n_percent,
+            CAST(round_even(100.0 * c_terminal / nullif(tags, 0), 0) AS INT) AS c_percent FROM (SELECT count(*) AS sequences, count(r.doc_id) AS with_tags, CAST(coalesce(sum(r.n), 0) AS BIGINT) AS tags, CAST(coalesce(sum(front), 0) AS BIGINT) AS n_terminal,
+            CAST(coalesce(sum(r.n - front), 0) AS BIGINT) AS c_terminal FROM documents LEFT JOIN {_REMOVED} r USING (doc_id))""",
         "tag_summary": f"SELECT name, count(*) AS n_hits, count(DISTINCT doc_id) AS n_sequences, CAST(round_even(100.0 * count(DISTINCT doc_id) / (SELECT count(*) FROM documents), 0) AS INT) AS percent FROM {_HITS} WHERE identity >= 80 GROUP BY 1",
         "feature_slices": "SELECT vec_id, CAST(i - 1 AS INT) AS i, round(x, 6) + 0.0 AS x FROM (SELECT vec_id, unnest(list_concat(embedding::DOUBLE[], [label::DOUBLE])) AS x, unnest(range(1, len(embedding) + 2)) AS i FROM embeddings)",
         "missing_mask": "SELECT doc_id, lang = 'en' AS missing FROM documents",
@@ -151,7 +171,9 @@ def oracle_sql() -> dict[str, str]:
         "combine_variants": _pairs(f"SELECT * FROM {_BESIDE}"),
         "concat_mutations": f"""SELECT a, CAST(row_number() OVER (PARTITION BY a ORDER BY side, pos) - 1 AS INT) AS place, CAST(pos AS INT) AS pos, src, targ
             FROM (SELECT a, 0 AS side, pos, src, targ FROM {_BESIDE} p JOIN {_MUTS} m ON m.p_partkey = p.a UNION ALL SELECT a, 1, pos, src, targ FROM {_BESIDE} p JOIN {_MUTS} m ON m.p_partkey = p.b)""",
-        "similarity_matrix": f"SELECT 'codons' AS matrix, row_sym, col_sym, score FROM {_SIMILAR}",
+        "similarity_matrix": f"""SELECT 'neighbours' AS matrix, x.s AS row_sym, y.s AS col_sym, CAST(count(g.doc_id) AS DOUBLE) AS score
+            FROM (SELECT unnest(string_split('{AA}', '')) AS s) x, (SELECT unnest(string_split('{AA}', '')) AS s) y
+            LEFT JOIN (SELECT DISTINCT doc_id, substr(aa_seq, CAST(i AS INT), 2) AS gram FROM (SELECT *, unnest(range(1, length(aa_seq))) AS i FROM {_AA})) g ON g.gram = x.s || y.s GROUP BY 1, 2, 3""",
         "similarity_score": f"SELECT p_partkey, sum(score) AS score FROM (SELECT *, unnest(range(1, {len(PARENT)} + 1)) AS i FROM {_APPLIED}) JOIN {_SIMILAR} ON row_sym = substr(aa_seq, CAST(i AS INT), 1) AND col_sym = substr('{PARENT}', CAST(i AS INT), 1) GROUP BY 1",
         "ngram_range": f"SELECT p_partkey, substr(aa_seq, CAST(i AS INT), CAST(k AS INT)) AS gram, count(*) AS n FROM (SELECT *, unnest(range(1, length(aa_seq) - k + 2)) AS i FROM {_APPLIED}, range(1, 4) AS r(k)) GROUP BY ALL",
         "one_hot_padding": f"SELECT p_partkey, CAST(i AS INT) AS pos, CASE WHEN i <= p_size THEN instr('{AA}', substr('{PARENT}', CAST(i + 1 AS INT), 1)) ELSE 0 END AS symbol FROM part, range(0, {len(PARENT)}) AS r(i)",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -248,13 +249,24 @@ def similarity_lines() -> list[str]:
     return ["# similarity of codons", "  " + " ".join(names), *(" ".join([a, *(str(score(a, b)) for b in names)]) for a in names)]
 
 
-def similarity_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+def codon_matrix(spark: SparkSession) -> DataFrame:
     return tables.similarity_table(spark.createDataFrame(list(enumerate(similarity_lines())), "line_no int, value string"), "codons", AA)
 
 
+def similarity_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In how many proteins a residue stands right before another: counted, laid out as the lines of a matrix file, and read from these."""
+    pairs = kernels.row_ngrams(proteins(spark, sf_dir), "doc_id", "aa_seq", 2, 2).groupBy("gram").agg(F.count("*").alias("n"))
+    symbols = F.explode(F.split(F.lit(AA), ""))
+    cells = spark.range(1).select(symbols.alias("row")).select("row", symbols.alias("col")).join(F.broadcast(pairs), F.concat("row", "col") == F.col("gram"), "left")  # a row for each pair of residues
+    per = cells.groupBy("row").agg(F.array_sort(F.collect_list(F.struct(F.instr(F.lit(AA), F.col("col")).alias("at"), F.coalesce("n", F.lit(0)).cast("string").alias("n")))).alias("v"))
+    lines = per.select(F.instr(F.lit(AA), F.col("row")).alias("line_no"), F.concat_ws(" ", "row", F.transform("v", lambda x: x["n"])).alias("value"))
+    head = spark.range(1).select(F.lit(0).alias("line_no"), F.lit("  " + " ".join(AA)).alias("value"))
+    return tables.similarity_table(head.unionByName(lines), "neighbours", AA)
+
+
 def similarity_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every variant's sequence against the parent's."""
-    scores = tables.similarity_array(similarity_matrix(spark, sf_dir), AA)
+    scores = tables.similarity_array(codon_matrix(spark), AA)
     rows = variants.with_applied(coded(spark, sf_dir), "aa_mut", PARENT, 0, "v")
     return rows.select("p_partkey", tables.similarity_score(F.col("v"), F.lit(PARENT), scores, AA).alias("score"))
 
@@ -292,12 +304,11 @@ def one_hot_padding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def encoding_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is computed, and in which order, for tables of proteins, genes, molecules and graphs."""
-    out = None
-    for have in ("aa_seq", "dna_seq", "smiles_seq", "bnd_idcs", "bnd_idcs dna_seq"):
-        part = encodings.plan_table(spark, have.split()).withColumn("have", F.lit(have))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """What is computed, and in which order, for the tables of proteins, genes, both, and graphs, by their schemas."""
+    found = {"proteins": proteins(spark, sf_dir), "genes": genes(spark, sf_dir), "graphs": turns(spark, sf_dir)}
+    found["both"] = found["proteins"].join(found["genes"], "doc_id")
+    parts = [encodings.plan_table(spark, [c for c in df.columns if not c.endswith("_id")]).withColumn("have", F.lit(name)) for name, df in found.items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _variants(spark: SparkSession, sf_dir: str) -> DataFrame:
