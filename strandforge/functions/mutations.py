@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MUTATIONS = "array<struct<pos: int, src: string, targ: string>>"
@@ -118,3 +118,21 @@ def checked_mutation(found: tuple[int, str, str]) -> tuple[int, str, str]:
     if not (isinstance(found, tuple) and len(found) == 3 and isinstance(found[0], int) and isinstance(found[1], str) and isinstance(found[2], str)):
         raise TypeError("a mutation is (position, source, target)")
     return found
+
+
+def as_mutation(found: tuple[int, str] | tuple[int, str, str]) -> tuple[int, str, str | None]:
+    """(position, source, target) of a mutation given with or without a target. What is no tuple of two or three is an error."""
+    if not isinstance(found, tuple):
+        raise TypeError("a mutation is a tuple")
+    if len(found) not in (2, 3):
+        raise ValueError("a mutation is (position, source) or (position, source, target)")
+    return checked_mutation(found) if len(found) == 3 else (*checked_mutation((*found, ""))[:2], None)
+
+
+def variants_table(spark: SparkSession, variants: list[list[tuple]], out: str = "mutations") -> DataFrame:
+    """index and an array of mutations for each variant given as tuples; those without a target have a null one.
+
+    Positions, sketches and offsets need no targets; applying such a mutation gives null.
+    """
+    rows = [(i, [as_mutation(m) for m in v]) for i, v in enumerate(variants)]
+    return spark.createDataFrame(rows, f"index long, {out} {MUTATIONS}")

@@ -301,3 +301,16 @@ def test_one_job_counts_all_tables(spark):
     plan = tables.counted(frames)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ReadSchema: struct<>") == 2
     assert tables.catalog(spark, {}).count() == 0
+
+
+def test_mutations_as_tuples(spark):
+    from strandforge.functions import mutations as M
+
+    assert M.as_mutation((1, "A")) == (1, "A", None) and M.as_mutation((1, "A", "C")) == (1, "A", "C")
+    for bad, error in (([1, "A"], TypeError), (("A", 1), TypeError), ((1,), ValueError), ((1, "A", "C", "D"), ValueError), ((1, "A", 2), TypeError)):
+        with pytest.raises(error):
+            M.as_mutation(bad)
+    df = M.variants_table(spark, [[(2, "C"), (4, "E")], [(4, "E", "X")], []])
+    assert [r["mutations"] for r in df.orderBy("index").collect()] == [[(2, "C", None), (4, "E", None)], [(4, "E", "X")], []]
+    assert variants.likely_offset(df, "ABCDEFGH") == 0 and variants.parent_sketch(df).first()["sketch"] == "**C*E"
+    assert [r[0] for r in df.orderBy("index").select(M.applied(F.col("mutations"), F.lit("ABCDEFGH"), 0)).collect()] == [None, "ABCDXFGH", "ABCDEFGH"]
