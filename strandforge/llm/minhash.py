@@ -8,11 +8,14 @@ differ with a probability under 1e-9 at 0.85 or more.
 
 1. Documents with equal sets become one class; only its smallest doc_id goes on.
 2. Every member of a bucket is compared, on full sets, with the bucket's smallest document: a star, not all pairs.
-3. What those links connect needs no more comparing. In buckets that still hold several components, the members outside
-   the first one's component are compared with all members that are not connected to them, in blocks of ``BLOCK``
-   documents: first on bits, then on the full sets of those documents that have an open pair. A pair that shares
-   several buckets is opened in its first one only. No link between different sets is lost beyond the odds above.
-4. The links' connected components come from alternating star contraction, each round written to the shared folder.
+3. What those links connect needs no more comparing. Buckets in which more than ``BLOCK`` members stay outside of the
+   component that most belong to get further stars, around one member inside of it and one outside, drawn anew for each bucket and
+   round. A connected family of any size joins in a few rounds, at a cost that grows with its rows.
+4. In buckets that still hold several components, the members outside of the one that most belong to are compared with all
+   members that are not connected to them, in blocks of ``BLOCK`` documents: first on bits, then on the full sets of
+   those documents that have an open pair. A pair that shares several buckets is opened in its first one only. No link
+   between different sets is lost beyond the odds above.
+5. The links' connected components come from alternating star contraction, each round written to the shared folder.
 
 No step gathers a bucket: it is aggregated, joined and cut into blocks. Only links and open blocks leave a task.
 
@@ -37,6 +40,8 @@ from .common import bound_batches, discard, slices, stash
 
 PERMUTATIONS, BANDS, ROWS, BITS_OFF = 96, 32, 6, 40
 WORDS, PERCENT, BLOCK = 5, 85, 128
+#: Rounds of further stars at most; they end before where a round saves less than a tenth of the comparing.
+STARS = 8
 SEED = 20_240_607
 #: Shingles hashed at a time, and columns of a comparison at a time.
 STEP, COLUMNS = 4096, 1 << 14
@@ -226,13 +231,36 @@ def components(links: DataFrame) -> DataFrame:
         seen = now
 
 
-def _open_links(members: DataFrame, labels: DataFrame, reps: DataFrame, sets: DataFrame, percent: int, size: int) -> DataFrame:
-    """Links a, b between components that share a bucket (step 3)."""
-    own = members.join(labels, "id").join(labels.select(F.col("id").alias("center"), F.col("label").alias("main")), "center")
+def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """bucket, main (the label of most members), n_main and n_out (members with it and with others) of buckets with several labels."""
+    each = members.join(labels, "id").groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    per = each.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("all"))
+    return stash(per.select("bucket", F.col("most.label").alias("main"), F.col("most.n").alias("n_main"), (F.col("all") - F.col("most.n")).alias("n_out")).where("n_out > 0"), "mixed")
+
+
+def _star_pairs(crowd: DataFrame, labels: DataFrame, mixed: DataFrame, turn: int) -> DataFrame:
+    """a, b: two centers of each bucket, one inside and one outside of its main component, with the members that are not connected to them."""
+    own = crowd.join(labels, "id").join(mixed, "bucket").select("bucket", "id", "label", (F.col("label") != F.col("main")).alias("outside"))
+    drawn = F.min(F.struct(F.xxhash64("id", "bucket", F.lit(turn)), F.col("id").alias("a"), F.col("label").alias("la"))).alias("c")
+    centers = own.groupBy("bucket", "outside").agg(drawn).groupBy("bucket").agg(F.collect_list("c").alias("centers"))  # two at most
+    pairs = own.join(centers, "bucket").select("id", "label", F.explode("centers").alias("c")).where("label <> c.la")
+    return pairs.select(F.least("c.a", "id").alias("a"), F.greatest("c.a", "id").alias("b")).distinct()
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels``, one for all that the links connect."""
+    ends = [labels.select(F.col("id").alias(c), F.col("label").alias(f"l{c}")) for c in "ab"]
+    top = components(links.join(ends[0], "a").join(ends[1], "b").where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")))
+    top = top.select(F.col("id").alias("label"), F.col("component").alias("top"))
+    return stash(labels.join(top, "label", "left").select("id", F.coalesce("top", "label").alias("label")), "labels")
+
+
+def _open_links(members: DataFrame, labels: DataFrame, mixed: DataFrame, reps: DataFrame, sets: DataFrame, percent: int, size: int) -> DataFrame:
+    """Links a, b between components that share a bucket (step 4)."""
+    own = members.join(labels, "id")
     outside = F.col("label") != F.col("main")
-    per = own.groupBy("bucket").agg(F.count_if(~outside).alias("n_main"), F.count_if(outside).alias("n_out")).where("n_out > 0")
     number = lambda c: F.ceil(F.col(c) / size).cast("long")
-    per = per.select("bucket", number("n_main").alias("mains"), number("n_out").alias("outs"))
+    per = mixed.select("bucket", "main", number("n_main").alias("mains"), number("n_out").alias("outs"))
     spread = F.xxhash64("id", "bucket")
     block = F.when(outside, F.col("mains") + F.pmod(spread, F.greatest("outs", F.lit(1)))).otherwise(F.pmod(spread, F.greatest("mains", F.lit(1))))
     placed = own.join(per, "bucket").withColumn("block", block)
@@ -284,20 +312,37 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS,
         return facts, sets.select(F.col("id").alias(name), F.col("shingles").alias(f"{name}_set"))
 
     (a_facts, a_sets), (b_facts, b_sets) = side("a"), side("b")
-    star = members.where("id <> center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct()
     off = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in ("b2", "b3")), F.bit_count(F.col("a_b1").bitwiseXOR(F.col("b_b1"))))
     sized = 100 * F.least("a_n_shingles", "b_n_shingles") >= percent * F.greatest("a_n_shingles", "b_n_shingles")
-    likely = star.join(a_facts, "a").join(b_facts, "b").where((off <= BITS_OFF) & sized).select("a", "b")
     both = F.size(F.array_intersect("a_set", "b_set"))
     union = F.size("a_set") + F.size("b_set") - both
-    links = stash(likely.join(a_sets, "a").join(b_sets, "b").where(100 * both >= percent * union).select("a", "b"), "links")
+
+    def confirmed(star: DataFrame) -> DataFrame:
+        likely = star.join(a_facts, "a").join(b_facts, "b").where((off <= BITS_OFF) & sized).select("a", "b")
+        return stash(likely.join(a_sets, "a").join(b_sets, "b").where(100 * both >= percent * union).select("a", "b"), "links")
+
+    links = confirmed(members.where("id <> center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct())
 
     # part of the components, enough to spare comparing: the smallest center of each document, followed twice
     up = stash(links.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("label")), "labels")
     for _ in range(2):
         up = up.join(up.select(F.col("id").alias("label"), F.col("label").alias("next")), "label", "left").select("id", F.coalesce("next", "label").alias("label"))
     labels = stash(ids.join(up, "id", "left").select("id", F.coalesce("label", "id").alias("label")), "labels")
-    more = _open_links(members, labels, reps, sets, percent, block)
+    mixed = _mixed(members, labels)
+    crowded = lambda: mixed.where(F.col("n_out") > block)
+    cost = lambda: crowded().agg(F.sum(F.col("n_out") * (F.col("n_main") + F.col("n_out")))).first()[0] or 0
+    left = cost()
+    if left:
+        crowd = stash(members.join(crowded().select("bucket"), "bucket"), "crowd")
+        for turn in range(STARS):
+            new = confirmed(_star_pairs(crowd, labels, crowded(), turn))
+            labels = _merged(labels, new if turn else links.unionByName(new))
+            links, mixed = links.unionByName(new), _mixed(crowd, labels)
+            before, left = left, cost()
+            if 10 * left > 9 * before or not left:
+                break
+        mixed = _mixed(members, labels)
+    more = _open_links(members, labels, mixed, reps, sets, percent, block)
     found = components(links.unionByName(more))
     found = found.unionByName(found.select(F.col("component").alias("id"), "component").distinct())  # the smallest one too
     classes = reps.select("digest", F.col("rep").alias("id"), F.col("first.doc_id").alias("doc_id"))

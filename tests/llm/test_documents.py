@@ -241,6 +241,29 @@ def test_minhash_families(spark):
     near_check(spark.createDataFrame(made, "doc_id long, text string, lang string, source string, n_chars long"))
 
 
+def test_minhash_crowded_buckets(spark, monkeypatch):
+    """A connected family whose first stars reach few of its members is joined by further stars, not pair by pair."""
+    rng = np.random.default_rng(7)
+    made = []
+    for member in range(400):
+        words = [f"w{i}" for i in range(240)]
+        for at in rng.choice(240, 1 if member % 20 == 0 else 2, replace=False):
+            words[at] = f"x{member}at{at}"
+        made.append((int(rng.integers(0, 10**9)), " ".join(words), "en", "s", 1))
+    outside, real = [], minhash._open_links
+
+    def spy(members, labels, *rest):
+        by = defaultdict(list)
+        for r in members.join(labels, "id").groupBy("bucket", "label").count().collect():
+            by[r["bucket"]].append(r["count"])
+        outside.append(max(sum(n) - max(n) for n in by.values()))
+        return real(members, labels, *rest)
+
+    monkeypatch.setattr(minhash, "_open_links", spy)
+    near_check(spark.createDataFrame(made, "doc_id long, text string, lang string, source string, n_chars long"))
+    assert outside[0] <= minhash.BLOCK
+
+
 def test_pieces(documents, odd, nothing):
     import sentencepiece
 
