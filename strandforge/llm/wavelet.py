@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bound_batches, fresh_path, slices, stash
-from .wordbpe import encoder
+from .wordbpe import encoder, with_ends
 
 MAGIC = b"SFWM0002"
 HEADER = "<QQIIQQQ"  # documents, ids, planes, words of a frame, then compressed bytes of directory, lengths, doc ids
@@ -48,12 +48,6 @@ def _narrow(planes: int) -> type:
     return np.uint16 if planes <= 16 else np.uint32
 
 
-def _split(bit: np.ndarray) -> tuple[np.ndarray, int]:
-    """(positions of the zeros, then of the ones; how many zeros)"""
-    low = np.flatnonzero(~bit)
-    return np.concatenate([low, np.flatnonzero(bit)]), len(low)
-
-
 @dataclass
 class WaveletMatrix:
     """Bit-planes over ``size`` ids. ``words[k]``: plane k in 64-bit words, bit i of the plane at word i // 64."""
@@ -70,9 +64,10 @@ class WaveletMatrix:
         for k in range(planes):
             bit = now & now.dtype.type(1 << (planes - 1 - k)) != 0
             packed = np.packbits(bit, bitorder="little")
-            words[k] = np.frombuffer(packed.tobytes().ljust(8 * width, b"\0"), "<u8")
-            order, zeros[k] = _split(bit)
-            now = now[order]
+            words[k].view(np.uint8)[: len(packed)] = packed
+            low = np.compress(~bit, now)
+            zeros[k] = len(low)
+            now = np.concatenate([low, np.compress(bit, now)])
         return cls(len(ids), zeros, words)
 
     def _bits(self, k: int) -> np.ndarray:
@@ -139,8 +134,11 @@ class WaveletMatrix:
         now = np.zeros(self.size, _narrow(len(self.words)))
         for k in reversed(range(len(self.words))):
             now[self.zeros[k] :] |= now.dtype.type(1 << (len(self.words) - 1 - k))
-            up = np.empty_like(now)
-            up[_split(self._bits(k))[0]] = now
+            up, bit = np.empty_like(now), self._bits(k)
+            # zeros come first, then ones; place() repeats what is too short, so none is given where there is none
+            for where, part in ((~bit, now[: self.zeros[k]]), (bit, now[self.zeros[k] :])):
+                if len(part):
+                    np.place(up, where, part)
             now = up
         return now.astype(np.uint32)
 
@@ -341,7 +339,7 @@ def write_shards(docs: DataFrame, path: str, folder: str | None = None, end_id:
             ids, ends = encoder(path).encode(batch.column(1))
             begins = np.concatenate([[0], ends[:-1]])
             # the end id goes behind each document
-            whole = np.insert(ids, ends, np.uint32(end_id)).astype(np.uint32)
+            whole = with_ends(ids, ends, end_id)
             held.append(whole)
             names += [NO_ID if x is None else x for x in batch.column(0).to_pylist()]
             lengths += (ends - begins + 1).tolist()

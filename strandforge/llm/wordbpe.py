@@ -1,8 +1,9 @@
-"""Whole-text encoding with a ``tokenizers`` file through a table of distinct white-space chunks.
+"""Whole-text encoding with a ``tokenizers`` file through tables of words.
 
 The word-level BPE file drops white space and no pre-token crosses it, so a text's ids are the ids of its chunks in
-order. Each worker keeps a bounded table chunk -> ids; a text costs one table lookup per chunk, and the library is
-asked only for chunks not yet in the table. Files with another layout are encoded text by text.
+order, and those of a chunk of plain letters are the ids of its words. The distinct chunks of a batch are cut into words at once.
+Each worker keeps two bounded tables word -> ids, the words met lately and those before, and the library is asked only for words
+that are in neither, for all of a batch at once. Files with another layout are encoded text by text.
 """
 
 from __future__ import annotations
@@ -16,12 +17,17 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Entries after which a worker starts a table afresh (under 100 MB each).
-TABLE_ENTRIES = 500_000
+#: Entries of each of a worker's two tables (some 150 bytes each).
+TABLE_ENTRIES = 300_000
 
 # The file's split pattern and normalisers, and the same pattern over the characters of the fast path.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+LEARNT = 1 << 14
+#: Bytes of lower-case letters up to ÿ that do not stand for themselves.
+SHOWN_ELSE = (0x9F, 0xA0, 0xAD)
+#: Stands for a chunk of other letters; no plain one holds it.
+ODD = "\0"
 SIMPLE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\na-z0-9ß-öø-ÿ]+|\n"
 
 _simple = re.compile("[!-~À-ÖØ-öø-ÿ]+").fullmatch
@@ -51,45 +57,62 @@ class WordBpe:
         self.bytes_as = byte_alphabet()
         self.bare = Tokenizer(self.library.model)  # for words that are split and mapped already
         self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-        self.words: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
-
-    def _learn_words(self, words: list[str]) -> None:
-        """Ids of words in one library call, each followed by a digit, which no such word holds."""
-        mark = "0"
-        end = self.bare.encode(mark).ids
-        plain = [w for w in words if mark not in w] if len(end) == 1 else []
-        shown = [w if w.isascii() else "".join(self.bytes_as[b] for b in w.encode()) for w in plain]
-        ids = np.array(self.bare.encode_batch_fast([f" {mark} ".join([*shown, ""])])[0].ids, "<u4") if plain else np.zeros(0, "<u4")
-        ends = np.flatnonzero(ids == end[0]) if plain else []
-        raw, stops = ids.tobytes(), (4 * ends).tolist() if plain else []
-        # the mark after each word is one id
-        self.words.update(zip(plain, [raw[a:b] for a, b in zip([0, *(x + 4 for x in stops[:-1])], stops, strict=False)], strict=True))
-        for word in words if len(plain) < len(words) else []:
-            if word not in self.words:
-                shown = "".join(self.bytes_as[b] for b in word.encode())
-                self.words[word] = np.array(self.bare.encode(shown).ids, "<u4").tobytes()
-
-    def _learn(self, chunks: list[str]) -> None:
-        simple = list(filter(_simple, chunks))
-        whole = "\n".join(simple)
+        mark = self.bare.encode(self.bytes_as[0]).ids
+        self.mark = mark[0] if len(mark) == 1 else None
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.odd: dict[str, bytes] = {}
+
+    def _learn(self, words: list[str]) -> list[bytes]:
+        """Ids of words of plain letters, LEARNT in a library call, each followed by a mark, which no such word holds."""
+        if len(words) > LEARNT:  # the library takes some 150 bytes for each id
+            return [ids for at in range(0, len(words), LEARNT) for ids in self._learn(words[at : at + LEARNT])]
+        shown = " \n ".join([*words, ""])
+        if not shown.isascii():
+            shown = shown.encode().decode("latin-1")
+            for b in SHOWN_ELSE:
+                shown = shown.replace(chr(b), self.bytes_as[b])
+        ids = np.array(self.bare.encode_batch_fast([shown.replace("\n", self.bytes_as[0])])[0].ids, "<u4")
+        raw, stops = ids.tobytes(), (4 * np.flatnonzero(ids == self.mark)).tolist()
+        return [raw[a:b] for a, b in zip([0, *(x + 4 for x in stops[:-1])], stops, strict=True)]
+
+    def _words(self, flat: list[str]) -> list[bytes]:
+        """Ids of words. What was met lately is in two tables: the younger becomes the older one when it is full."""
+        if len(self.young) > TABLE_ENTRIES:
+            self.young, self.old = {}, self.young
+        found = list(map(self.young.get, flat))
+        if missing := [n for n, ids in enumerate(found) if ids is None]:
+            new = list({flat[n] for n in missing})
+            known = dict(zip(new, map(self.old.get, new), strict=True))
+            if unknown := [w for w, ids in known.items() if ids is None]:
+                known.update(zip(unknown, self._learn(unknown), strict=True))
+            self.young.update(known)
+            for n in missing:
+                found[n] = known[flat[n]]
+        return found
+
+    def _chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all chunks, end of each chunk in them)"""
+        plain = list(map(bool, map(_simple, chunks))) if self.mark is not None else [False] * len(chunks)
+        whole = "\n".join(chunks)
         if special := [s for s in self.special if s in whole]:
-            simple = [c for c in simple if not any(s in c for s in special)]
-        flat = _pieces("\n".join([*simple, ""]).lower())
-        known = self.words
-        known["\n"] = b""  # stands behind each chunk
-        if new := list(set(flat).difference(known)):
-            self._learn_words(new)
-        parts = list(map(known.__getitem__, flat))
-        ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
-        stops = ends[np.fromiter(map("\n".__eq__, flat), bool, len(flat))].tolist()
-        raw = b"".join(parts)
-        self.chunks.update(zip(simple, [raw[a:b] for a, b in zip([0, *stops], stops, strict=False)], strict=True))
-        if len(simple) == len(chunks):
-            return
-        for c in chunks:
-            if c not in self.chunks:
-                self.chunks[c] = np.array(self.library.encode(c, add_special_tokens=False).ids, "<u4").tobytes()
+            plain = [p and not any(s in c for s in special) for p, c in zip(plain, chunks, strict=True)]
+        odd = [] if all(plain) else [c for p, c in zip(plain, chunks, strict=True) if not p]
+        if odd:
+            whole = "\n".join([c if p else ODD for p, c in zip(plain, chunks, strict=True)])
+        self.young["\n"], self.young[ODD] = b"", b""  # stand behind each chunk, and for one of other letters
+        flat = _pieces(f"{whole}\n".lower()) if chunks else []
+        parts = self._words(flat)
+        if odd:
+            if len(self.odd) > TABLE_ENTRIES:
+                self.odd.clear()
+            for c in odd:
+                if c not in self.odd:
+                    self.odd[c] = np.array(self.library.encode(c, add_special_tokens=False).ids, "<u4").tobytes()
+            for n, c in zip((n for n, w in enumerate(flat) if w == ODD), odd, strict=True):
+                parts[n] = self.odd[c]
+        ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts))) // 4
+        return np.frombuffer(b"".join(parts), "<u4"), ends[np.fromiter(map("\n".__eq__, flat), bool, len(flat))]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, end of each text in them); null counts as empty."""
@@ -97,30 +120,32 @@ class WordBpe:
         if not self.by_chunk:
             found = [np.array(x.ids, "<u4") for x in self.library.encode_batch(texts.to_pylist(), add_special_tokens=False)]
             return np.concatenate([np.zeros(0, "<u4"), *found]), np.cumsum([len(x) for x in found], dtype=np.int64)
-        if len(self.chunks) > TABLE_ENTRIES:
-            self.chunks.clear()
-        if len(self.words) > TABLE_ENTRIES:
-            self.words.clear()
         lists = pc.ascii_split_whitespace(texts)  # ASCII white space only; other white space stays in its chunk
         coded = pc.list_flatten(lists).dictionary_encode()
         if isinstance(coded, pa.ChunkedArray):
             coded = coded.combine_chunks()
-        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        found = list(map(self.chunks.get, distinct))
-        if new := [c for c, ids in zip(distinct, found, strict=True) if ids is None]:
-            self._learn(new)
-            found = list(map(self.chunks.__getitem__, distinct))
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        flat = np.frombuffer(b"".join(found), "<u4")
+        flat, stops = self._chunks(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
         at = coded.indices.to_numpy(zero_copy_only=False)
-        counts = sizes[at]
-        ends = np.cumsum(counts)
-        starts = np.cumsum(sizes) - sizes
-        ids = flat[np.repeat(starts[at] - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)]
+        sizes = np.diff(stops, prepend=0)[at]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        kind = np.int32 if total < 1 << 31 and len(flat) < 1 << 31 else np.int64
+        first = np.concatenate([[0], stops[:-1]])[at] if total else ends
+        ids = flat[np.repeat((first - ends + sizes).astype(kind), sizes) + np.arange(total, dtype=kind)]
         per_text = lists.offsets.to_numpy()[1:] - lists.offsets.to_numpy()[0]
         return ids, np.concatenate([[0], ends])[per_text]
 
 
+def with_ends(ids: np.ndarray, ends: np.ndarray, end_id: int) -> np.ndarray:
+    """Little-endian ids with the end id behind each text."""
+    out = np.full(len(ids) + len(ends), end_id, "<u4")
+    own = np.ones(len(out), bool)
+    own[ends + np.arange(len(ends))] = False
+    if len(ids):
+        np.place(out, own, ids)
+    return out
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> WordBpe:
     """One encoder for each worker process and file."""

@@ -68,6 +68,41 @@ def test_plan_is_close_to_the_bound():
     assert len(filled) <= 1.05 * sum(n * c for n, c in counts.items()) / 4096 + 1
 
 
+def test_encoder_tables(monkeypatch):
+    """What a worker holds is bounded, the library gets few words at a time, and a word in use is asked for once."""
+    import pyarrow as pa
+
+    from strandforge.llm import wordbpe
+
+    asked, real = Counter(), wordbpe.WordBpe._learn
+
+    def learn(self, words):
+        if len(words) <= wordbpe.LEARNT:
+            asked.update(words)
+        return real(self, words)
+
+    monkeypatch.setattr(wordbpe, "TABLE_ENTRIES", 100)
+    monkeypatch.setattr(wordbpe, "LEARNT", 32)
+    monkeypatch.setattr(wordbpe.WordBpe, "_learn", learn)
+    one = wordbpe.WordBpe(WORD_BPE)
+    letters = [a + b for a in "bcdfghßé" for b in "aeiou"]
+    for n in range(40):
+        text = " ".join(["Often", *(f"{letters[n]}{x},{letters[-n]}" for x in letters), "日本%", "x'll\u0085<|endoftext|>"])
+        ids, ends = one.encode(pa.array([text, None, ""]))
+        assert ids.tolist() == tokens(text)[:-1].tolist() and ends.tolist() == [len(ids)] * 3
+        assert len(one.young) <= 200 and len(one.old) <= 200 and len(one.odd) <= 102
+    assert asked["often"] == 1 and len(asked) > 1000
+    assert wordbpe.with_ends(np.array([7, 8, 9], "<u4"), np.array([0, 2, 2, 3]), 1).tolist() == [1, 7, 8, 1, 1, 9, 1]
+
+
+def test_wavelet_no_positions(monkeypatch):
+    """Planes are split by the bits themselves, not by 64-bit positions of them."""
+    ids = np.random.default_rng(3).integers(0, 49_152, 5_001)
+    monkeypatch.setattr(np, "flatnonzero", None)
+    for some in (ids, ids[:1] * 0, ids[:64] * 0 + 3):
+        assert wavelet.WaveletMatrix.build(some).decode().tolist() == some.tolist()
+
+
 def test_wavelet(documents, odd, nothing, spark):
     def check(df):
         manifest = wavelet.write_shards(df, WORD_BPE, shard_ids=5000)
