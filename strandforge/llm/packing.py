@@ -31,8 +31,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bound_batches, slices, stash
-from .wordbpe import encoder
+from .wordbpe import encoder, with_ends
 
+#: Bytes of text encoded at a time: a byte takes some thirty of numbers, words and ids.
+TEXT_STEP = 2 << 20
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, split int, place long"
 
 
@@ -45,9 +47,9 @@ def pieces(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, id
 
         split = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)  # pieces of each length so far
-        for batch in slices(batches):
+        for batch in slices(batches, limit=TEXT_STEP):
             ids, ends = encoder(path).encode(batch.column(1))
-            whole = np.insert(ids, ends, np.uint32(end_id)).astype("<u4", copy=False)
+            whole = with_ends(ids, ends, end_id)
             sizes = np.diff(ends, prepend=0) + 1
             parts = -(-sizes // capacity)
             doc = np.repeat(np.arange(len(sizes)), parts)
@@ -55,7 +57,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, id
             start = piece * capacity
             length = np.minimum(sizes[doc] - start, capacity)
             begin = (np.cumsum(sizes) - sizes)[doc] + start
-            raw = memoryview(whole.tobytes())
+            raw = memoryview(whole).cast("B")
             crc = [zlib.crc32(raw[a:b]) for a, b in zip((4 * begin).tolist(), (4 * (begin + length)).tolist(), strict=True)]
             # rank among the pieces of a length: in order of length, places behind the first of each
             order = np.argsort(length, kind="stable")
