@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from typing import TYPE_CHECKING
 
@@ -81,3 +82,10 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             yield batch.slice(start, stop - start)
             start = stop
         pa.default_memory_pool().release_unused()
+    trim()
+
+
+def trim() -> None:
+    """Give freed memory back at a task's end: Spark keeps the worker process, and others beside it, for later tasks."""
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):  # glibc
+        libc.malloc_trim(0)

@@ -1,6 +1,7 @@
 """Operators on pages and vectors, the registered queries, the pipeline."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -156,3 +157,15 @@ def test_products_of_large_numbers():
     assert topk._products(a, b, False).tolist() == want
     huge = np.array([[2.0**60, -3.0]])
     assert topk._products(huge, huge, False).tolist() == [[topk.LARGEST]] and topk._products(huge, -huge, False).tolist() == [[topk.EMPTY + 1]]
+
+
+def test_slices_give_memory_back(monkeypatch):
+    """A task's freed memory goes back when its last batch is done, not before."""
+    from strandforge.llm import common
+
+    called = []
+    monkeypatch.setattr(common, "trim", lambda: called.append(1))
+    batch = pa.RecordBatch.from_arrays([pa.array(["abc", None, "d" * 9])], names=["text"])
+    found = common.slices(iter([batch, batch]), limit=4)
+    assert [next(found).num_rows for _ in range(4)] == [2, 1, 2, 1] and not called
+    assert list(found) == [] and called == [1]
