@@ -33,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bound_batches, discard, slices, stash
@@ -43,6 +43,8 @@ WORDS, PERCENT, BLOCK = 5, 85, 128
 #: Rounds of further stars at most; they end before where a round saves less than a tenth of the comparing.
 STARS = 8
 SEED = 20_240_607
+#: What bounds the similarity of a pair without its sets.
+FACTS = ("n_shingles", "b1", "b2", "b3")
 #: Shingles hashed at a time, and columns of a comparison at a time.
 STEP, COLUMNS = 4096, 1 << 14
 #: Bytes of text hashed at a time: a byte takes some twenty of numbers.
@@ -238,12 +240,19 @@ def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
     return stash(per.select("bucket", F.col("most.label").alias("main"), F.col("most.n").alias("n_main"), (F.col("all") - F.col("most.n")).alias("n_out")).where("n_out > 0"), "mixed")
 
 
-def _star_pairs(crowd: DataFrame, labels: DataFrame, mixed: DataFrame, turn: int) -> DataFrame:
-    """a, b: two centers of each bucket, one inside and one outside of its main component, with the members that are not connected to them."""
-    own = crowd.join(labels, "id").join(mixed, "bucket").select("bucket", "id", "label", (F.col("label") != F.col("main")).alias("outside"))
-    drawn = F.min(F.struct(F.xxhash64("id", "bucket", F.lit(turn)), F.col("id").alias("a"), F.col("label").alias("la"))).alias("c")
+def _likely(a: str, b: str, percent: int) -> Column:
+    """Whether bits and sizes leave a pair open; ``a`` and ``b`` stand before the names of its columns."""
+    off = sum((F.bit_count(F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}"))) for c in ("b2", "b3")), F.bit_count(F.col(f"{a}b1").bitwiseXOR(F.col(f"{b}b1"))))
+    return (off <= BITS_OFF) & (100 * F.least(f"{a}n_shingles", f"{b}n_shingles") >= percent * F.greatest(f"{a}n_shingles", f"{b}n_shingles"))
+
+
+def _star_pairs(crowd: DataFrame, labels: DataFrame, mixed: DataFrame, turn: int, percent: int) -> DataFrame:
+    """a, b: two centers of each bucket, one inside and one outside of its main component, with the members that are not connected to
+    them and may be similar enough. ``crowd`` has bucket, id and FACTS, so that only such pairs are shuffled."""
+    own = crowd.join(labels, "id").join(mixed, "bucket").select("bucket", "id", "label", *FACTS, (F.col("label") != F.col("main")).alias("outside"))
+    drawn = F.min(F.struct(F.xxhash64("id", "bucket", F.lit(turn)), F.col("id").alias("a"), F.col("label").alias("la"), *FACTS)).alias("c")
     centers = own.groupBy("bucket", "outside").agg(drawn).groupBy("bucket").agg(F.collect_list("c").alias("centers"))  # two at most
-    pairs = own.join(centers, "bucket").select("id", "label", F.explode("centers").alias("c")).where("label <> c.la")
+    pairs = own.join(centers, "bucket").select("id", "label", *FACTS, F.explode("centers").alias("c")).where((F.col("label") != F.col("c.la")) & _likely("c.", "", percent))
     return pairs.select(F.least("c.a", "id").alias("a"), F.greatest("c.a", "id").alias("b")).distinct()
 
 
@@ -308,20 +317,18 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS,
     sets = stash(shingle_sets(_texts(docs, id_col, text_col).join(wanted, ["doc_id", "t1", "t2"]).dropDuplicates(["id"]).select("id", "text"), words), "sets")
 
     def side(name: str) -> tuple[DataFrame, DataFrame]:
-        facts = reps.select(F.col("rep").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in ("n_shingles", "b1", "b2", "b3")))
+        facts = reps.select(F.col("rep").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in FACTS))
         return facts, sets.select(F.col("id").alias(name), F.col("shingles").alias(f"{name}_set"))
 
     (a_facts, a_sets), (b_facts, b_sets) = side("a"), side("b")
-    off = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in ("b2", "b3")), F.bit_count(F.col("a_b1").bitwiseXOR(F.col("b_b1"))))
-    sized = 100 * F.least("a_n_shingles", "b_n_shingles") >= percent * F.greatest("a_n_shingles", "b_n_shingles")
     both = F.size(F.array_intersect("a_set", "b_set"))
     union = F.size("a_set") + F.size("b_set") - both
 
-    def confirmed(star: DataFrame) -> DataFrame:
-        likely = star.join(a_facts, "a").join(b_facts, "b").where((off <= BITS_OFF) & sized).select("a", "b")
+    def confirmed(likely: DataFrame) -> DataFrame:
         return stash(likely.join(a_sets, "a").join(b_sets, "b").where(100 * both >= percent * union).select("a", "b"), "links")
 
-    links = confirmed(members.where("id <> center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct())
+    star = members.where("id <> center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct()
+    links = confirmed(star.join(a_facts, "a").join(b_facts, "b").where(_likely("a_", "b_", percent)).select("a", "b"))
 
     # part of the components, enough to spare comparing: the smallest center of each document, followed twice
     up = stash(links.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("label")), "labels")
@@ -333,9 +340,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS,
     cost = lambda: crowded().agg(F.sum(F.col("n_out") * (F.col("n_main") + F.col("n_out")))).first()[0] or 0
     left = cost()
     if left:
-        crowd = stash(members.join(crowded().select("bucket"), "bucket"), "crowd")
+        facts = reps.select(F.col("rep").alias("id"), *FACTS)
+        crowd = stash(members.join(crowded().select("bucket"), "bucket").join(facts, "id").select("bucket", "id", *FACTS), "crowd")
         for turn in range(STARS):
-            new = confirmed(_star_pairs(crowd, labels, crowded(), turn))
+            new = confirmed(_star_pairs(crowd, labels, crowded(), turn, percent))
             labels = _merged(labels, new if turn else links.unionByName(new))
             links, mixed = links.unionByName(new), _mixed(crowd, labels)
             before, left = left, cost()

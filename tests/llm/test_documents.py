@@ -299,6 +299,21 @@ def test_minhash_crowded_buckets(spark, monkeypatch):
     assert outside[0] <= minhash.BLOCK
 
 
+def test_minhash_stars_leave_out_unlikely_pairs(spark):
+    """Members of a crowded bucket that bits or sizes rule out reach no join; the others all do, from one center or the other."""
+    rows_ = [(1, n, 100 if n % 3 else 50, *((0, 0, 0) if n % 2 else (-1, 0, 0))) for n in range(40)]
+    crowd = spark.createDataFrame(rows_, "bucket long, id long, n_shingles long, b1 long, b2 long, b3 long")
+    labels = spark.createDataFrame([(n, min(n, 20)) for n in range(40)], "id long, label long")
+    mixed = minhash._mixed(crowd.select("bucket", "id"), labels)
+    label = {r["id"]: r["label"] for r in labels.collect()}
+    likely = {(a, b) for a in range(40) for b in range(a) if (a % 3 > 0) == (b % 3 > 0) and a % 2 == b % 2 and label[a] != label[b]}
+    for turn in range(3):
+        got = {(r["b"], r["a"]) for r in minhash._star_pairs(crowd, labels, mixed, turn, 85).collect()}
+        assert got and got <= likely
+        centers = [n for n in range(40) if {p for p in likely if n in p} <= got]
+        assert centers and all(any(c in p for c in centers) for p in got)
+
+
 def test_pieces(documents, odd, nothing):
     import sentencepiece
 
