@@ -28,6 +28,8 @@ LEARNT = 1 << 14
 SHOWN_ELSE = (0x9F, 0xA0, 0xAD)
 #: Stands for a chunk of other letters; no plain one holds it.
 ODD = "\0"
+#: Stands behind the ids of each chunk; no id is so large.
+CUT = np.uint32(0xFFFFFFFF)
 SIMPLE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\na-z0-9ß-öø-ÿ]+|\n"
 
 _simple = re.compile("[!-~À-ÖØ-öø-ÿ]+").fullmatch
@@ -76,20 +78,15 @@ class WordBpe:
         raw, stops = ids.tobytes(), (4 * np.flatnonzero(ids == self.mark)).tolist()
         return [raw[a:b] for a, b in zip([0, *(x + 4 for x in stops[:-1])], stops, strict=True)]
 
-    def _words(self, flat: list[str]) -> list[bytes]:
-        """Ids of words. What was met lately is in two tables: the younger becomes the older one when it is full."""
+    def _meet(self, words: set[str]) -> None:
+        """Put the ids of words into the younger table. What was met lately is in two: the younger becomes the older one when it is full."""
         if len(self.young) > TABLE_ENTRIES:
             self.young, self.old = {}, self.young
-        found = list(map(self.young.get, flat))
-        if missing := [n for n, ids in enumerate(found) if ids is None]:
-            new = list({flat[n] for n in missing})
-            known = dict(zip(new, map(self.old.get, new), strict=True))
-            if unknown := [w for w, ids in known.items() if ids is None]:
-                known.update(zip(unknown, self._learn(unknown), strict=True))
-            self.young.update(known)
-            for n in missing:
-                found[n] = known[flat[n]]
-        return found
+        new = words.difference(self.young)
+        known = {w: ids for w in new if (ids := self.old.get(w)) is not None}
+        self.young.update(known)
+        if unknown := list(new.difference(known)):
+            self.young.update(zip(unknown, self._learn(unknown), strict=True))
 
     def _chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all chunks, end of each chunk in them)"""
@@ -100,10 +97,12 @@ class WordBpe:
         odd = [] if all(plain) else [c for p, c in zip(plain, chunks, strict=True) if not p]
         if odd:
             whole = "\n".join([c if p else ODD for p, c in zip(plain, chunks, strict=True)])
-        self.young["\n"], self.young[ODD] = b"", b""  # stand behind each chunk, and for one of other letters
+        self.young["\n"], self.young[ODD] = CUT.tobytes(), b""  # stand behind each chunk, and for one of other letters
         flat = _pieces(f"{whole}\n".lower()) if chunks else []
-        parts = self._words(flat)
+        self._meet(set(flat))
+        parts = map(self.young.__getitem__, flat)
         if odd:
+            parts = list(parts)
             if len(self.odd) > TABLE_ENTRIES:
                 self.odd.clear()
             for c in odd:
@@ -111,8 +110,10 @@ class WordBpe:
                     self.odd[c] = np.array(self.library.encode(c, add_special_tokens=False).ids, "<u4").tobytes()
             for n, c in zip((n for n, w in enumerate(flat) if w == ODD), odd, strict=True):
                 parts[n] = self.odd[c]
-        ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts))) // 4
-        return np.frombuffer(b"".join(parts), "<u4"), ends[np.fromiter(map("\n".__eq__, flat), bool, len(flat))]
+        found = np.frombuffer(b"".join(parts), "<u4")
+        cut = found == CUT
+        ends = np.flatnonzero(cut)
+        return found[~cut], ends - np.arange(len(ends))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, end of each text in them); null counts as empty."""

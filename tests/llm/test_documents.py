@@ -95,6 +95,28 @@ def test_encoder_tables(monkeypatch):
     assert wordbpe.with_ends(np.array([7, 8, 9], "<u4"), np.array([0, 2, 2, 3]), 1).tolist() == [1, 7, 8, 1, 1, 9, 1]
 
 
+def test_encoder_looks_distinct_words_up():
+    """Which words are new is asked for distinct words by sets, not place by place."""
+    import pyarrow as pa
+
+    from strandforge.llm import wordbpe
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *key):
+            Counted.asked += 1
+            return super().get(*key)
+
+    one = wordbpe.WordBpe(WORD_BPE)
+    one.young, one.old = Counted(), Counted()
+    text = " ".join(f"often,{a}{b}" for a in "abcdefgh" for b in "stuvwxyz") + " 日本 x'll"
+    for _ in range(2):
+        ids, ends = one.encode(pa.array(["", text, None, text]))
+        assert ids.tolist() == 2 * tokens(text)[:-1].tolist() and ends.tolist() == [0, len(ids) // 2, len(ids) // 2, len(ids)]
+    assert Counted.asked <= len(one.young) < 100
+
+
 def test_wavelet_no_positions(monkeypatch):
     """Planes are split by the bits themselves, not by 64-bit positions of them."""
     ids = np.random.default_rng(3).integers(0, 49_152, 5_001)
