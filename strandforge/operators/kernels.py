@@ -55,10 +55,12 @@ def distinct_kmers(df: DataFrame, seq: str, k: int) -> DataFrame:
 MOST_NGRAMS = 10_000
 #: Symbols whose windows are counted at a time, of a sequence at least.
 SYMBOLS = 1 << 20
+#: Symbols of the n-grams of a vocabulary at most that every task holds (4 bytes each, and 16 for a gram); a larger one is joined.
+HELD = 1 << 22
 
 
-def counted_windows(texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols of all texts, number of the text, first place, number) of each distinct window of ``k`` symbols of each text."""
+def coded_windows(texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols of all texts, number of the text of each, code of the ``k`` symbols from each on, places from which these lie in one text)."""
     symbols = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     sizes = np.array([len(t) for t in texts], np.int64)
     of = np.repeat(np.arange(len(texts)), sizes)
@@ -70,7 +72,12 @@ def counted_windows(texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray, n
             windows = np.unique(windows, return_inverse=True)[1].astype(np.int64)
             base = int(windows.max(initial=0)) + 1
         windows = windows[:-1] * (int(code.max(initial=0)) + 1) + one[n:] if len(windows) > 1 else windows[:0]
-    inside = np.flatnonzero(of[: len(windows)] == of[k - 1 :][: len(windows)])
+    return symbols, of, windows, np.flatnonzero(of[: len(windows)] == of[k - 1 :][: len(windows)])
+
+
+def counted_windows(texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols of all texts, number of the text, first place, number) of each distinct window of ``k`` symbols of each text."""
+    symbols, of, windows, inside = coded_windows(texts, k)
     order = inside[np.lexsort((windows[inside], of[inside]))]
     new = np.ones(len(order), bool)
     new[1:] = (np.diff(windows[order]) != 0) | (np.diff(of[order]) != 0)
@@ -78,24 +85,38 @@ def counted_windows(texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray, n
     return symbols, of[order[starts]], order[starts], np.diff(np.append(starts, len(order)))
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str]]]:
+    """Keys and texts of two columns, about SYMBOLS symbols at a time, one row at least."""
+    for batch in batches:
+        texts = [t or "" for t in batch.column(1).to_pylist()]
+        ends = np.cumsum([0, *map(len, texts)])
+        at = 0
+        while at < len(texts):
+            stop = max(at + 1, int(np.searchsorted(ends, ends[at] + SYMBOLS, "right")) - 1)
+            yield batch.column(0).slice(at, stop - at), texts[at:stop]
+            at = stop
+
+
+def _strings(parts: np.ndarray) -> list[str] | np.ndarray:
+    """Each row of code points as a string; numpy's own strings lose a NUL at the end."""
+    k = parts.shape[1]
+    if parts.all():
+        return np.ascontiguousarray(parts).view(f"<U{k}").ravel()
+    text = parts.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+    return [text[i : i + k] for i in range(0, len(text), k)]
+
+
 def row_ngrams(df: DataFrame, key: str, seq: str, low: int, high: int) -> DataFrame:
     """key, gram, n: how often each n-gram of ``low`` to ``high`` symbols occurs in the sequence of each row; nothing is shuffled."""
     if not 1 <= low <= high:
         raise ValueError("lengths of n-grams are from 1 up")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            ends = np.cumsum([0, *map(len, texts)])
-            at = 0
-            while at < len(texts):
-                stop = max(at + 1, int(np.searchsorted(ends, ends[at] + SYMBOLS, "right")) - 1)
-                for k in range(low, high + 1):
-                    symbols, row, first, n = counted_windows(texts[at:stop], k)
-                    parts = symbols[first[:, None] + np.arange(k)] if len(first) else np.zeros((0, k), np.uint32)
-                    grams = np.ascontiguousarray(parts).view(f"<U{k}").ravel()
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + at)), pa.array(grams, pa.string()), pa.array(n)], names=[key, "gram", "n"])
-                at = stop
+        for keys, texts in _pieces(batches):
+            for k in range(low, high + 1):
+                symbols, row, first, n = counted_windows(texts, k)
+                parts = symbols[first[:, None] + np.arange(k)] if len(first) else np.zeros((0, k), np.uint32)
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(row)), pa.array(_strings(parts), pa.string()), pa.array(n)], names=[key, "gram", "n"])
 
     return df.select(key, seq).mapInArrow(count, f"`{key}` {dict(df.dtypes)[key]}, gram string, n long")
 
@@ -114,17 +135,72 @@ def vocabulary_table(df: DataFrame, seq: str, low: int, high: int) -> DataFrame:
 def sparse_ngrams(df: DataFrame, key: str, seq: str, low: int, high: int, vocabulary: DataFrame | None = None) -> DataFrame:
     """key, size, indices, counts: each row's n-grams as a sparse vector over a vocabulary (gram, id, n), learned from the table unless it is given.
 
-    Grams become ids by a join with the vocabulary, in which frequent ones are salted; grams outside of it are ignored. A row
-    without any has empty arrays. The vocabulary is never gathered; ``key`` names each row once.
+    A vocabulary of HELD symbols at most is broadcast: grams become ids where they are counted, and nothing is shuffled. With a larger
+    one, which is never gathered, they do by a join in which frequent ones are salted. Grams outside of it are ignored. A row
+    without any has empty arrays. ``key`` names each row once, ``gram`` each of the vocabulary's.
     """
-    known = (vocabulary_table(df, seq, low, high) if vocabulary is None else vocabulary).select("gram", F.col("id").alias("__id"), F.col("n").alias("__weight"))
+    if not 1 <= low <= high:
+        raise ValueError("lengths of n-grams are from 1 up")
+    given = vocabulary_table(df, seq, low, high) if vocabulary is None else vocabulary
+    known = given.select("gram", F.col("id").cast("long").alias("__id"), F.col("n").alias("__weight"))
+    fits = F.char_length("gram").between(low, high) & F.col("__id").isNotNull()
+    last, n = known.agg(F.max("__id"), F.count(F.when(fits, 1))).first()
+    size = F.lit(0 if last is None else last + 1).cast("long")
+    if n * high <= HELD:
+        return _held_ngrams(df, key, seq, low, high, known.where(fits)).select(key, size.alias("size"), "indices", "counts")
     rows = df.select(F.col(key).alias("__key"), F.col(seq).alias("__seq"))
     coded = looked_up(row_ngrams(rows, "__key", "__seq", low, high), known, ["gram"], "__weight").where("__id is not null")
     per = coded.groupBy("__key").agg(F.array_sort(F.collect_list(F.struct("__id", "n"))).alias("__v"))  # a row's own n-grams
-    size = known.agg((F.coalesce(F.max("__id"), F.lit(-1)) + 1).alias("size"))
     part = lambda c: F.coalesce(F.transform("__v", lambda x: x[c]), F.array().cast("array<long>"))
-    vectors = rows.select("__key").join(per, "__key", "left").crossJoin(F.broadcast(size))  # one row
-    return vectors.select(F.col("__key").alias(key), "size", part("__id").alias("indices"), part("n").alias("counts"))
+    vectors = rows.select("__key").join(per, "__key", "left")
+    return vectors.select(F.col("__key").alias(key), size.alias("size"), part("__id").alias("indices"), part("n").alias("counts"))
+
+
+def _points(texts: list[str], width: int) -> np.ndarray:
+    """Texts of at most ``width`` symbols as keys in the order of their code points, one more than these each: 0 only fills up."""
+    symbols = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    sizes = np.array([len(t) for t in texts], np.int64)
+    out = np.zeros((len(texts), width), np.uint32)
+    out[np.repeat(np.arange(len(texts)), sizes), np.arange(len(symbols)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = symbols + 1
+    return out.view(f"<U{width}").ravel()
+
+
+def known_windows(texts: list[str], low: int, high: int, grams: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of the text, rank, number) of each distinct window of ``low`` to ``high`` symbols of each text that is one of ``grams`` (sorted keys by _points), in order."""
+    found = [np.zeros(0, np.int64)]
+    for k in range(low, high + 1) if len(grams) else ():
+        symbols, of, windows, inside = coded_windows(texts, k)
+        if not len(inside):
+            continue
+        _, first, which = np.unique(windows[inside], return_index=True, return_inverse=True)
+        keys = np.zeros((len(first), high), np.uint32)
+        keys[:, :k] = symbols[inside[first][:, None] + np.arange(k)] + 1
+        keys = keys.view(grams.dtype).ravel()
+        at = np.minimum(np.searchsorted(grams, keys), len(grams) - 1)
+        ranks = np.where(grams[at] == keys, rank[at], -1)[which]
+        hit = ranks >= 0
+        found.append(of[inside[hit]] * len(grams) + ranks[hit])
+    cells, n = np.unique(np.concatenate(found), return_counts=True)
+    return *np.divmod(cells, max(len(grams), 1)), n
+
+
+def _held_ngrams(df: DataFrame, key: str, seq: str, low: int, high: int, known: DataFrame) -> DataFrame:
+    """key, indices, counts of ``sparse_ngrams``, by a vocabulary (gram, __id) that is gathered and broadcast."""
+    held = known.select("gram", "__id").toArrow()  # HELD symbols
+    grams, ids = _points(held["gram"].to_pylist(), high), held["__id"].to_numpy()
+    order, by_id = np.argsort(grams), np.argsort(ids, kind="stable")
+    rank = np.empty(len(ids), np.int64)
+    rank[by_id] = np.arange(len(ids))
+    shared = df.sparkSession.sparkContext.broadcast((grams[order], rank[order], ids[by_id]))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams, rank, ids = shared.value
+        for keys, texts in _pieces(batches):
+            row, place, n = known_windows(texts, low, high, grams, rank)
+            ends = pa.array(np.searchsorted(row, np.arange(len(texts) + 1)), pa.int32())
+            yield pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(ends, pa.array(ids[place])), pa.ListArray.from_arrays(ends, pa.array(n))], names=[key, "indices", "counts"])
+
+    return df.select(key, seq).mapInArrow(count, f"`{key}` {dict(df.dtypes)[key]}, indices array<long>, counts array<long>")
 
 
 def learned_vocabulary(df: DataFrame, seq: str, low: int, high: int) -> list[str]:

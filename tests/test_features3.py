@@ -314,3 +314,32 @@ def test_mutations_as_tuples(spark):
     assert [r["mutations"] for r in df.orderBy("index").collect()] == [[(2, "C", None), (4, "E", None)], [(4, "E", "X")], []]
     assert variants.likely_offset(df, "ABCDEFGH") == 0 and variants.parent_sketch(df).first()["sketch"] == "**C*E"
     assert [r[0] for r in df.orderBy("index").select(M.applied(F.col("mutations"), F.lit("ABCDEFGH"), 0)).collect()] == [None, "ABCDXFGH", "ABCDEFGH"]
+
+
+@pytest.mark.parametrize("held", [1 << 22, 0])
+@pytest.mark.parametrize(("low", "high"), [(1, 1), (2, 4), (5, 5)])
+def test_sparse_vectors_over_a_given_vocabulary(spark, monkeypatch, held, low, high):
+    """Held by every task or joined: the same vectors; NULs, unseen symbols, ids with gaps and grams of other lengths are met."""
+    monkeypatch.setattr(kernels, "HELD", held)
+    monkeypatch.setattr(kernels, "SYMBOLS", 30)
+    learned = ["ab\0", "\0\0\0\0\0", "abcabcab", "日本日本語👍🏽", "zzzzzz", "", None]
+    texts = dict(enumerate([*learned, "ab", "a\0b\0\0", "qqq日本語 zz", "\U0010ffff" * 7, "ab" * 40, "\0" * 9]))
+    grams = lambda t: [t[a : a + k] for k in range(low, high + 1) for a in range(len(t or "") - k + 1)]
+    table = kernels.vocabulary_table(spark.createDataFrame([(t,) for t in learned], "s string"), "s", low, high)
+    assert {r["gram"]: r["n"] for r in table.collect()} == Counter(g for t in learned for g in grams(t))
+    odd = spark.createDataFrame([("abcabcab", 10**12, 1), (None, 5, 1), ("b", None, 1)], "gram string, id long, n long")
+    given = table.select("gram", (1000 - 3 * F.col("id")).alias("id"), "n").unionByName(odd.where(F.col("gram").isNull() | ~F.col("gram").isin([] if low > 1 else ["b"])))
+    ids = {r["gram"]: r["id"] for r in given.where("gram is not null and id is not null").collect()}
+    found = kernels.sparse_ngrams(spark.createDataFrame(list(texts.items()), "id int, s string").repartition(3), "id", "s", low, high, given)
+    assert found.dtypes == [("id", "int"), ("size", "bigint"), ("indices", "array<bigint>"), ("counts", "array<bigint>")]
+    got = {r["id"]: (r["size"], list(zip(r["indices"], r["counts"], strict=True))) for r in found.collect()}
+    assert got == {i: (10**12 + 1, sorted((ids[g], n) for g, n in Counter(grams(t)).items() if g in ids)) for i, t in texts.items()}
+    none = kernels.sparse_ngrams(spark.createDataFrame([(1, "ab")], "id int, s string"), "id", "s", low, high, table.where("false")).collect()
+    assert [tuple(r) for r in none] == [(1, 0, [], [])]
+
+
+def test_sparse_vectors_shuffle_no_grams(spark):
+    """With a vocabulary that tasks can hold, disk does not grow with the texts."""
+    df = spark.range(50).select("id", F.concat(F.lit("text "), F.sha2(F.col("id").cast("string"), 256)).alias("s"))
+    found = kernels.sparse_ngrams(df, "id", "s", 4, 4, kernels.vocabulary_table(df.limit(3), "s", 4, 4))
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
